@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lagwell.llm import chat
 from lagwell.llm.bpe import op1_bpe
+from lagwell.llm.packing import op8_packing
+from lagwell.llm.privacy import op2_pii
+from lagwell.llm.quality import op6_quality
+from lagwell.llm.shards import op7_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_pii": op2_pii,
+        "op6_quality": op6_quality,
+        "op7_shards": op7_shards,
+        "op8_packing": op8_packing,
+        "op10_chat": chat.op10_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat": chat.ORACLE_SQL}
