@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lagwell.llm import chat
 from lagwell.llm.bpe import op1_bpe
 from lagwell.llm.edits import op3_edit_prints
+from lagwell.llm.lines import op9_lines
 from lagwell.llm.near import op4_near
 from lagwell.llm.packing import op8_packing
 from lagwell.llm.pages import op5_pages
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": op6_quality,
         "op7_shards": op7_shards,
         "op8_packing": op8_packing,
+        "op9_lines": op9_lines,
         "op10_chat": chat.op10_chat,
     }
 
