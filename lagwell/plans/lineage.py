@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,4 +34,13 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lagwell/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    forget(spark)
+    return out
+
+
+def forget(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans nobody holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
