@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lagwell.llm.batches import slices, texts
 
 #: Chunks and pieces that are remembered, the earliest seen; a speed setting, results do not depend on it.
-REMEMBER = 300_000
+REMEMBER = 500_000
 _NONE = 1 << 62
 
 
@@ -120,6 +121,12 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(2)
+def encoder_of(ranks_path: str, pattern: str) -> Encoder:
+    """One memory per worker process, kept between tasks."""
+    return Encoder(load_ranks(ranks_path), pattern)
+
+
 def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """One row per document: ``n_tokens``, ``ids`` (array, if kept), digests of the ids and of the decoded bytes.
 
@@ -129,7 +136,7 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     keep = [pa.field("ids", pa.list_(pa.int64()))] if keep_ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load_ranks(ranks_path), pattern)
+        encoder = encoder_of(ranks_path, pattern)
         for batch in batches:
             for part in slices(batch):
                 n, ids, decoded, kept = [], [], [], []
