@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +30,20 @@ class Cost:
     quadratic: float = 1.0 / 4096
 
 
+def _byte_letters() -> list[str]:
+    """The printable stand-in of each byte: itself where Latin-1 prints it, else the next free code point from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
 class WordTokens:
-    """Ids (``<u4`` bytes) of whole texts under a tokenizer that drops white space.
+    """Ids (``<u4`` bytes) of whole texts under a lower-casing tokenizer that drops white space and marks word ends.
 
-    Such a tokenizer treats runs between blanks apart, so runs are remembered.
+    Such a tokenizer treats the runs between blanks apart, and within a run
+    the words, digits and signs that its split pattern names. Runs and words
+    are remembered. A run beyond the Latin blocks, or not in composed form,
+    goes to the tokenizer itself, as do very long words.
     """
 
     def __init__(self, path: str, remember: int = REMEMBER) -> None:
@@ -36,18 +51,65 @@ class WordTokens:
 
         model = Tokenizer.from_file(path)
         model.encode_special_tokens = True
+        with open(path, encoding="utf-8") as source:
+            described = json.load(source)
+        vocabulary = described["model"]["vocab"]
+        pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in described["model"]["merges"])
+        ranks = {pair: rank for rank, pair in enumerate(pairs)}
+        end = described["model"]["end_of_word_suffix"]
+        split = regex.compile(described["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        letters = _byte_letters()
+        none = len(ranks)
+
+        def direct(run: str) -> bytes:
+            return np.asarray(model.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+
+        class Words(dict):
+            def __missing__(self, word: str) -> bytes:
+                if len(word) > 48:
+                    return direct(word)
+                parts = [letters[b] for b in word.encode()]
+                parts[-1] += end
+                rank = [ranks.get(pair, none) for pair in pairwise(parts)]
+                while rank and (least := min(rank)) < none:
+                    i = rank.index(least)
+                    parts[i] += parts.pop(i + 1)
+                    del rank[i]
+                    if i:
+                        rank[i - 1] = ranks.get((parts[i - 1], parts[i]), none)
+                    if i < len(rank):
+                        rank[i] = ranks.get((parts[i], parts[i + 1]), none)
+                out = np.array([vocabulary[p] for p in parts], "<u4").tobytes()
+                if len(self) < 2 * remember:
+                    self[word] = out
+                return out
+
+        words = Words()
 
         class Runs(dict):
-            def __missing__(self, run: str) -> bytes:
-                out = np.asarray(model.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+            def __missing__(self, run: bytes) -> bytes:
+                text = run.decode("utf-8", "surrogatepass")
+                if text.isascii():
+                    out = b"".join(map(words.__getitem__, split(text)))
+                elif max(text) < "\u0250" and unicodedata.is_normalized("NFC", text):
+                    out = b"".join(map(words.__getitem__, split(text.lower())))
+                else:
+                    out = direct(text)
                 if len(self) < remember:
                     self[run] = out
                 return out
 
         self.runs = Runs()
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.runs.__getitem__, text.replace("\n", " ").split(" ")))
+    def encode(self, text: bytes) -> bytes:
+        """Of a UTF-8 text; capital ASCII letters are lowered here, so runs that differ in them share an entry."""
+        return b"".join(map(self.runs.__getitem__, text.lower().replace(b"\n", b" ").split(b" ")))
+
+
+@lru_cache(2)
+def word_tokens(path: str) -> WordTokens:
+    """One memory per worker process, kept between tasks."""
+    return WordTokens(path)
 
 
 def place(lengths: list[int], capacity: int, cost: Cost, tail_powers: bool) -> list[list[tuple[int, int, int, int]]]:
@@ -110,7 +172,7 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int =
     cost = cost or Cost()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer_path)
+        words = word_tokens(tokenizer_path)
         end = np.asarray([end_id], "<u4").tobytes()
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 40
@@ -137,7 +199,7 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int =
 
         for batch in batches:
             for part in slices(batch):
-                for text in texts(part.column("text")).to_pylist():
+                for text in texts(part.column("text")).cast(pa.large_binary()).to_pylist():
                     docs.append(words.encode(text) + end)
                     held += len(docs[-1]) // 4
                 ids.append(pc.cast(part.column("id"), part.column("id").type))
