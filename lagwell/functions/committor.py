@@ -1,0 +1,229 @@
+"""Committor networks in NumPy: forward, losses, analytic gradients, AdamW.
+
+Spark sends Arrow batches of pairs through :func:`partial_gradient` and adds
+the partial gradients; weights stay on the driver between steps.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+import numpy as np
+
+ACTIVATIONS = {
+    "elu": (lambda z: np.where(z > 0, z, np.expm1(np.minimum(z, 0))), lambda z: np.where(z > 0, 1.0, np.exp(np.minimum(z, 0)))),
+    "relu": (lambda z: np.maximum(z, 0), lambda z: (z > 0).astype(float)),
+    "tanh": (np.tanh, lambda z: 1 - np.tanh(z) ** 2),
+    "silu": (lambda z: z / (1 + np.exp(-z)), lambda z: (s := 1 / (1 + np.exp(-z))) * (1 + z * (1 - s))),
+}
+
+
+@dataclass
+class Net:
+    """A perceptron with a probability head: ``softmax``, ``softplus`` over its sum, or a ``sigmoid`` per output (pairs)."""
+
+    sizes: tuple[int, ...]
+    head: str = "softmax"
+    activation: str = "elu"
+    eps: float = 1e-8
+    layers: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        if self.head not in ("softmax", "softplus", "sigmoid"):
+            raise ValueError(f"unknown head {self.head}")
+        if not self.layers:
+            rng = np.random.default_rng(0)
+            self.layers = [(rng.uniform(-1, 1, (a, b)) / np.sqrt(a), rng.uniform(-1, 1, b) / np.sqrt(a)) for a, b in zip(self.sizes, self.sizes[1:], strict=False)]
+
+    def _forward(self, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        act = ACTIVATIONS[self.activation][0]
+        inputs, pre = [x], []
+        for k, (w, b) in enumerate(self.layers):
+            z = inputs[-1] @ w + b
+            pre.append(z)
+            if k < len(self.layers) - 1:
+                inputs.append(act(z))
+        z = pre[-1]
+        if self.head == "softmax":
+            e = np.exp(z - z.max(1, keepdims=True))
+            q = e / e.sum(1, keepdims=True)
+        elif self.head == "softplus":
+            s = np.logaddexp(0, z) + self.eps
+            q = s / s.sum(1, keepdims=True)
+        else:
+            q = 1 / (1 + np.exp(-z))
+        return inputs, pre, q
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self._forward(np.asarray(x, float))[2]
+
+    def _head_back(self, z: np.ndarray, q: np.ndarray, dq: np.ndarray) -> np.ndarray:
+        if self.head == "softmax":
+            return q * (dq - (dq * q).sum(1, keepdims=True))
+        if self.head == "softplus":
+            s = np.logaddexp(0, z) + self.eps
+            ds = (dq - (dq * q).sum(1, keepdims=True)) / s.sum(1, keepdims=True)
+            return ds / (1 + np.exp(-z))
+        return dq * q * (1 - q)
+
+    def backward(self, x: np.ndarray, dq: np.ndarray, inputs: bool = False) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray | None]:
+        """Gradients of the layers (and of the inputs) for a gradient at the outputs."""
+        slope = ACTIVATIONS[self.activation][1]
+        hidden, pre, q = self._forward(x)
+        d = self._head_back(pre[-1], q, dq)
+        grads: list = []
+        for k in range(len(self.layers) - 1, -1, -1):
+            grads.append((hidden[k].T @ d, d.sum(0)))
+            if k or inputs:
+                d = d @ self.layers[k][0].T
+            if k:
+                d = d * slope(pre[k - 1])
+        return grads[::-1], d if inputs else None
+
+    def value_and_input_gradient(self, x: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
+        q = self(x)
+        dq = np.zeros_like(q)
+        dq[:, target] = 1
+        return q, self.backward(x, dq, inputs=True)[1]
+
+    def save(self, path: str, meta: dict | None = None) -> None:
+        arrays = {f"{n}{k}": a for k, wb in enumerate(self.layers) for n, a in zip("wb", wb, strict=True)}
+        np.savez(path, meta=json.dumps({"sizes": self.sizes, "head": self.head, "activation": self.activation, "model_input": meta or {}}), **arrays)
+
+    @classmethod
+    def load(cls, path: str) -> tuple[Net, dict]:
+        with np.load(path) as z:
+            meta = json.loads(str(z["meta"]))
+            n = len(meta["sizes"]) - 1
+            return cls(tuple(meta["sizes"]), meta["head"], meta["activation"], layers=[(z[f"w{k}"], z[f"b{k}"]) for k in range(n)]), meta["model_input"]
+
+
+@dataclass(frozen=True)
+class Loss:
+    """Weights of the parts, and the flux part's pairs, thresholds and width."""
+
+    dirichlet: float = 1.0
+    boundary: float = 10.0
+    simplex: float = 0.0
+    flux: float = 0.1
+    pairwise: bool = False
+    eps: float = 0.02
+    pairs: tuple[tuple[int, int], ...] = ()
+    thresholds: tuple[float, ...] = ()
+
+
+def boundary_weight(epoch: int, initial: float, final: float, mode: str = "fixed", start: int = 0, length: int = 100) -> float:
+    """The boundary weight's schedule: fixed, linear, cosine or exponential from initial to final."""
+    if mode == "fixed":
+        return initial
+    f = min(max((epoch - start) / max(length, 1), 0.0), 1.0)
+    if mode == "linear":
+        return initial + (final - initial) * f
+    if mode == "cosine":
+        return final + (initial - final) * 0.5 * (1 + np.cos(np.pi * f))
+    if mode == "exp":
+        return float(initial * (final / initial) ** f)
+    raise ValueError(f"unknown schedule {mode}")
+
+
+def losses(q: np.ndarray, q_tau: np.ndarray, label: np.ndarray, label_tau: np.ndarray, w: np.ndarray, loss: Loss) -> tuple[dict[str, float], np.ndarray, np.ndarray, float]:
+    """(sums of each part, gradient sums at q and q_tau, total weight); sums over a batch add up to sums over all.
+
+    Dirichlet: the squared change, summed over states (averaged over pairs of
+    states if pairwise). Boundary: cross entropy of labelled ends, for pairs
+    of states the squared distance to 0 or 1. ``label`` is a state per row,
+    or -1/0/1 per pair of states. Simplex: squared distance of the sum from 1.
+    """
+    parts = {}
+    scale = 1 / q.shape[1] if loss.pairwise else 1.0
+    d = q_tau - q
+    parts["dirichlet"] = float((w * (d * d).sum(1) * scale).sum())
+    g = -2 * scale * loss.dirichlet * w[:, None] * d
+    g_tau = -g
+    boundary = 0.0
+    for out, y, grad in ((q, label, g), (q_tau, label_tau, g_tau)):
+        if loss.pairwise:
+            known = y >= 0
+            gap = np.where(known, out - y, 0.0)
+            n = np.maximum(known.sum(1), 1)
+            boundary += float((w * (gap * gap).sum(1) / n).sum()) / 2
+            grad += loss.boundary * (w / n)[:, None] * gap
+        else:
+            rows = np.flatnonzero(y >= 0)
+            p = np.maximum(out[rows, y[rows]], 1e-12)
+            boundary += float((w[rows] * -np.log(p)).sum()) / 2
+            grad[rows, y[rows]] -= loss.boundary * w[rows] / p / 2
+    parts["boundary"] = boundary
+    if loss.simplex:
+        gap = q.sum(1) - 1
+        parts["simplex"] = float((w * gap * gap).sum())
+        g += loss.simplex * 2 * (w * gap)[:, None]
+    return parts, g, g_tau, float(w.sum())
+
+
+def flux_loss(q: np.ndarray, q_tau: np.ndarray, w: np.ndarray, loss: Loss) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean over pairs of the variance of J over thresholds, with gradients; needs the whole batch."""
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    total, g, g_tau = 0.0, np.zeros_like(q), np.zeros_like(q)
+    mass = w.sum()
+    for i, j in loss.pairs:
+        c = np.asarray(loss.thresholds)
+        a, b = sig((q[:, i, None] - c) / loss.eps), sig((c - q_tau[:, i, None]) / loss.eps)
+        cur = q_tau[:, j] * q[:, i] - q[:, j] * q_tau[:, i]
+        flux = (w[:, None] * a * b * cur[:, None]).sum(0) / mass
+        gap = flux - flux.mean()
+        total += float((gap**2).mean()) / len(loss.pairs)
+        dj = 2 * gap / len(c) / len(loss.pairs)
+        chi = (a * b) @ dj * w / mass
+        g[:, i] += (((a * (1 - a) * b) @ dj) / loss.eps * cur * w / mass) + chi * q_tau[:, j]
+        g_tau[:, i] += (-((a * b * (1 - b)) @ dj) / loss.eps * cur * w / mass) - chi * q[:, j]
+        g[:, j] -= chi * q_tau[:, i]
+        g_tau[:, j] += chi * q[:, i]
+    return total, g, g_tau
+
+
+def partial_gradient(net: Net, x: np.ndarray, x_tau: np.ndarray, label: np.ndarray, label_tau: np.ndarray, w: np.ndarray, loss: Loss) -> tuple[list, dict[str, float], float]:
+    q, q_tau = net(x), net(x_tau)
+    parts, g, g_tau, mass = losses(q, q_tau, label, label_tau, w, loss)
+    if loss.flux and loss.pairs:
+        value, f, f_tau = flux_loss(q, q_tau, w, loss)
+        parts["flux"] = value * mass
+        g += loss.flux * mass * f
+        g_tau += loss.flux * mass * f_tau
+    a, _ = net.backward(x, g)
+    b, _ = net.backward(x_tau, g_tau)
+    return [(u + s, v + t) for (u, v), (s, t) in zip(a, b, strict=True)], parts, mass
+
+
+@dataclass
+class AdamW:
+    rate: float = 1e-3
+    decay: float = 1e-4
+    b1: float = 0.9
+    b2: float = 0.999
+    t: int = 0
+    m: list | None = None
+    v: list | None = None
+
+    def step(self, net: Net, grads: Sequence[tuple[np.ndarray, np.ndarray]]) -> None:
+        flat = [g for wb in grads for g in wb]
+        if self.m is None:
+            self.m, self.v = [np.zeros_like(g) for g in flat], [np.zeros_like(g) for g in flat]
+        self.t += 1
+        values = [p for wb in net.layers for p in wb]
+        for k, (p, g) in enumerate(zip(values, flat, strict=True)):
+            self.m[k] = self.b1 * self.m[k] + (1 - self.b1) * g
+            self.v[k] = self.b2 * self.v[k] + (1 - self.b2) * g * g
+            p *= 1 - self.rate * self.decay
+            p -= self.rate * (self.m[k] / (1 - self.b1**self.t)) / (np.sqrt(self.v[k] / (1 - self.b2**self.t)) + 1e-8)
+
+
+def split_train_val(n: int, ratio: float, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(train, validation) positions: ceil(ratio n) for validation, at least one on each side."""
+    if n < 2:
+        raise ValueError("two rows are needed")
+    order = np.random.default_rng(seed).permutation(n)
+    k = min(max(1, int(np.ceil(ratio * n))), n - 1)
+    return np.sort(order[k:]), np.sort(order[:k])

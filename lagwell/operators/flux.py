@@ -54,7 +54,8 @@ def _terms(pairs: DataFrame, chosen: Sequence[tuple[int, int]], at: Sequence[flo
         chi = sigmoid((F.col("o.c") - qj) / eps) * sigmoid((qj_t - F.col("o.c")) / eps)
     else:
         raise ValueError("surface must be qi_decrease or qj_increase")
-    return long.select(*pairs.columns, F.col("o.i").alias("i"), F.col("o.j").alias("j"), F.col("o.c").alias("c"), (chi * current(qi, qj, qi_t, qj_t)).alias("x"), current(qi, qj, qi_t, qj_t).alias("current"))
+    kept = [c for c in ("block",) if c in pairs.columns]
+    return long.select(*kept, "weight", F.col("o.i").alias("i"), F.col("o.j").alias("j"), F.col("o.c").alias("c"), (chi * current(qi, qj, qi_t, qj_t)).alias("x"), current(qi, qj, qi_t, qj_t).alias("current"))
 
 
 def flux_profiles(pairs: DataFrame, chosen: Sequence[tuple[int, int]], at: Sequence[float], *, eps: float = 0.02, tau: float | None = None, surface: str = "qi_decrease", by: Sequence[str] = ()) -> DataFrame:

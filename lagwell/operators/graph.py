@@ -11,32 +11,39 @@ from lagwell.plans.lineage import materialize
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(id, component)`` for every endpoint; component is the smallest id reachable.
 
-    Each round sends every node to the smallest of itself and its neighbours
-    and rewrites the edges onto those targets; an edge whose ends meet is
-    gone. A star collapses in one round, a path halves. The minimum per node
-    is a partially aggregated groupBy, so a node with a third of all edges
-    does not gather them in one task. Self-loops, repeated edges and NULL
+    Each round points every node at the smallest of itself and its
+    neighbours, follows the pointers to their ends by doubling, and rewrites
+    the edges onto those ends; an edge whose ends meet is gone. A star or a
+    chain of any length collapses in one round. The minimum per node is a
+    partially aggregated groupBy, so a node with a third of all edges does
+    not gather them in one task. Self-loops, repeated edges and NULL
     endpoints are ignored; no edges give an empty result.
     """
     live = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a != b")
     live = materialize(live.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    both_ends = live.select(F.col("a").alias("id")).union(live.select(F.col("b").alias("id"))).distinct()
     hops: list[DataFrame] = []
     for _ in range(max_rounds):
         if live.isEmpty():
             break
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hop = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "id"))
+        hop = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "id").where("id != to"))
+        for _ in range(max_rounds):
+            onward = hop.select(F.col("id").alias("to"), F.col("to").alias("end"))
+            if hop.join(onward, "to", "left_semi").isEmpty():
+                break
+            hop = materialize(hop.join(onward, "to", "left").select("id", F.coalesce("end", "to").alias("to")))
         hops.append(hop)
         left = hop.select(F.col("id").alias("a"), F.col("to").alias("ta"))
         right = hop.select(F.col("id").alias("b"), F.col("to").alias("tb"))
-        moved = live.join(left, "a").join(right, "b").where("ta != tb")
-        live = materialize(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        ends = live.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"))
+        live = materialize(ends.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if not hops:
         return live.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    found = hops[0].select("id", F.col("to").alias("component"))
-    for hop in hops[1:]:
+    found = both_ends.select("id", F.col("id").alias("component"))
+    for hop in hops:
         step = hop.select(F.col("id").alias("component"), "to")
         found = found.join(step, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
     return found

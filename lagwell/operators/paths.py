@@ -13,20 +13,25 @@ from pyspark.sql import functions as F
 from lagwell.functions.arrays import square_distance
 from lagwell.functions.kinetics import average_linkage
 
-ALONG = W.partitionBy("path_id").orderBy("image_id")
-EVERY = W.partitionBy("path_id")
+
+def _along() -> W:
+    return W.partitionBy("path_id").orderBy("image_id")
+
+
+def _every() -> W:
+    return W.partitionBy("path_id")
 
 
 def coarsen(images: DataFrame, stride: int = 1, n_images: int | None = None) -> DataFrame:
     """Every ``stride``-th image and the last; then ``n_images`` evenly spaced ones (places rounded half to even)."""
-    n = F.count("*").over(EVERY)
-    ranked = images.withColumn("_r", F.row_number().over(ALONG) - 1).withColumn("_n", n)
+    n = F.count("*").over(_every())
+    ranked = images.withColumn("_r", F.row_number().over(_along()) - 1).withColumn("_n", n)
     kept = ranked.where((F.pmod("_r", F.lit(stride)) == 0) | (F.col("_r") == F.col("_n") - 1))
     if n_images is not None:
-        again = kept.withColumn("_r", F.row_number().over(ALONG) - 1).withColumn("_n", n)
+        again = kept.withColumn("_r", F.row_number().over(_along()) - 1).withColumn("_n", n)
         places = F.transform(F.sequence(F.lit(0), F.lit(n_images - 1)), lambda k: F.bround(k * (F.col("_n") - 1) / max(n_images - 1, 1)).cast("int"))
         kept = again.where((F.col("_n") <= n_images) | F.array_contains(places, F.col("_r")))
-    return kept.withColumn("image_id", (F.row_number().over(ALONG) - 1).cast("int")).drop("_r", "_n")
+    return kept.withColumn("image_id", (F.row_number().over(_along()) - 1).cast("int")).drop("_r", "_n")
 
 
 def smooth(images: DataFrame, window: int = 3, iterations: int = 1) -> DataFrame:
@@ -36,9 +41,9 @@ def smooth(images: DataFrame, window: int = 3, iterations: int = 1) -> DataFrame
     h = window // 2
     out = images
     for _ in range(iterations):
-        first, last = F.first("x").over(EVERY.orderBy("image_id")), F.last("x").over(ALONG.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-        around = [F.coalesce((F.lag if d < 0 else F.lead)("x", abs(d)).over(ALONG), first if d < 0 else last) if d else F.col("x") for d in range(-h, h + 1)]
-        flat = out.withColumn("_around", F.array(*around)).withColumn("_rank", F.row_number().over(ALONG)).withColumn("_n", F.count("*").over(EVERY))
+        first, last = F.first("x").over(_every().orderBy("image_id")), F.last("x").over(_along().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        around = [F.coalesce((F.lag if d < 0 else F.lead)("x", abs(d)).over(_along()), first if d < 0 else last) if d else F.col("x") for d in range(-h, h + 1)]
+        flat = out.withColumn("_around", F.array(*around)).withColumn("_rank", F.row_number().over(_along())).withColumn("_n", F.count("*").over(_every()))
         mean = F.transform(F.sequence(F.lit(0), F.size("x") - 1), lambda k: F.aggregate("_around", F.lit(0.0), lambda a, v: a + F.get(v, k)) / window)
         out = flat.withColumn("x", F.when((F.col("_rank") == 1) | (F.col("_rank") == F.col("_n")), F.col("x")).otherwise(mean)).drop("_around", "_rank", "_n")
     return out
@@ -46,15 +51,15 @@ def smooth(images: DataFrame, window: int = 3, iterations: int = 1) -> DataFrame
 
 def arcs(images: DataFrame) -> DataFrame:
     """``arc``: length from the path's start; segments of at most 1e-14 add nothing."""
-    step = F.sqrt(square_distance(F.col("x"), F.lag("x").over(ALONG)))
-    return images.withColumn("_step", F.coalesce(F.when(step > 1e-14, step), F.lit(0.0))).withColumn("arc", F.sum("_step").over(ALONG.rowsBetween(W.unboundedPreceding, 0))).drop("_step")
+    step = F.sqrt(square_distance(F.col("x"), F.lag("x").over(_along())))
+    return images.withColumn("_step", F.coalesce(F.when(step > 1e-14, step), F.lit(0.0))).withColumn("arc", F.sum("_step").over(_along().rowsBetween(W.unboundedPreceding, 0))).drop("_step")
 
 
 def reparameterise(images: DataFrame, n_images: int) -> DataFrame:
     """Images at equal arc lengths by linear interpolation: each target joins the segment that holds it."""
-    a = arcs(images).withColumn("next_arc", F.lead("arc").over(ALONG)).withColumn("next_x", F.lead("x").over(ALONG)).withColumn("length", F.max("arc").over(EVERY)).withColumn("_last", F.lead("image_id").over(ALONG).isNull())
+    a = arcs(images).withColumn("next_arc", F.lead("arc").over(_along())).withColumn("next_x", F.lead("x").over(_along())).withColumn("length", F.max("arc").over(_every())).withColumn("_last", F.lead("image_id").over(_along()).isNull())
     place = F.transform(F.sequence(F.lit(0), F.lit(n_images - 1)), lambda k: F.struct(k.alias("k"), (k * F.col("length") / max(n_images - 1, 1)).alias("at")))
-    inside = F.filter(place, lambda p: ((F.col("arc") <= p.at) & (p.at < F.col("next_arc"))) | (F.col("_last") & ((p.at >= F.col("arc")) | (p.k == n_images - 1))))
+    inside = F.filter(place, lambda p: ((F.col("arc") <= p.at) & (p.at < F.col("next_arc")) & (p.k < n_images - 1)) | (F.col("_last") & ((p.at >= F.col("arc")) | (p.k == n_images - 1))))
     hit = a.select("path_id", "x", "next_x", "arc", "next_arc", F.explode(inside).alias("p"))
     f = (F.col("p.at") - F.col("arc")) / (F.col("next_arc") - F.col("arc"))
     value = F.when(F.col("next_x").isNull(), F.col("x")).otherwise(F.zip_with("x", "next_x", lambda u, v: u + (v - u) * f))
@@ -65,25 +70,25 @@ def unwrap(images: DataFrame, periods: Sequence[float]) -> DataFrame:
     """Cumulative minimum-image steps from the first image."""
     p = F.array(*map(F.lit, map(float, periods)))
     mini = lambda d, per: F.when(per > 0, F.pmod(d + per / 2, F.when(per > 0, per).otherwise(1.0)) - per / 2).otherwise(d)
-    before = F.lag("x").over(ALONG)
+    before = F.lag("x").over(_along())
     step = F.when(before.isNull(), F.col("x")).otherwise(F.zip_with(F.zip_with("x", before, lambda a, b: a - b), p, mini))
     out = images.withColumn("_step", step)
-    gathered = F.collect_list("_step").over(ALONG.rowsBetween(W.unboundedPreceding, 0))
+    gathered = F.collect_list("_step").over(_along().rowsBetween(W.unboundedPreceding, 0))
     zero = F.transform("x", lambda _: F.lit(0.0))
     return out.withColumn("x", F.aggregate(gathered, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))).drop("_step")
 
 
 def periodic_segments(images: DataFrame, periods: Sequence[float]) -> DataFrame:
     """``segment``: a new one where any periodic axis jumps by more than half its period; segments of one image are dropped unless nothing else is left."""
-    before = F.lag("x").over(ALONG)
+    before = F.lag("x").over(_along())
     jumps = [F.abs(F.get("x", F.lit(k)) - F.get(before, F.lit(k))) > p / 2 for k, p in enumerate(periods) if p > 0]
     jump = jumps[0]
     for j in jumps[1:]:
         jump |= j
-    out = images.withColumn("segment", F.sum(F.when(jump, 1).otherwise(0)).over(ALONG.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    out = images.withColumn("segment", F.sum(F.when(jump, 1).otherwise(0)).over(_along().rowsBetween(W.unboundedPreceding, 0)).cast("int"))
     size = F.count("*").over(W.partitionBy("path_id", "segment"))
     out = out.withColumn("_n", size)
-    return out.withColumn("_any", F.max("_n").over(EVERY)).where((F.col("_n") >= 2) | (F.col("_any") < 2)).drop("_n", "_any")
+    return out.withColumn("_any", F.max("_n").over(_every())).where((F.col("_n") >= 2) | (F.col("_any") < 2)).drop("_n", "_any")
 
 
 def center_path(images: DataFrame, by: Sequence[str] = ("cluster",)) -> DataFrame:
