@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; bounds the memory of the vectors below, not what is read.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -159,7 +159,8 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(lo[hit]), pa.array([many[x.doc[i]][a[i] : b[i]] for i in hit], pa.string())], ["lo", "line"])
 
     per_doc = wanted.groupBy("id").agg(F.collect_set("lo").alias("want"))
-    return docs.join(per_doc, "id").select("text", "want").mapInArrow(run, "lo long, line string").dropDuplicates(["lo"])
+    # a merge join at any size: which documents are wanted grows with the input
+    return docs.join(per_doc.hint("merge"), "id").select("text", "want").mapInArrow(run, "lo long, line string").dropDuplicates(["lo"])
 
 
 def _deletions(rows: DataFrame) -> DataFrame:
@@ -266,7 +267,7 @@ def _cut(many: list[str], drops: list[list[int] | None], min_chars: int) -> list
 def _with_drops(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     docs = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("id"), F.col(f"`{text_col}`").alias("text"))
     drops = materialize(dropped_lines(docs, min_chars)).withColumnRenamed("id", "__id")
-    return df.join(drops, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)) == F.col("__id"), "left")
+    return df.join(drops.hint("merge"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)) == F.col("__id"), "left")
 
 
 def line_dedup(df: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,7 +301,12 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same rows with duplicate lines cut from ``text``; ``n_chars`` follows where the text changed. NULL texts stay NULL."""
+    """The rows with duplicate lines cut from ``text``; ``n_chars`` follows where the text changed.
+
+    A document of which no word is left held nothing but copies of other
+    documents' lines and goes; one that was blank before stays. NULL texts
+    stay NULL.
+    """
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,14 +315,15 @@ def dedup_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 before = part.column("text").to_pylist()
                 size = part.column("n_chars").to_pylist()
                 cut = _cut([t or "" for t in before], part.column("drop").to_pylist(), MIN_CHARS)
-                after = []
+                after, stays = [], []
                 for i, (t, (kept, n)) in enumerate(zip(before, cut, strict=True)):
                     changed = t is not None and len(kept) < n
                     after.append("\n".join(kept) if changed else t)
                     if changed:
                         size[i] = len(after[-1])
+                    stays.append(not changed or bool(after[-1].strip(" \t\n\x0b\x0c\r")))
                 columns = {f.name: part.column(f.name) for f in part.schema if f.name != "drop"}
                 columns |= {"text": pa.array(after, part.schema.field("text").type), "n_chars": pa.array(size, part.schema.field("n_chars").type)}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns)).filter(pa.array(stays))
 
     return _with_drops(docs, "doc_id", "text", MIN_CHARS).select(*docs.columns, "drop").mapInArrow(run, schema)
