@@ -29,9 +29,9 @@ class Rules:
     min_words: int = 50
     repeat_window: int = 3
     repeat_share: float = 0.5
-    coverage: tuple[tuple[int, float], ...] = ((5, 0.4), (8, 0.3), (12, 0.25))
-    line_coverage: float = 0.4
-    symbol_share: float = 0.3
+    coverage: tuple[tuple[int, float], ...] = ((5, 0.5), (10, 0.45))
+    line_coverage: float = 0.5
+    symbol_share: float = 0.15
 
 
 def _covered(hashes: np.ndarray, first: np.ndarray, k: int, n_words: int) -> np.ndarray:

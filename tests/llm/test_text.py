@@ -138,11 +138,11 @@ def test_quality_keeps_clean(spark):
     rng = random.Random(9)
     words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
     clean = [" ".join(rng.choices(words, k=200)) for _ in range(20)]
-    # coverage: half of the characters lie in a passage that stands twice
-    passage = " ".join(rng.choices(words, k=60))
-    out = {r["doc_id"]: r for r in quality.quality_rules(docs(spark, [*clean, " ".join([passage, *rng.choices(words, k=100), passage])])).collect()}
+    # coverage: three quarters of the characters lie in a passage that stands twice
+    passage = " ".join(rng.choices(words, k=60))  # 120 of 160 words
+    out = {r["doc_id"]: r for r in quality.quality_rules(docs(spark, [*clean, " ".join([passage, *rng.choices(words, k=40), passage])])).collect()}
     assert all(out[i]["kept"] for i in range(20)) and not out[20]["kept"]
-    assert out[20]["dup_12gram_chars"] == 2 * len(passage.replace(" ", ""))
+    assert out[20]["dup_10gram_chars"] == 2 * len(passage.replace(" ", ""))
 
 
 def test_word_tokens_equal_library():
