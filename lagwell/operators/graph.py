@@ -24,20 +24,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     both_ends = live.select(F.col("a").alias("id")).union(live.select(F.col("b").alias("id"))).distinct()
     hops: list[DataFrame] = []
     for _ in range(max_rounds):
-        if live.isEmpty():
+        n = live.count()
+        if not n:
             break
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hop = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "id").where("id != to"))
+        hop = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "id").where("id != to"), 2 * n)
         for _ in range(max_rounds):
             onward = hop.select(F.col("id").alias("to"), F.col("to").alias("end"))
             if hop.join(onward, "to", "left_semi").isEmpty():
                 break
-            hop = materialize(hop.join(onward, "to", "left").select("id", F.coalesce("end", "to").alias("to")))
+            hop = materialize(hop.join(onward, "to", "left").select("id", F.coalesce("end", "to").alias("to")), 2 * n)
         hops.append(hop)
         left = hop.select(F.col("id").alias("a"), F.col("to").alias("ta"))
         right = hop.select(F.col("id").alias("b"), F.col("to").alias("tb"))
         ends = live.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"))
-        live = materialize(ends.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        live = materialize(ends.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), n)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if not hops:

@@ -25,12 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Rows a task of a small intermediate result holds, about.
+ROWS_PER_PART = 50_000
+
+
+def materialize(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Later jobs scan compressed columns instead of recomputing, and a lost
-    executor loses nothing: the files are in the shared store.
+    executor loses nothing: the files are in the shared store. With
+    ``most_rows``, a bound of its rows, it is written by as many tasks as that
+    many rows need, where the plan has more.
     """
+    if most_rows is not None:
+        df = df.coalesce(max(1, -(-most_rows // ROWS_PER_PART)))
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lagwell/{uuid.uuid4().hex}"
     df.write.parquet(path)
