@@ -73,3 +73,41 @@ def test_frame_weights_and_splits(spark):
     slow = spark.createDataFrame([(0, 1, 0.01)], "state int, lag int, max_exchange double")
     assert [r["state"] for r in split_by_components(df, comp, slow, 0.05, 3).orderBy("row_id").collect()] == [0, 0, 0, 3, 3]
     assert [r["state"] for r in split_by_components(df, comp, slow, 0.001, 3).orderBy("row_id").collect()] == [0] * 5
+
+
+def test_images_yaml_and_adapters(spark, tmp_path):
+    from lagwell.sinks.writers import save_inspection, write_yaml
+    from lagwell.sources.readers import array_file, config, first_matrix, images, samples
+
+    two = np.arange(12.0).reshape(2, 3, 2)
+    np.savetxt(tmp_path / "p.txt", np.ones((4, 2)))
+    im = images(spark, [two, str(tmp_path / "p.txt")])
+    assert im.groupBy("path_id").count().orderBy("path_id").collect() == [(0, 3), (1, 3), (2, 4)]
+    write_yaml({"a": np.float64("inf"), "b": [np.int64(2)]}, str(tmp_path / "s.yaml"))
+    assert config(str(tmp_path / "s.yaml")) == {"a": None, "b": [2]}
+    np.save(tmp_path / "X.npy", two[0])
+    assert array_file(spark, str(tmp_path / "X.npy")).count() == 3
+    (tmp_path / "f.csv").write_text('META={"n": 1}\n1,2\n3,4\n')
+    assert array_file(spark, str(tmp_path / "f.csv")).orderBy("row_id").first()["x"] == [1, 2]
+    np.save(tmp_path / "P_jump.npy", np.eye(2))
+    assert first_matrix(str(tmp_path), ["none.csv", "P_jump.npy"]).shape == (2, 2)
+    with pytest.raises(FileNotFoundError):
+        first_matrix(str(tmp_path), ["none.csv"])
+    cells = spark.createDataFrame([(3, [0.1, 0.2], 2.0)], "cell int, x array<double>, mass double")
+    assert P.channel_from_grid(cells).first()["weight"] == 2.0
+    f = frames_emb(spark, DATA)
+    f.select("row_id").write.parquet(str(tmp_path / "rows"))
+    assert samples(spark, str(tmp_path / "rows"), 100).count() == 5
+    save_inspection(f, str(tmp_path / "csv"), ["row_id", "state"])
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).where("is_intermediate = 'true'").count() == f.where("state < 0").count()
+
+
+def test_blocks_of_a_source(spark):
+    from lagwell.sources.readers import blocks
+
+    df = spark.createDataFrame([(0, i, s) for i, s in enumerate([0, 1, 2, 0, 1, 0])], "source_order int, row long, step int")
+    ids = lambda d: [r["traj_id"] for r in d.orderBy("row").collect()]
+    assert ids(blocks(df, name="a", order="row", step="step")) == ["a:000000"] * 3 + ["a:000001"] * 2 + ["a:000002"]
+    assert ids(blocks(df, name="a", order="row", frames_per_traj=4)) == ["a:000000"] * 4 + ["a:000001"] * 2
+    assert ids(blocks(df, name="a", order="row")) == ["a:000000"] * 6
+    assert blocks(df.withColumn("traj_id", F.lit("x")), name="a", order="row").first()["traj_id"] == "x"
