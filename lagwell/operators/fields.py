@@ -100,4 +100,4 @@ def smoothed_mass(mass: DataFrame, axis: str, bins: int, sigma: float, periodic:
 
 def free_energy(density: DataFrame, name: str = "mass") -> DataFrame:
     """F = -ln(rho / max rho) of the bins with density."""
-    return density.where(F.col(name) > 0).withColumn("free_energy", -F.ln(F.col(name) / F.max(name).over(W.partitionBy(F.lit(0)))))
+    return density.where(F.col(name) > 0).withColumn("free_energy", F.ln(F.max(name).over(W.partitionBy(F.lit(0))) / F.col(name)))

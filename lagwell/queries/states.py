@@ -212,7 +212,7 @@ def r06(spark: SparkSession, d: str) -> DataFrame:
     return rounded(B.axis_limits(frames_emb(spark, d), ["x0", "x1"]), ["min_x0", "max_x0", "min_x1", "max_x1"])
 
 
-@query("a16_center_grid", "select a::int b0, round(-0.3 + (a + 0.5) * 0.1, 6) x0, b::int b1, round(-0.3 + (b + 0.5) * 0.15, 6) x1 from (select unnest([0, 1, 2, 3, 4, 5]) a), (select unnest([0, 1, 2, 3]) b)")
+@query("a16_center_grid", "select a::int b0, round(-0.3e0 + (a + 0.5e0) * 0.1e0, 6) x0, b::int b1, round(-0.3e0 + (b + 0.5e0) * 0.15e0, 6) x1 from (select unnest([0, 1, 2, 3, 4, 5]) a), (select unnest([0, 1, 2, 3]) b)")
 def a16(spark: SparkSession, d: str) -> DataFrame:
     return rounded(B.grid(spark, [(-0.3, 0.3, 6), (-0.3, 0.3, 4)]), ["x0", "x1"])
 
@@ -234,7 +234,7 @@ def a17(spark: SparkSession, d: str) -> DataFrame:
     return rounded(B.smoothed_mass(h, "b0", 24, 1.0, False).select("b0", "mass"), ["mass"])
 
 
-@query("a17_free_energy", f"with {_H1} select b0, round(mass, 6) mass, round(-ln(mass / max(mass) over ()), 6) free_energy from hh where mass > 0")
+@query("a17_free_energy", f"with {_H1} select b0, round(mass, 6) mass, round(ln(max(mass) over () / mass), 6) free_energy from hh where mass > 0")
 def a17f(spark: SparkSession, d: str) -> DataFrame:
     h = B.histogram(frames_emb(spark, d), F.col("x0"), -0.3, 0.3, 24).withColumnRenamed("bin", "b0")
     return rounded(B.free_energy(h), ["mass", "free_energy"])
