@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows a task of a small intermediate result holds, about.
-ROWS_PER_PART = 50_000
+ROWS_PER_PART = 10_000
 
 
 def materialize(df: DataFrame, most_rows: int | None = None) -> DataFrame:
