@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text handled at once; bounds the memory of the vectors below, not what is read.
 CHUNK_BYTES = 1 << 20
@@ -33,6 +35,24 @@ def slices(batch: pa.RecordBatch, name: str = "text", most: int = CHUNK_BYTES) -
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:], strict=False):
         yield batch.slice(a, b - a)
+    give_back()
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Whole texts travel to Python in batches of so many rows at most, so that a few megabytes stand on either side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def give_back() -> None:
+    """Return freed memory to the system; several workers share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
