@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwell.llm.batches import POWERS2, U, mix, prefix_hash, slices, span_hash, texts
+from lagwell.llm.batches import POWERS2, U, mix, prefix_hash, slices, small_batches, span_hash, texts
 from lagwell.operators.graph import connected_components
 from lagwell.plans.lineage import materialize
 
@@ -174,6 +174,8 @@ def _deletions(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("key", "side", "home", "lo", "line"))
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            size = 0
             for key, side, home, lo, line in zip(*columns, strict=True):
                 n = len(line) - (not home)
                 half = n // 2
@@ -182,16 +184,25 @@ def _deletions(rows: DataFrame) -> DataFrame:
                 h = prefix_hash(codes)
                 m = len(codes)
                 at = np.arange(m)
-                zero = np.zeros(m, np.int64)
-                less = mix(span_hash(h, zero, at) * U(31) + span_hash(h, at + 1, np.full(m, m)))
                 salt = U(key & (1 << 64) - 1)
                 if home:
-                    # "the whole rest" must equal a visitor's deletion: hash both as two parts at every place of the visitor
-                    meet = np.concatenate([mix(less + at.astype(U) * U(0xD6E8FEB86659FD93) + salt), mix(_two_parts(h, m) + salt + U(1))])
+                    # two homes differ in one place; a whole rest equals a visitor's deletion, so it is hashed as one
+                    less = mix(span_hash(h, np.zeros(m, np.int64), at) * U(31) + span_hash(h, at + 1, np.full(m, m)))
+                    meet = np.concatenate([mix(less + at.astype(U) * U(0xD6E8FEB86659FD93) + salt), mix(mix(h[m : m + 1] + U(m)) + salt + U(1))])
                 else:
-                    whole = (h[:m] + (h[m] - h[1 : m + 1]) * U(_INVERSE)).astype(U)
+                    whole = h[:m] + (h[m] - h[1 : m + 1]) * U(_INVERSE)
                     meet = np.unique(mix(mix(whole + U(m - 1)) + salt + U(1)))
-                yield pa.RecordBatch.from_arrays([_signed(meet), pa.array(np.full(len(meet), lo, np.int64)), pa.array(np.full(len(meet), home))], ["meet", "lo", "home"])
+                held.append((meet, np.full(len(meet), lo, np.int64), np.full(len(meet), home)))
+                size += len(meet)
+                if size >= 100_000:
+                    yield joined(held)
+                    held, size = [], 0
+            if held:
+                yield joined(held)
+
+    def joined(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        meet, lo, home = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([_signed(meet), pa.array(lo), pa.array(home)], ["meet", "lo", "home"])
 
     return rows.select("key", "side", "home", "lo", "line").mapInArrow(run, "meet long, lo long, home boolean")
 
@@ -199,11 +210,6 @@ def _deletions(rows: DataFrame) -> DataFrame:
 _INVERSE = pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 
 
-def _two_parts(h: np.ndarray, m: int) -> np.ndarray:
-    """The hash of a whole rest, as a visitor's deletion has it."""
-    return mix(h[m : m + 1] + U(m))
-
-
 def links(docs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
     """``(a, b)`` hashes of lines within one edit, enough to connect every class.
 
@@ -265,6 +271,7 @@ def _cut(many: list[str], drops: list[list[int] | None], min_chars: int) -> list
 
 
 def _with_drops(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    small_batches(df.sparkSession)
     docs = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("id"), F.col(f"`{text_col}`").alias("text"))
     drops = materialize(dropped_lines(docs, min_chars)).withColumnRenamed("id", "__id")
     return df.join(drops.hint("merge"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)) == F.col("__id"), "left")

@@ -17,9 +17,10 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from lagwell.llm.batches import slices, texts
+from lagwell.llm.batches import slices, small_batches, texts
 
-REMEMBER = 300_000
+#: Runs that are remembered, and half as many words again; a speed setting, results do not depend on it.
+REMEMBER = 250_000
 
 
 @dataclass(frozen=True)
@@ -80,7 +81,7 @@ class WordTokens:
                     if i < len(rank):
                         rank[i] = ranks.get((parts[i], parts[i + 1]), none)
                 out = np.array([vocabulary[p] for p in parts], "<u4").tobytes()
-                if len(self) < 2 * remember:
+                if len(self) < remember + remember // 2:
                     self[word] = out
                 return out
 
@@ -169,6 +170,7 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int =
     ids carry the task's partition in their upper bits. Repeated rows are
     packed each; columns other than the id are dropped.
     """
+    small_batches(df.sparkSession)
     cost = cost or Cost()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

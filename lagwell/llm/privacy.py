@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lagwell.llm.batches import slices, texts
+from lagwell.llm.batches import slices, small_batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
@@ -369,6 +369,8 @@ def redact(text: str, spans: list[Span]) -> str:
 def redact_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same rows with personal data replaced in ``text``; ``n_chars`` follows where the text changed. NULL texts stay NULL."""
 
+    small_batches(spark)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = trained()
         for batch in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwell.llm.batches import U, code_points, mix, prefix_hash, raw, slices, span_hash, windows, words
+from lagwell.llm.batches import U, code_points, mix, prefix_hash, raw, slices, small_batches, span_hash, windows, words
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -98,6 +98,7 @@ def quality_rules(df: DataFrame, rules: Rules | None = None, id_col: str = "doc_
     them. Repeated rows are measured each; columns other than the id are
     dropped. Whole texts are measured in one pass without a shuffle.
     """
+    small_batches(df.sparkSession)
     rules = rules or Rules()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_{k}gram_chars" for k, _ in rules.coverage)]
 
@@ -127,6 +128,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The verdict is computed beside each row rather than joined back by id, so
     repeated or NULL ids keep every row its own verdict.
     """
+    small_batches(spark)
     rules = Rules()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
