@@ -6,8 +6,10 @@ and a document falls into the child that its tokens at the chosen places name.
 Branches per level are chosen so that a pair at the threshold survives in one
 child or more on average while dissimilar pairs die out. Small nodes are
 compared exhaustively; larger ones link every member to the node's first
-document and branch again, more deeply. The number of independent trees
-follows from the recall asked for. Candidates are verified on their full sets.
+document. What stays large and apart is compared exactly, in salted blocks on
+the full sets: at once where branching would not pay, else after more levels.
+The number of independent trees follows from the recall asked for. Candidates
+are verified on their full sets.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from lagwell.plans.lineage import materialize
 
 #: Sketch places; sketch tokens are kept with 16 bits.
 PLACES = 128
-#: Places chosen per level; members that a node compares exhaustively; levels after which only first members are linked.
+#: Places chosen per level; members that a node compares exhaustively; levels after which all that is left is compared exactly.
 STEP, SMALL, LEVELS = 5, 32, 3
+#: Members and shingles of a side of an exact block at most; blocks of a group, where those bounds do not ask for more, and their least members.
+BLOCK, BLOCK_TOKENS, BLOCKS, LEAST = 4096, 4_000_000, 24, 128
 _RNG = np.random.default_rng(17)
 _MULTIPLY = _RNG.integers(1, 1 << 63, PLACES, np.uint64) | U(1)
 _ADD = _RNG.integers(0, 1 << 63, PLACES, np.uint64)
@@ -210,6 +214,102 @@ def _best(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("b").agg(F.max_by("a", F.struct("alike", -F.col("a"))).alias("a")).select("a", "b")
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections: common tokens by matrix products, rare ones by their lists."""
+    both = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for sets in (left, right):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        sides.append((tokens[order], row[order]))
+    shared = np.intersect1d(*(np.unique(t) for t, _ in sides), assume_unique=True)
+    (a0, a1), (b0, b1) = ([np.searchsorted(t, shared, side) for side in ("left", "right")] for t, _ in sides)
+    work = (a1 - a0) * (b1 - b0)
+    (_, ra), (_, rb) = sides
+    common = np.flatnonzero(work * 64 > both.size)
+    for i in range(0, len(common), 1024):
+        part = common[i : i + 1024]
+        x, y = np.zeros((len(left), len(part)), np.float32), np.zeros((len(right), len(part)), np.float32)
+        for k, t in enumerate(part):
+            x[ra[a0[t] : a1[t]], k] = 1
+            y[rb[b0[t] : b1[t]], k] = 1
+        both += x @ y.T
+    rare = np.flatnonzero(work * 64 <= both.size)
+    cut = np.searchsorted(np.cumsum(work[rare]), np.arange(1 << 22, int(work[rare].sum()) + (1 << 22), 1 << 22))
+    for part in np.split(rare, cut):
+        size = work[part]
+        k = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        n = np.repeat(b1[part] - b0[part], size)
+        np.add.at(both, (ra[np.repeat(a0[part], size) + k // n], rb[np.repeat(b0[part], size) + k % n]), np.float32(1))
+    return both
+
+
+def _joined(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Component numbers of the rows and the columns of a matrix of links."""
+    rows, columns = np.full(ok.shape[0], -1), np.full(ok.shape[1], -1)
+    for start in range(len(rows)):
+        ahead = np.array([start]) if rows[start] < 0 else np.zeros(0, int)
+        rows[ahead] = start
+        while len(ahead):
+            met = np.flatnonzero(ok[ahead].any(0) & (columns < 0))
+            columns[met] = start
+            ahead = np.flatnonzero(ok[:, met].any(1) & (rows < 0))
+            rows[ahead] = start
+    return rows, columns
+
+
+def _blocks(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)`` links that connect whatever is alike within each group of ``(g, id, m)``: all pairs, on the full sets.
+
+    A group is dealt over blocks by a hash, and every two blocks meet in one
+    task. A row travels once per block of its group; a task returns a link a
+    row at most, however many pairs are alike.
+    """
+    sized = groups.groupBy("g").agg(F.count("*").alias("n"), F.sum("m").alias("t"))
+    usual = F.least(F.ceil(F.col("n") / LEAST), F.lit(BLOCKS))
+    dealt = groups.join(sized.select("g", F.greatest(usual, F.ceil(F.col("n") / BLOCK), F.ceil(F.col("t") / BLOCK_TOKENS)).alias("blocks")), "g")
+    own = dealt.select("g", "id", F.pmod(F.xxhash64("id"), "blocks").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    keyed = own.select("g", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first")).join(sets, "id")
+
+    def run(block: pa.Table) -> pa.Table:
+        ids = block.column("id").to_numpy()
+        tokens = [np.frombuffer(x.as_buffer(), U) for x in block.column("tokens")]
+        first = np.flatnonzero(block.column("first").to_numpy(zero_copy_only=False))
+        second = first if block.column("i")[0] == block.column("j")[0] else np.setdiff1d(np.arange(len(ids)), first)
+        out: list[tuple[int, int]] = []
+        if len(first) and len(second):
+            size = np.array([len(x) for x in tokens])
+            both = _overlaps([tokens[x] for x in first], [tokens[x] for x in second])
+            ok = (100 + percent) * both.astype(np.float64) >= percent * (size[first][:, None] + size[second][None])
+            lead: dict[int, int] = {}
+            for part, label in zip((first, second), _joined(ok), strict=True):
+                for x, c in zip(ids[part].tolist(), label.tolist(), strict=True):
+                    if c >= 0 and lead.setdefault(c, x) != x:
+                        out.append((lead[c], x))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return keyed.groupBy("g", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _dense(large: DataFrame, trees: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """``(g, id, m)`` to compare exactly and the rows of ``large`` to branch.
+
+    Nodes that share documents make a group. It is compared as a whole where
+    that costs less than its nodes one by one; what is too loose for that
+    branches on or, at the last level, is compared node by node.
+    """
+    label = materialize(connected_components(large.select(F.col("first").alias("a"), F.col("id").alias("b")))).withColumnRenamed("component", "g")
+    rows = large.join(label, "id")
+    widest = rows.groupBy("g").agg(F.max("n").alias("widest"))
+    tight = label.groupBy("g").agg(F.count("*").alias("size")).join(widest, "g").where(F.col("size") <= trees * F.col("widest")).select("g")
+    whole = rows.join(tight, "g", "left_semi").select("g", "id", "m").distinct()
+    loose = rows.join(tight, "g", "left_anti").drop("g")
+    if last:
+        return whole.union(loose.select(F.col("node").alias("g"), "id", "m")), loose.limit(0)
+    return whole, loose
+
+
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, recall: float = 0.999999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id, kept)``, one row per input row.
 
@@ -217,9 +317,10 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, recall: float
     cost one representative (their smallest id). A large node first links
     each member to its first document, verified on full sets; nodes whose
     members are connected by then are settled, the others are compared within
-    (small) or branched (large). Verification takes one pair per document
+    (small), branched or compared in blocks (large). Verification takes one pair per document
     first, the most alike, then the pairs whose ends are still apart: every
-    candidate is verified or lies within one component already.
+    candidate is verified or lies within one component already. Large nodes
+    are never given up: see :func:`_dense`.
 
     NULL, empty and wordless texts have no shingles and stand alone. Rows
     with equal ids and equal sets share a component. Ids must be integers;
@@ -267,10 +368,15 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, recall: float
             held = materialize(_mixed(_grow(inputs, branches)), size)
         estimated(_small_pairs(held, percent), SMALL * size)
         large = held.where(F.col("n") > SMALL)
-        if not deeper or level == LEVELS - 1 or large.isEmpty():
+        if not deeper or large.isEmpty():
+            break
+        dense, loose = _dense(large, n_trees(similarity, recall), level == LEVELS - 1)
+        links = links.union(materialize(_blocks(dense, sets, percent)))
+        if loose.isEmpty():
             break
-        inputs = materialize(large.groupBy("id", "c", "m").agg(F.collect_list(F.struct("path", "node")).alias("at")).join(reps.select("id", "sketch"), "id"))
-        branches = similarity**-STEP
+        inputs = materialize(loose.groupBy("id", "c", "m").agg(F.collect_list(F.struct("path", "node")).alias("at")).join(reps.select("id", "sketch"), "id"))
+        # two children in common on average, so that a pair at the threshold does not die out
+        branches = 2 * similarity**-STEP
         held = materialize(_mixed(_grow(inputs, branches)))
 
     pairs_all = reduce(DataFrame.union, pairs)

@@ -149,6 +149,35 @@ def test_hot_groups(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("levels", [1, 3])
+def test_large_nodes_are_finished(spark, monkeypatch, levels):
+    """Pairs at the threshold in a group just under it, in nodes that stay large to the end."""
+    monkeypatch.setattr(near, "SMALL", 2)
+    monkeypatch.setattr(near, "LEVELS", levels)
+    monkeypatch.setattr(near, "LEAST", 20, raising=False)
+    rng = random.Random(5)
+    words, texts = prose(11, 200).split(), []
+    for g in range(150):
+        base = list(words)
+        for x in rng.sample(range(200), 4):
+            base[x] = f"g{g}x{x}"
+        for v in range(2):
+            copy = list(base)
+            for x in rng.sample(range(200), 2):
+                copy[x] = f"v{g}x{x}y{v}"
+            texts.append(" ".join(copy))
+    want, _ = slow_components(texts, 3, 85)
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(docs(spark, texts), 3, 85).collect()}
+    assert 100 < len(set(want)) < 290 and [got[i] for i in range(len(texts))] == want
+
+
+def test_block_overlaps():
+    rng = np.random.default_rng(3)
+    left, right = ([np.unique(rng.integers(0, n, 40, np.uint64)) for _ in range(90) for n in (60, 5000)] for _ in range(2))
+    want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert near._overlaps(left, right).tolist() == want
+
+
 def test_near_edges(spark):
     assert near.near_duplicates(docs(spark, [])).count() == 0
     nulls = docs(spark, ["a b c", "a b c"]).selectExpr("cast(null as long) doc_id", "text")
