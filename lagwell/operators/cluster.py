@@ -127,6 +127,42 @@ def knn(df: DataFrame, references: np.ndarray, reference_ids: np.ndarray, k: int
     return df.select("row_id", x).mapInArrow(run, "row_id long, ids array<long>, dists array<double>")
 
 
+def knn_all(df: DataFrame, k: int, x: str = "x", block: int = 4096) -> DataFrame:
+    """:func:`knn` with every other row as a reference: blocks of rows meet in pairs, then the best k over all blocks.
+
+    Each row travels once per block in either role, and a block pair returns
+    at most k candidates of each row. With fewer than k others, all of them.
+    """
+    rows = df.select("row_id", x)
+    blocks = max(1, -(-rows.count() // block))
+    own, every = F.pmod(F.xxhash64("row_id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    queries = rows.select(own.alias("q"), every.alias("r"), "row_id", x)
+    references = rows.select(every.alias("q"), own.alias("r"), "row_id", x)
+
+    def run(asked: pa.Table, given: pa.Table) -> pa.Table:
+        rows_out, found_ids, found = [], [], []
+        if asked.num_rows and given.num_rows:
+            given = given.combine_chunks()
+            ref, ids = np.array(given.column(x).to_pylist(), float), given.column("row_id").to_numpy()
+            for a in range(0, asked.num_rows, 1024):
+                part = asked.slice(a, 1024)
+                row_id = part.column("row_id").to_numpy()
+                d2 = distances(np.array(part.column(x).to_pylist(), float), ref)
+                d2[row_id[:, None] == ids[None, :]] = np.inf
+                order = np.lexsort((np.broadcast_to(ids, d2.shape), d2), axis=1)[:, :k]
+                best = np.take_along_axis(d2, order, 1)
+                at = np.flatnonzero(np.isfinite(best))
+                rows_out.append(np.repeat(row_id, order.shape[1])[at])
+                found_ids.append(ids[order].ravel()[at])
+                found.append(best.ravel()[at])
+        kinds = (np.int64, np.int64, np.float64)
+        return pa.table({n: pa.array(np.concatenate([np.zeros(0, t), *v])) for n, v, t in zip(("row_id", "id", "d2"), (rows_out, found_ids, found), kinds, strict=True)})
+
+    near = queries.groupBy("q", "r").cogroup(references.groupBy("q", "r")).applyInArrow(run, "row_id long, id long, d2 double")
+    best = near.groupBy("row_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "id"))), 1, k).alias("best"))
+    return best.select("row_id", F.col("best.id").alias("ids"), F.transform("best.d2", F.sqrt).alias("dists"))
+
+
 def knn_density(df: DataFrame, references: np.ndarray, weights: np.ndarray, k: int, x: str = "x") -> DataFrame:
     """Add ``density``: sum of the k nearest references' weights over r_k^d, in logs and clipped to what a double holds."""
     ref, w = _shipped(references), np.asarray(weights, float) / np.sum(weights)

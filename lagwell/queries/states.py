@@ -319,9 +319,10 @@ def c01(spark: SparkSession, d: str) -> DataFrame:
     return cells.groupBy("cell").agg(F.count("*").alias("n"), F.sum("dist2").alias("cost"))
 
 
-def _references(spark: SparkSession, d: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = C.weighted_sample(frames_emb(spark, d), 400).select("row_id", "x", "weight").collect()
-    return np.array([r["x"] for r in rows]), np.array([r["row_id"] for r in rows]), np.array([r["weight"] for r in rows])
+def _references(spark: SparkSession, d: str) -> tuple[np.ndarray, np.ndarray]:
+    """The sample that density is estimated against."""
+    rows = C.weighted_sample(frames_emb(spark, d), 400).select("x", "weight").collect()
+    return np.array([r["x"] for r in rows]), np.array([r["weight"] for r in rows])
 
 
 @query("o02_weighted_sample", None)
@@ -331,21 +332,18 @@ def o02(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j09_nearest_neighbours", None)
 def j09(spark: SparkSession, d: str) -> DataFrame:
-    x, ids, _ = _references(spark, d)
-    return C.knn(frames_emb(spark, d), x, ids, 5)
+    return C.knn_all(frames_emb(spark, d), 5)
 
 
 @query("c05_neighbour_density", None)
 def c05(spark: SparkSession, d: str) -> DataFrame:
-    x, _, w = _references(spark, d)
+    x, w = _references(spark, d)
     return C.knn_density(frames_emb(spark, d).select("row_id", "x"), x, w, 25).select("row_id", "density")
 
 
 @query("c06_components", None)
 def c06(spark: SparkSession, d: str) -> DataFrame:
-    x, ids, _ = _references(spark, d)
-    f = frames_emb(spark, d)
-    return connected_components(C.neighbour_edges(C.knn(f, x, ids, 5), scale=0.8))
+    return connected_components(C.neighbour_edges(C.knn_all(frames_emb(spark, d), 5), scale=0.8))
 
 
 @query("c06_trajectory_components", f"with {EV} select traj_id id, min(traj_id) over () component from (select distinct traj_id from ev) where true")

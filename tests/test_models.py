@@ -124,6 +124,22 @@ def test_nearest_centers_agree(spark):
     assert all(np.allclose([r["m0"], r["m1"], r["m2"]], centers[r["cell"]]) for r in means)
 
 
+def test_neighbours_search_every_row(spark):
+    from lagwell import catalog
+    from lagwell.queries.views import frames_emb
+
+    rows = frames_emb(spark, "/root/testdata/sf0.1").select("row_id", "x").collect()
+    ids, x = np.array([r["row_id"] for r in rows]), np.array([r["x"] for r in rows])
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d2, np.inf)
+    want = {i: np.sort(d)[:5] for i, d in zip(ids, d2, strict=True)}
+    got = catalog.queries()["j09_nearest_neighbours"](spark, "/root/testdata/sf0.1").collect()
+    split = C.knn_all(frames_emb(spark, "/root/testdata/sf0.1"), 5, block=700).collect()
+    for found in (got, split):
+        assert len(found) == len(rows)
+        assert all(len(set(r["ids"]) - {r["row_id"]}) == 5 and np.allclose(np.square(r["dists"]), want[r["row_id"]], atol=1e-9) for r in found)
+
+
 def test_reweighting_and_matching(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(200, 1))
