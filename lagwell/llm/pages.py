@@ -26,13 +26,16 @@ from lagwell.llm.batches import slices, texts
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
-    r"|<(script|style|template|noscript|svg|head|iframe|object|math|canvas)\b(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*>(?:.*?</\1\s*>|.*\Z)"
+    r"|<(script|style|template|noscript|svg|iframe|object|math|canvas)\b(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*|[^>]*)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
+#: Elements left out with all they hold; without an end tag only the first two run to the end of the page.
+_RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in "script style template noscript svg iframe object math canvas".split()}
+#: What a head may hold; any other start tag, or text outside the title, ends one that is not closed.
+HEAD = frozenset("html base basefont bgsound link meta title script style noscript template".split())
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img input hr meta link source track area col embed param base".split())
 VOID_BREAK = frozenset(("br", "wbr", "img", "hr"))
@@ -114,19 +117,40 @@ def parse(page: str) -> Tree:
                 tree.last[at] = text
         linked = 0
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, head, title, endless = 0, False, False, set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
-            pieces.append(page[at : m.start()])
-            if links:
-                linked += m.start() - at
+            head = head and (title or page[at : m.start()].isspace())
+            if not head:
+                pieces.append(page[at : m.start()])
+                if links:
+                    linked += m.start() - at
         at = m.end()
+        if m[1]:
+            name = m[1].lower()
+            head = head and name in HEAD
+            if name not in ("script", "style") and m[0].endswith("/>"):
+                continue
+            end = None if name in endless else _RAW_END[name].search(page, at)
+            if end:
+                at = end.end()
+            elif name in ("script", "style"):
+                at = len(page)
+            else:
+                endless.add(name)
+            continue
         name = m[3]
         if name is None:
-            if m[1] and m[1].lower() == "head" and (end := _HEAD_END.search(m[0])) is None:
-                flush()
             continue
         name = name.lower()
+        if name == "head":
+            head, title = not m[2], False
+            continue
+        if head:
+            title = title and name != "title" if m[2] else name == "title"
+            if m[2] or name in HEAD:
+                continue
+            head = False
         if name in INLINE:
             if name == "a":
                 links = max(0, links + (-1 if m[2] else 1))
@@ -160,7 +184,7 @@ def parse(page: str) -> Tree:
         tree.last.append("")
         if not m[4].endswith("/"):
             stack.append(len(tree.parent) - 1)
-    if at < len(page):
+    if at < len(page) and not (head and title):
         pieces.append(page[at:])
     flush()
     return tree

@@ -376,6 +376,21 @@ def test_messages_on_a_tree_are_exact():
     assert np.allclose(got, want) and np.isclose(log_z, np.log(np.exp(weight).sum()))
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>t</title><body><article>One two", ["One two"]),
+        ("<html><head><title>t</title><script>'<body>'</script><p>One</p>", ["One"]),
+        ("<head><title>t</title></head><body><p>One</p></body>", ["One"]),
+        ("<p>One</p><svg width='1'/><p>Two</p>", ["One", "Two"]),
+        ("<p>One</p><iframe src='x'><p>Two</p><noscript><p>Three</p>", ["One", "Two", "Three"]),
+        ("<p>One</p><svg><text>no</text></svg><p>Two</p><script>no", ["One", "Two"]),
+    ],
+)
+def test_open_elements_keep_the_page(page, want):
+    assert [text for _, text in pages.parse(page).blocks] == want
+
+
 def test_held_out_pages():
     w, pair = pages.trained()
     rng = random.Random(4242)
