@@ -38,6 +38,18 @@ def slices(batch: pa.RecordBatch, name: str = "text", most: int = CHUNK_BYTES) -
     give_back()
 
 
+def with_text(part: pa.RecordBatch, text: list[str | None], sizes: dict[int, int]) -> pa.RecordBatch:
+    """The rows with another ``text``, and another ``n_chars`` where that column is there and ``sizes`` names the row."""
+    columns = {f.name: part.column(f.name) for f in part.schema}
+    columns["text"] = pa.array(text, part.schema.field("text").type)
+    if "n_chars" in columns and sizes:
+        known = columns["n_chars"].to_pylist()
+        for i, n in sizes.items():
+            known[i] = n
+        columns["n_chars"] = pa.array(known, part.schema.field("n_chars").type)
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Whole texts travel to Python in batches of so many rows at most, so that a few megabytes stand on either side."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

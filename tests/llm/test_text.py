@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -215,3 +216,31 @@ def test_empty_batch():
     assert packing.place([], 8, packing.Cost(), True) == []
     assert quality.measure(np.zeros(0, np.uint8), np.zeros(1, np.int64), quality.Rules())["n_words"].tolist() == []
     assert pa.array([]) is not None
+
+
+def test_secrets_and_their_copies():
+    weights = privacy.trained()
+    key, filler = "3f2a9c0b7d1e4f5a6b7c8d9e0f1a2b3c4d5e6f70", " and so on with many more words until the next mention of it comes along somewhere here "
+    told = f'token = "{key}"{filler}then {key} again'
+    assert [(k, told[s:e]) for k, s, e in privacy.find(told, weights)[1]] == [(4, key)] * 2
+    assert privacy.find(f"commit {key}{filler}", weights)[1] == [] and privacy.find(f"the {key}{filler}", weights)[1] == []
+    assert privacy.redact(told, privacy.find(told, weights)[1]) == f'token = "[SECRET]"{filler}then [SECRET] again'
+
+
+def test_secrets_of_the_tables_are_found(spark):
+    d = "/root/testdata/sf0.01"
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    found = {r["doc_id"]: r for r in privacy.op2_pii(spark, d).collect()}
+    planted = {i: [m.start(1) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)] for i, t in text.items()}
+    assert sum(map(len, planted.values())) > 5
+    for i, starts in planted.items():
+        assert set(starts) == {int(x.split(":")[1]) for x in found[i]["spans"].split(",") if x.startswith("secret")}
+        assert found[i]["n_added"] >= len(starts)
+
+
+@pytest.mark.parametrize("t", ["0" * 5000 + "1.1.1.1", "7" * 10**6, "1." * 400_000, "a@" * 400_000, "1 " * 400_000 + "a", "+1(" * 300_000, "a" * 10**6 + "@" + "b" * 10**6, "0a" * 400_000], ids=["zeros", "digits", "dots", "ats", "spaced", "plus", "long mail", "hex"])
+def test_very_long_texts_are_searched_in_linear_time(t):
+    began = time.perf_counter()
+    base, _ = privacy.find(t, privacy.trained())
+    assert time.perf_counter() - began < 10
+    assert len(base) == {"0000": 1, "1.1.": 100_000}.get(t[:4], 0)
