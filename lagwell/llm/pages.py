@@ -24,13 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lagwell.llm.batches import slices, texts
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)"
-    r"|<(script|style|template|noscript|svg|iframe|object|math|canvas)\b(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*|[^>]*)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
+_MARK = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?])")
+#: What may stand in a tag before its end, quoted strings as a whole.
+_INSIDE = re.compile(r"(?:\"[^\"]*+\"|'[^']*+'|[^<>\"']++)*+")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements left out with all they hold; without an end tag only the first two run to the end of the page.
 _RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in "script style template noscript svg iframe object math canvas".split()}
@@ -85,6 +81,10 @@ def _element(tag: str, attributes: str) -> tuple[int, ...]:
     return tuple(on)
 
 
+#: Elements nested deeper hang on their ancestor at this depth, as in browsers; none of their text is lost.
+DEEPEST = 512
+
+
 @dataclass
 class Tree:
     """Structural elements of one page in document order; a parent comes before its children."""
@@ -99,10 +99,68 @@ class Tree:
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
+class Tags:
+    """The markup of a page from left to right, in time proportional to the page.
+
+    A tag ends at its first ``>`` outside quotes, or, where quotes do not
+    pair up before the next ``<``, at its first ``>``; that is not tried again
+    for the tags up to the place where the pairing failed.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.loose = page, page.rfind(">"), 0
+
+    def next(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """``(start, end, name, inside, is an end tag)`` of the next one; comments and declarations have no name."""
+        page = self.page
+        while m := _MARK.search(page, at):
+            if m[1]:
+                end = page.find("-->", m.end())
+                return m.start(), len(page) if end < 0 else end + 3, "", "", False
+            at = m.end()
+            if at > self.last:
+                continue
+            if m[3] is None:
+                return m.start(), page.find(">", at) + 1, "", "", False
+            if m.start() >= self.loose:
+                end = _INSIDE.match(page, at).end()
+                if page.startswith(">", end):
+                    return m.start(), end + 1, m[3].lower(), page[at:end], bool(m[2])
+                self.loose = end
+            end = page.find(">", at)
+            return m.start(), end + 1, m[3].lower(), page[at:end], bool(m[2])
+        return None
+
+
+class Open:
+    """The open elements, root first, with the places of each kind, so that none is searched for."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags = [0], ["html"]
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, node: int, tag: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def place(self, tag: str) -> int:
+        """Of the innermost element of this kind; 0 if there is none."""
+        held = self.at.get(tag)
+        return held[-1] if held else 0
+
+    def close(self, place: int) -> None:
+        """It and all inside it."""
+        if place:
+            while len(self.nodes) > place:
+                self.nodes.pop()
+                self.at[self.tags.pop()].pop()
+
+
 def parse(page: str) -> Tree:
     """The structural tree and its text blocks; inline elements belong to the element around them."""
     tree = Tree([-1], [0], ["html"], [_element("html", "")], [0], [0], [""])
-    stack, pieces, links, linked = [0], [], 0, 0
+    stack, pieces, links, linked = Open(), [], 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -110,7 +168,7 @@ def parse(page: str) -> Tree:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                at = stack[-1]
+                at = stack.nodes[-1]
                 tree.blocks.append((at, text))
                 tree.chars[at] += len(text)
                 tree.linked[at] += min(linked, len(text))
@@ -118,72 +176,67 @@ def parse(page: str) -> Tree:
         linked = 0
 
     at, head, title, endless = 0, False, False, set()
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            head = head and (title or page[at : m.start()].isspace())
+    tags = Tags(page)
+    while found := tags.next(at):
+        start, end, name, inside, closing = found
+        if start > at:
+            head = head and (title or page[at:start].isspace())
             if not head:
-                pieces.append(page[at : m.start()])
+                pieces.append(page[at:start])
                 if links:
-                    linked += m.start() - at
-        at = m.end()
-        if m[1]:
-            name = m[1].lower()
+                    linked += start - at
+        at = end
+        if not name:
+            continue
+        if name in _RAW_END and not closing:
             head = head and name in HEAD
-            if name not in ("script", "style") and m[0].endswith("/>"):
+            if name not in ("script", "style") and inside.endswith("/"):
                 continue
-            end = None if name in endless else _RAW_END[name].search(page, at)
-            if end:
-                at = end.end()
+            over = None if name in endless else _RAW_END[name].search(page, at)
+            if over:
+                at = over.end()
             elif name in ("script", "style"):
                 at = len(page)
             else:
                 endless.add(name)
             continue
-        name = m[3]
-        if name is None:
-            continue
-        name = name.lower()
         if name == "head":
-            head, title = not m[2], False
+            head, title = not closing, False
             continue
         if head:
-            title = title and name != "title" if m[2] else name == "title"
-            if m[2] or name in HEAD:
+            title = title and name != "title" if closing else name == "title"
+            if closing or name in HEAD:
                 continue
             head = False
         if name in INLINE:
             if name == "a":
-                links = max(0, links + (-1 if m[2] else 1))
+                links = max(0, links + (-1 if closing else 1))
             elif name in VOID_BREAK:
                 pieces.append(" ")
             continue
         flush()
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[i]] == name:
-                    del stack[i:]
-                    break
+        if closing:
+            stack.close(stack.place(name))
             links = 0
             continue
-        if name in ("html", "body") and name in (tree.tag[i] for i in stack):
+        if name == "html" or name == "body" and stack.place("body"):
             continue
         for closed in CLOSES.get(name, ()):
-            for i in range(len(stack) - 1, 0, -1):
-                open_tag = tree.tag[stack[i]]
-                if open_tag == closed:
-                    del stack[i:]
-                    break
-                if open_tag in FENCE.get(closed, ()) or (closed == "p" and open_tag != "p"):
-                    break
-        tree.parent.append(stack[-1])
-        tree.depth.append(len(stack))
+            if closed == "p":
+                if stack.tags[-1] == "p":
+                    stack.close(stack.place("p"))
+            elif stack.place(closed) > max(map(stack.place, FENCE.get(closed, ())), default=0):
+                stack.close(stack.place(closed))
+        depth = min(len(stack.nodes), DEEPEST)
+        tree.parent.append(stack.nodes[depth - 1])
+        tree.depth.append(depth)
         tree.tag.append(name)
-        tree.on.append(_element(name, m[4]))
+        tree.on.append(_element(name, inside))
         tree.chars.append(0)
         tree.linked.append(0)
         tree.last.append("")
-        if not m[4].endswith("/"):
-            stack.append(len(tree.parent) - 1)
+        if not inside.endswith("/"):
+            stack.push(len(tree.parent) - 1, name)
     if at < len(page) and not (head and title):
         pieces.append(page[at:])
     flush()

@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -391,6 +392,38 @@ def test_open_elements_keep_the_page(page, want):
     assert [text for _, text in pages.parse(page).blocks] == want
 
 
+def slow_tags(page):
+    """Start, end, name of each tag by definition: the first ``>`` outside quotes if there is one before a bare ``<``, else the first."""
+    out, at = [], 0
+    while m := re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*|[^>]*)>|<[!?][^>]*>", re.S).search(page, at):
+        out.append((m.start(), m.end(), (m[2] or "").lower()))
+        at = m.end()
+    return out
+
+
+def test_tags_equal_the_pattern():
+    rng = random.Random(8)
+    parts = ["<p>", "</p>", "a b", '<a href="x>y">', "<b", '"x"', "'x'", ">", "<", "<!-- c -->", "<!--", "<!doctype>", "<i title='>'>", "<br/>", "<x y=z", " "]
+    for _ in range(4000):
+        page = "".join(rng.choices(parts, k=rng.randint(1, 12)))
+        tags, at, got = pages.Tags(page), 0, []
+        while found := tags.next(at):
+            got.append(found[:3])
+            at = found[1]
+        assert got == slow_tags(page), page
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 330_000, '<a "' * 250_000, "<div>" * 100_000 + "</x>" * 100_000, "<div>" * 200_000 + "x", "<ul><li><ul>" + "<div>" * 100_000 + "<li></li>" * 50_000, "<!--" * 250_000, "<" * 10**6, "<a " + "\"<b '>'\"" * 100_000 + "<", "<svg>" * 200_000, "<div>" * 100_000 + "<body>" * 100_000],
+    ids=["open tags", "open quotes", "stray ends", "deep", "fenced items", "comments", "signs", "quotes in quotes", "foreign", "bodies"],
+)
+def test_very_long_pages_are_read_in_linear_time(page):
+    began = time.perf_counter()
+    pages.main_text([pages.parse(page)], *pages.trained())
+    assert time.perf_counter() - began < 10
+
+
 def test_held_out_pages():
     w, pair = pages.trained()
     rng = random.Random(4242)
