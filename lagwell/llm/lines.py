@@ -1,39 +1,67 @@
 """Line dedup by a segment-partition edit join.
 
-Lines within one edit of each other are one class. A line is split into
-threshold + 1 = 2 segments; one edit leaves one of them whole, so two lines in
-a class share the first or the last segment under a key that also holds the
-shorter line's length: every line is indexed under its own length and probes
-its own length and the one below. Small key groups are compared pair by pair.
-A large group is split by what is left beside the shared segment: one edit
-there means that leaving out one character makes the rests equal, so rests
-meet under the hash of each of their one-character deletions, which costs a
-row per character however many lines share the segment. Every candidate pair
-is verified by a banded bit-parallel edit distance on the lines' text.
+Lines within ``edits`` edits of each other are one class; in a line of ten
+words or more an edit changes a word, in a shorter one a character. A line is
+split into edits + 1 segments; the edits leave one of them whole, so two lines
+in a class share a segment under a key that also holds the shorter line's
+length: every line is indexed under its own length and probes its own length
+and those below, each segment at the places it can have moved to. Small key
+groups are compared pair by pair. A large group is joined again in the same
+way on what is left beside the shared segment, which holds all the edits, and
+so on until the groups are small or nothing is left that could differ: each
+round costs a row or a few per line however many lines share the segment.
+Every candidate pair is verified by a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwell.llm.batches import POWERS2, U, mix, prefix_hash, slices, small_batches, span_hash, texts
+from lagwell.llm.batches import POWERS2, U, mix, prefix_hash, slices, small_batches, span_hash, texts, with_text
+from lagwell.llm.quality import Rules
 from lagwell.operators.graph import connected_components
 from lagwell.plans.lineage import materialize
 
 #: Shorter lines (code points, white space at the ends aside) carry too little to be told apart, and stay.
 MIN_CHARS = 20
+#: Lines of so many words are compared by words, so that an edit is at most a tenth of a line; shorter ones by characters.
+WORDS_FROM = 10
+#: Edits within which lines are one class.
+EDITS = 1
 #: Lines that a key group compares pair by pair.
 SMALL = 24
-THRESHOLD = 1
 
 _BLANK = np.zeros(33, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_SPACE = " \t\n\x0b\x0c\r"
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
+
+
+def shifts(edits: int, longer: int, i: int) -> range:
+    """Where segment ``i`` of a line can stand in one ``longer`` symbols longer: at most i edits lie before it, the others behind."""
+    return range(max(-i, longer - (edits - i)), min(i, longer + (edits - i)) + 1)
+
+
+def probes(edits: int) -> list[tuple[int, int, int]]:
+    """``(longer, i, shift)`` of every key of a line: its index keys (0, i, 0) first, in order of i, then the others that it probes."""
+    every = [(d, i, s) for d in range(edits + 1) for i in range(edits + 1) for s in shifts(edits, d, i)]
+    return sorted(every, key=lambda x: (x[0] != 0 or x[2] != 0, x))
+
+
+def symbols(line: str) -> list[str] | str:
+    """What an edit changes in a line: its words, if they are many, else its characters."""
+    found = _WORDS(line)
+    return found if len(found) >= WORDS_FROM else line
 
 
 class Lines:
@@ -47,7 +75,8 @@ class Lines:
         breaks = np.flatnonzero(self.codes == 10)
         start, end = np.concatenate([[0], breaks + 1]), np.append(breaks, len(self.codes))
         doc = np.searchsorted(self.begin, start, "right") - 1
-        ink = np.flatnonzero(~_BLANK[np.minimum(self.codes, 32)] | (self.codes > 32))
+        self.ink = ~_BLANK[np.minimum(self.codes, 32)] | (self.codes > 32)
+        ink = np.flatnonzero(self.ink)
         lo, hi = np.searchsorted(ink, start), np.searchsorted(ink, end)
         full = hi > lo
         self.first_line = np.searchsorted(start, self.begin)
@@ -60,15 +89,33 @@ class Lines:
         self.h = prefix_hash(self.codes)
         self.lo = span_hash(self.h, self.start, self.end)
 
-    def hi(self) -> np.ndarray:
-        return span_hash(prefix_hash(self.codes, POWERS2), self.start, self.end, POWERS2)
-
-    def segment(self, side: int, shorter: int) -> np.ndarray:
-        """The key of the first (0) or last (1) segment of a partner that is ``shorter`` characters shorter."""
-        length = self.end - self.start - shorter
-        half = length // 2
-        part = (self.start, self.start + half) if side == 0 else (self.end - (length - half), self.end)
-        return mix(span_hash(self.h, *part) + (2 * length + side).astype(U) * U(0x9E3779B97F4A7C15))
+    def line(self) -> np.ndarray:
+        """A 128-bit hash of each line, as 16 bytes."""
+        hi = span_hash(prefix_hash(self.codes, POWERS2), self.start, self.end, POWERS2)
+        return np.ascontiguousarray(np.stack([hi, self.lo], 1)).view("V16").ravel()
+
+    def keys(self, edits: int) -> list[np.ndarray]:
+        """Every line's keys in the order of :func:`probes`; no key where the line is too short to have it."""
+        edge = np.diff(np.concatenate([[False], self.ink, [False]]).astype(np.int8))
+        begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        first, last = np.searchsorted(begins, self.start), np.searchsorted(begins, self.end)
+        by_word = last - first >= WORDS_FROM
+        words = prefix_hash(span_hash(self.h, begins, ends))
+        at, to = np.where(by_word, first, self.start), np.where(by_word, last, self.end)
+
+        def part(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            out = np.empty(len(a), U)
+            out[by_word] = span_hash(words, a[by_word], b[by_word])
+            out[~by_word] = span_hash(self.h, a[~by_word], b[~by_word])
+            return out
+
+        out = []
+        for longer, i, shift in probes(edits):
+            n = to - at - longer
+            a, b = at + n * i // (edits + 1) + shift, at + n * (i + 1) // (edits + 1) + shift
+            salt = ((2 * n + by_word) * (edits + 1) + i).astype(U) * U(0x9E3779B97F4A7C15)
+            out.append(mix(part(np.clip(a, at, to), np.clip(b, at, to)) + salt))
+        return out
 
     def later(self) -> np.ndarray:
         """True for lines that repeat an earlier line of their text."""
@@ -83,22 +130,26 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row per (document, distinct line): the line's 128-bit hash and its index and probe keys."""
-    names = ["hi", "lo", "home0", "home1", "visit0", "visit1"]
+def _binary(x: np.ndarray) -> pa.Array:
+    """16 bytes a row."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
+
+
+def occurrences(docs: DataFrame, min_chars: int, edits: int) -> DataFrame:
+    """One row per (document, distinct line): the line's 128-bit hash and its keys."""
+    names = [f"key{j}" for j in range(len(probes(edits)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 x = Lines(texts(part.column("text")).to_pylist(), min_chars)
                 once = ~x.later()
-                found = [x.hi(), x.lo, x.segment(0, 0), x.segment(1, 0), x.segment(0, 1), x.segment(1, 1)]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(x.doc[once])), *(_signed(c[once]) for c in found)], ["id", *names])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(x.doc[once])), _binary(x.line()[once]), *(_signed(c[once]) for c in x.keys(edits))], ["id", "line", *names])
 
-    return docs.mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in names))
+    return docs.mapInArrow(run, "id long, line binary, " + ", ".join(f"{c} long" for c in names))
 
 
-def within(a: str, b: str, k: int) -> bool:
+def within(a: list[str] | str, b: list[str] | str, k: int) -> bool:
     """Whether the edit distance is at most ``k``: common ends off, then a bit-parallel band of 2k + 1 diagonals."""
     if len(a) > len(b):
         a, b = b, a
@@ -143,124 +194,186 @@ def within(a: str, b: str, k: int) -> bool:
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
-    """``(lo, line)`` of the wanted ``(id, lo)``, taken from their documents."""
+    """``(line, text)`` of the wanted ``(id, line)``, taken from their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 many = texts(part.column("text")).to_pylist()
                 x = Lines(many, min_chars)
-                want = part.column("want").to_pylist()
-                sets = [set(w) for w in want]
-                lo = x.lo.view(np.int64)
-                hit = [i for i, (d, h) in enumerate(zip(x.doc.tolist(), lo.tolist(), strict=True)) if h in sets[d]]
+                sets = [set(w) for w in part.column("want").to_pylist()]
+                line = _binary(x.line()).to_pylist()
+                hit = [i for i, (d, h) in enumerate(zip(x.doc.tolist(), line, strict=True)) if h in sets[d]]
                 offset = x.begin[x.doc]
                 a, b = (x.start - offset).tolist(), (x.end - offset).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(lo[hit]), pa.array([many[x.doc[i]][a[i] : b[i]] for i in hit], pa.string())], ["lo", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array([line[i] for i in hit], pa.binary()), pa.array([many[x.doc[i]][a[i] : b[i]] for i in hit], pa.string())], ["line", "text"])
 
-    per_doc = wanted.groupBy("id").agg(F.collect_set("lo").alias("want"))
+    per_doc = wanted.groupBy("id").agg(F.collect_set("line").alias("want"))
     # a merge join at any size: which documents are wanted grows with the input
-    return docs.join(per_doc.hint("merge"), "id").select("text", "want").mapInArrow(run, "lo long, line string").dropDuplicates(["lo"])
+    return docs.join(per_doc.hint("merge"), "id").select("text", "want").mapInArrow(run, "line binary, text string").dropDuplicates(["line"])
+
+
+#: A row of a group: what is left of the line beside the segments it shares, its words joined by blanks.
+_ROW = "key long, line binary, home boolean, longer int, by_word boolean, rest string"
+
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of groups that hold two lines or more, one of them indexed there, with the group's size ``n``."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("n > 1 and homes > 0").drop("homes")
+    return rows.join(sizes, "key")
 
-def _deletions(rows: DataFrame) -> DataFrame:
-    """``(meet, lo, home)``: the keys under which the members of a large group meet.
 
-    A home line emits each deletion of its rest with its place (two lines of
-    one length differ in one place) and its rest as a whole; a visitor, one
-    longer, emits each deletion of its rest (it has one character more).
+def _rests(rows: DataFrame, edits: int) -> DataFrame:
+    """The rows of the first groups, ``(key, line, j, text)``, with what is left of their lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = probes(edits)
+        for batch in batches:
+            columns: list[list] = [[], [], [], []]
+            for j, text in zip(batch.column("j").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                longer, i, shift = plan[j]
+                line = symbols(text)
+                n, by_word = len(line) - longer, not isinstance(line, str)
+                a, b = n * i // (edits + 1) + shift, n * (i + 1) // (edits + 1) + shift
+                rest = line[:a] + line[b:]
+                for column, value in zip(columns, (longer == 0 and shift == 0, longer, by_word, " ".join(rest) if by_word else rest), strict=True):
+                    column.append(value)
+            kinds = (pa.bool_(), pa.int32(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("line"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["key", "line", "home", "longer", "by_word", "rest"])
+
+    return rows.select("key", "line", "j", "text").mapInArrow(run, _ROW)
+
+
+def keys_of_rest(key: int, home: bool, longer: int, rest: list[str] | str, edits: int) -> list[tuple[int, bool, int, list[str] | str]]:
+    """``(key, home, longer, rest)`` of the next round, for a row whose rest has a symbol per segment or more.
+
+    The indexed rests have ``len(rest) - longer`` symbols; an indexed row also
+    probes for others of its length at moved places.
     """
+    n = len(rest) - longer
+    out = []
+    for i in range(edits + 1):
+        a, b = n * i // (edits + 1), n * (i + 1) // (edits + 1)
+        for shift in shifts(edits, longer, i):
+            if 0 <= a + shift and b + shift <= len(rest):
+                piece = rest[a + shift : b + shift]
+                told = f"{n} {i} " + (piece if isinstance(piece, str) else " ".join(piece))
+                found = xxhash.xxh3_64_intdigest(told.encode("utf-8", "surrogatepass"), key & (1 << 64) - 1)
+                out.append((found - (1 << 64) * (found >> 63), home and shift == 0, longer, rest[: a + shift] + rest[b + shift :]))
+    return out
+
+
+def keys_of_end(key: int, home: bool, longer: int, rest: list[str] | str, edits: int) -> list[tuple[int, bool, int, list[str] | str]]:
+    """The same for a rest too short to be split: under each choice of the symbols that two such rests within the edits share at least.
+
+    For every difference in length that the group may hold; with nothing that
+    must be shared all meet.
+    """
+    n = len(rest) - longer
+    out = []
+    for d in range(edits + 1) if home else (longer,):
+        for piece in sorted(set(combinations(rest, max(0, n - (edits - d))))):
+            found = xxhash.xxh3_64_intdigest(" ".join(["end", str(d), *piece]).encode("utf-8", "surrogatepass"), key & (1 << 64) - 1)
+            out.append((found - (1 << 64) * (found >> 63), home, longer, rest))
+    return out
+
+
+def _next(rows: DataFrame, edits: int, end: bool) -> DataFrame:
+    """The rows of the next round; those with a symbol per segment or, at the ``end``, the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "line", "home", "longer", "by_word", "rest"]
+        kinds = (pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.bool_(), pa.string())
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("key", "side", "home", "lo", "line"))
-            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            held: list[tuple] = []
             size = 0
-            for key, side, home, lo, line in zip(*columns, strict=True):
-                n = len(line) - (not home)
-                half = n // 2
-                rest = line[half:] if side == 0 else line[: len(line) - (n - half)]
-                codes = np.frombuffer(rest.encode("utf-32-le", "surrogatepass"), np.uint32)
-                h = prefix_hash(codes)
-                m = len(codes)
-                at = np.arange(m)
-                salt = U(key & (1 << 64) - 1)
-                if home:
-                    # two homes differ in one place; a whole rest equals a visitor's deletion, so it is hashed as one
-                    less = mix(span_hash(h, np.zeros(m, np.int64), at) * U(31) + span_hash(h, at + 1, np.full(m, m)))
-                    meet = np.concatenate([mix(less + at.astype(U) * U(0xD6E8FEB86659FD93) + salt), mix(mix(h[m : m + 1] + U(m)) + salt + U(1))])
-                else:
-                    whole = h[:m] + (h[m] - h[1 : m + 1]) * U(_INVERSE)
-                    meet = np.unique(mix(mix(whole + U(m - 1)) + salt + U(1)))
-                held.append((meet, np.full(len(meet), lo, np.int64), np.full(len(meet), home)))
-                size += len(meet)
-                if size >= 100_000:
-                    yield joined(held)
+            for key, line, home, longer, by_word, rest in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                left = rest.split(" ") if by_word and rest else [] if by_word else rest
+                if end != (len(left) - longer <= edits):
+                    continue
+                for k, h, d, r in (keys_of_end if end else keys_of_rest)(key, home, longer, left, edits):
+                    held.append((k, line, h, d, by_word, " ".join(r) if by_word else r))
+                    size += len(rest) + 32
+                if size >= 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
                     held, size = [], 0
             if held:
-                yield joined(held)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+    return rows.select("key", "line", "home", "longer", "by_word", "rest").mapInArrow(run, _ROW)
 
-    def joined(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        meet, lo, home = (np.concatenate(x) for x in zip(*held, strict=True))
-        return pa.RecordBatch.from_arrays([_signed(meet), pa.array(lo), pa.array(home)], ["meet", "lo", "home"])
 
-    return rows.select("key", "side", "home", "lo", "line").mapInArrow(run, "meet long, lo long, home boolean")
+def _pairs(rows: DataFrame) -> DataFrame:
+    """``(a, b)`` of small groups, and for more than one edit of last groups: every indexed line with every other."""
+    groups = rows.groupBy("key").agg(F.collect_set(F.when(F.col("home"), F.col("line"))).alias("homes"), F.collect_set("line").alias("every"))
+    return groups.select(F.explode("homes").alias("a"), "every").select("a", F.explode("every").alias("b")).where("a != b")
 
 
-_INVERSE = pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
+def _stars(rows: DataFrame) -> DataFrame:
+    """``(a, b)`` of last groups of any size: the first indexed line with every other.
+
+    All indexed rests there have at most ``edits`` symbols, so their lines
+    are within that of one another.
+    """
+    first = rows.where("home").groupBy("key").agg(F.min("line").alias("a"))
+    return rows.join(first, "key").select("a", F.col("line").alias("b")).where("a != b")
 
 
-def links(docs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
-    """``(a, b)`` hashes of lines within one edit, enough to connect every class.
+def links(docs: DataFrame, lines: DataFrame, min_chars: int, edits: int) -> DataFrame:
+    """``(a, b)`` of lines within the edits, enough to connect every class.
 
     ``lines`` holds each distinct line's hash, keys and first document.
     """
-    keyed = lines.select("lo", "id", F.inline(F.array(*(F.struct(F.col(f"{role}{side}").alias("key"), F.lit(side).alias("side"), F.lit(role == "home").alias("home")) for role in ("home", "visit") for side in (0, 1)))))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("n > 1 and homes > 0").drop("homes")
-    shared = materialize(keyed.join(sizes, "key"))
-    text = materialize(_line_texts(docs, shared.select("id", "lo").distinct(), min_chars))
-    small = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_set(F.when(F.col("home"), F.col("lo"))).alias("homes"), F.collect_set("lo").alias("all"))
-    close = small.select(F.explode("homes").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a != b")
+    plan = probes(edits)
+    keyed = lines.select("line", "id", F.inline(F.array(*(F.struct(F.col(f"key{j}").alias("key"), F.lit(j).alias("j"), F.lit(longer == 0 and shift == 0).alias("home")) for j, (longer, _, shift) in enumerate(plan)))))
+    shared = materialize(_shared(keyed))
+    text = materialize(_line_texts(docs, shared.select("id", "line").distinct(), min_chars))
+    found = [_pairs(shared.where(F.col("n") <= SMALL))]
     large = shared.where(F.col("n") > SMALL)
-    meets = materialize(_deletions(large.join(text, "lo")))
-    lead = meets.groupBy("meet").agg(F.min_by("lo", F.struct(~F.col("home"), F.col("lo"))).alias("a"), F.count("*").alias("n"), F.count_if("home").alias("homes")).where("n > 1 and homes > 0").select("meet", "a")
-    met = meets.join(lead, "meet").select("a", F.col("lo").alias("b")).where("a != b")
-    pairs = close.union(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = text.select(F.col("lo").alias("a"), F.col("line").alias("la"))
-    right = text.select(F.col("lo").alias("b"), F.col("line").alias("lb"))
+    more = not large.isEmpty()
+    large = _rests(large.join(text, "line"), edits)
+    while more:
+        ends = materialize(_shared(_next(large, edits, True)))
+        rows = materialize(_shared(_next(large, edits, False)))
+        found += [_stars(ends) if edits == 1 else _pairs(ends), _pairs(rows.where(F.col("n") <= SMALL))]
+        large = rows.where(F.col("n") > SMALL)
+        more = not large.isEmpty()
+    pairs = reduce(DataFrame.union, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = text.select(F.col("line").alias("a"), F.col("text").alias("la"))
+    right = text.select(F.col("line").alias("b"), F.col("text").alias("lb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [within(a, b, THRESHOLD) for a, b in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), strict=True)]
+            ok = []
+            for a, b in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), strict=True):
+                a, b = symbols(a), symbols(b)
+                ok.append(isinstance(a, str) == isinstance(b, str) and within(a, b, edits))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long"))
+    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(run, "a binary, b binary"))
 
 
-_NO_ID = -(1 << 63)
+def dropped_lines(docs: DataFrame, min_chars: int, edits: int) -> DataFrame:
+    """``(id, drop array<binary>)``: hashes of the lines that each document (id, text) loses to another one."""
+    found = materialize(occurrences(docs, min_chars, edits))
+    firsts = [F.first(f"key{j}").alias(f"key{j}") for j in range(len(probes(edits)))]
+    lines = materialize(found.groupBy("line").agg(F.min("id").alias("id"), F.count("*").alias("n"), *firsts))
+    classes = connected_components(links(docs, lines, min_chars, edits)).withColumnRenamed("id", "line")
+    member = classes.join(lines.select("line", "id"), "line")
+    chosen = member.groupBy("component").agg(F.min(F.struct("id", "line")).alias("best")).select("component", F.col("best.line").alias("best"))
+    beaten = member.join(chosen, "component").where("line != best").select("line", F.lit(True).alias("beaten"))
+    rule = lines.select("line", "id", "n").join(beaten, "line", "left").where("n > 1 or beaten").select("line", F.when(F.col("beaten").isNull(), F.col("id")).alias("stays"))
+    gone = found.select("line", "id").join(rule, "line").where("stays is null or id != stays")
+    return gone.groupBy("id").agg(F.collect_set("line").alias("drop"))
 
 
-def dropped_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``(id, drop array<long>)``: hashes of the lines that each document (id, text) loses to another one."""
-    found = materialize(occurrences(docs, min_chars))
-    firsts = [F.first(c).alias(c) for c in ("home0", "home1", "visit0", "visit1")]
-    lines = materialize(found.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.count("*").alias("n"), *firsts))
-    classes = connected_components(links(docs, lines, min_chars)).withColumnRenamed("id", "lo")
-    member = classes.join(lines.select("lo", "id"), "lo")
-    chosen = member.groupBy("component").agg(F.min(F.struct("id", "lo")).alias("best")).select("component", F.col("best.lo").alias("best"))
-    beaten = member.join(chosen, "component").where("lo != best").select("lo", F.lit(True).alias("beaten"))
-    rule = lines.select("hi", "lo", "id", "n").join(beaten, "lo", "left").where("n > 1 or beaten").select("hi", "lo", F.when(F.col("beaten").isNull(), F.col("id")).alias("stays"))
-    gone = found.select("hi", "lo", "id").join(rule, ["hi", "lo"]).where("stays is null or id != stays")
-    return gone.groupBy("id").agg(F.collect_set("lo").alias("drop"))
-
-
-def _cut(many: list[str], drops: list[list[int] | None], min_chars: int) -> list[tuple[list[str], int]]:
+def _cut(many: list[str], drops: list[list[bytes] | None], min_chars: int) -> list[tuple[list[str], int]]:
     """(kept lines, number of lines) of each text."""
     x = Lines(many, min_chars)
-    later, lo = x.later().tolist(), x.lo.view(np.int64).tolist()
+    later, hashes = x.later().tolist(), _binary(x.line()).to_pylist()
     sets = [set(d) if d else () for d in drops]
     bad: dict[int, set[int]] = {}
-    for d, n, h, again in zip(x.doc.tolist(), x.number.tolist(), lo, later, strict=True):
+    for d, n, h, again in zip(x.doc.tolist(), x.number.tolist(), hashes, later, strict=True):
         if again or h in sets[d]:
             bad.setdefault(d, set()).add(n)
     out = []
@@ -270,21 +383,33 @@ def _cut(many: list[str], drops: list[list[int] | None], min_chars: int) -> list
     return out
 
 
-def _with_drops(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def _with_drops(df: DataFrame, id_col: str, text_col: str, min_chars: int, edits: int) -> tuple[DataFrame, str]:
+    """The table with each row's lines to drop, and the name of that column, one that no other has.
+
+    A row without an id goes by a hash of its text, after all usual ids, so
+    that such rows neither gather in one task nor lose lines to each other's.
+    """
     small_batches(df.sparkSession)
-    docs = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("id"), F.col(f"`{text_col}`").alias("text"))
-    drops = materialize(dropped_lines(docs, min_chars)).withColumnRenamed("id", "__id")
-    return df.join(drops.hint("merge"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)) == F.col("__id"), "left")
+    names = {c.lower() for c in df.columns}
+    drop, key = (next(x + "_" * n for n in range(len(names) + 1) if x + "_" * n not in names) for x in ("drop", "row_key"))
+    own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(f"`{text_col}`")), 2))
+    docs = df.select(own.alias("id"), F.col(f"`{text_col}`").alias("text"))
+    drops = materialize(dropped_lines(docs, min_chars, edits)).withColumnsRenamed({"id": key, "drop": drop})
+    return df.withColumn(key, own).join(drops.hint("merge"), key, "left").drop(key), drop
 
 
-def line_dedup(df: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(df: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
     """``(id, n_lines, n_dropped, kept_chars, kept_sha256)`` of each document.
 
     Of each class of lines the one of smallest document id (then hash) stays,
     in its first document and at its first place there; all others go. Lines
     under ``min_chars`` always stay. NULL texts count as empty (one empty
-    line), rows with equal or NULL ids as one document that may keep a line
-    in each of its rows. An empty table gives an empty result.
+    line). Rows with equal ids count as one document that may keep a line in
+    each of its rows; rows without an id as documents of their own after all
+    others, but equal texts among them as one. An empty table gives an empty
+    result; columns beside the two are dropped, whatever their names. Keys
+    take (edits + 1) segments at every place they may move to, so their
+    number grows with the cube of ``edits``.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -298,8 +423,8 @@ def line_dedup(df: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id"
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["id", "n_lines", "n_dropped", "kept_chars", "kept_sha256"])
 
-    held = _with_drops(df.select(id_col, text_col), id_col, text_col, min_chars)
-    out = held.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), "drop").mapInArrow(run, f"id {kind}, n_lines long, n_dropped long, kept_chars long, kept_sha256 string")
+    held, drop = _with_drops(df.select(id_col, text_col), id_col, text_col, min_chars, edits)
+    out = held.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(drop).alias("drop")).mapInArrow(run, f"id {kind}, n_lines long, n_dropped long, kept_chars long, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -308,29 +433,29 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows with duplicate lines cut from ``text``; ``n_chars`` follows where the text changed.
+    """The rows with duplicate lines cut from ``text``; ``n_chars``, if there, follows where the text changed.
 
-    A document of which no word is left held nothing but copies of other
-    documents' lines and goes; one that was blank before stays. NULL texts
-    stay NULL.
+    A document that loses lines and has fewer words left than the quality
+    rules ask for held little but copies of other documents' lines and goes;
+    one that loses nothing stays, however short. NULL texts stay NULL.
+    Columns beside ``doc_id`` and ``text`` are passed through, whatever their
+    names; for repeated and NULL ids see :func:`line_dedup`.
     """
-    schema = docs.schema
+    least = Rules().min_words
+    held, drop = _with_drops(docs, "doc_id", "text", MIN_CHARS, EDITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 before = part.column("text").to_pylist()
-                size = part.column("n_chars").to_pylist()
-                cut = _cut([t or "" for t in before], part.column("drop").to_pylist(), MIN_CHARS)
-                after, stays = [], []
+                cut = _cut([t or "" for t in before], part.column(drop).to_pylist(), MIN_CHARS)
+                after, stays, sizes = [], [], {}
                 for i, (t, (kept, n)) in enumerate(zip(before, cut, strict=True)):
                     changed = t is not None and len(kept) < n
                     after.append("\n".join(kept) if changed else t)
                     if changed:
-                        size[i] = len(after[-1])
-                    stays.append(not changed or bool(after[-1].strip(" \t\n\x0b\x0c\r")))
-                columns = {f.name: part.column(f.name) for f in part.schema if f.name != "drop"}
-                columns |= {"text": pa.array(after, part.schema.field("text").type), "n_chars": pa.array(size, part.schema.field("n_chars").type)}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns)).filter(pa.array(stays))
+                        sizes[i] = len(after[-1])
+                    stays.append(not changed or len(_WORDS(after[-1])) >= least)
+                yield with_text(part.drop_columns([drop]), after, sizes).filter(pa.array(stays, pa.bool_()))
 
-    return _with_drops(docs, "doc_id", "text", MIN_CHARS).select(*docs.columns, "drop").mapInArrow(run, schema)
+    return held.select(*(F.col(f"`{c}`") for c in docs.columns), drop).mapInArrow(run, docs.schema)

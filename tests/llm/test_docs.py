@@ -190,89 +190,176 @@ def test_near_edges(spark):
 
 
 def test_banded_distance():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            fresh = [i]
-            for j, y in enumerate(b, 1):
-                fresh.append(min(row[j] + 1, fresh[-1] + 1, row[j - 1] + (x != y)))
-            row = fresh
-        return row[-1]
-
     rng = random.Random(2)
     for _ in range(3000):
         a, b = ("".join(rng.choices("ab", k=rng.randint(0, 8))) for _ in range(2))
         for k in (1, 2, 3):
-            assert lines.within(a, b, k) == (distance(a, b) <= k)
+            assert lines.within(a, b, k) == lines.within(list(a), list(b), k) == (slow_distance(a, b) <= k)
 
 
-def slow_lines(texts, least):
-    first, seen = {}, []
-    for i, t in enumerate(texts):
-        for n, line in enumerate((t or "").split("\n")):
+def slow_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        fresh = [i]
+        for j, y in enumerate(b, 1):
+            fresh.append(min(row[j] + 1, fresh[-1] + 1, row[j - 1] + (x != y)))
+        row = fresh
+    return row[-1]
+
+
+def slow_lines(ids, texts, least, edits):
+    """The lines that stay of each text, by brute force over all pairs of lines."""
+    place = {}
+    for i, t in zip(ids, texts, strict=True):
+        for line in (t or "").split("\n"):
             s = line.strip(" \t\n\x0b\x0c\r")
             if len(s) >= least:
-                seen.append((i, n, s))
-                first.setdefault(s, i)
-    parent = {s: s for s in first}
+                place[s] = min(place.get(s, i), i)
+    parent = {s: s for s in place}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    every = list(first)
+    cut = {s: w if len(w := re.findall(r"[^ \t\n\x0b\x0c\r]+", s)) >= 10 else s for s in place}
+    every = list(place)
     for a in range(len(every)):
         for b in range(a):
-            if lines.within(every[a], every[b], 1):
+            x, y = cut[every[a]], cut[every[b]]
+            if type(x) is type(y) and abs(len(x) - len(y)) <= edits and find(every[a]) != find(every[b]) and slow_distance(x, y) <= edits:
                 parent[find(every[a])] = find(every[b])
-    members = {}
+    classes = {}
     for s in every:
-        members.setdefault(find(s), []).append(s)
-    start = {g: min(first[s] for s in m) for g, m in members.items()}
-    dropped, done = Counter(), set()
-    for i, _, s in seen:
-        g = find(s)
-        if i == start[g] and first[s] == i and g not in done:
-            done.add(g)
-        else:
-            dropped[i] += 1
-    return dropped
+        classes.setdefault(find(s), []).append(s)
+    # of the lines that could stay, those of smallest id; which of several of one document is up to a hash
+    best = {s: (first, {x for x in members if place[x] == first}) for members in classes.values() for first in [min(place[x] for x in members)] for s in members}
+    return best
+
+
+def check_lines(spark, ids, texts, edits=1):
+    best = slow_lines(ids, texts, 20, edits)
+    df = docs(spark, texts, extra=True).withColumn("doc_id", F.element_at(F.lit(ids), (F.col("doc_id") + 1).cast("int")))
+    got = {r["doc_id"]: r for r in lines.line_dedup(df, edits=edits).collect()}
+    chosen, found = set(), 0
+    for i, t in sorted(zip(ids, texts, strict=True), key=lambda x: x[0]):
+        options = [[]]
+        every = (t or "").split("\n")
+        for line in every:
+            s = line.strip(" \t\n\x0b\x0c\r")
+            group = best.get(s)
+            if group is None:
+                options = [[*o, line] for o in options]
+            elif group[0] == i and s in group[1] and len(group[1]) > 1:
+                options += [[*o, line] for o in options]
+            elif group[0] == i and s in group[1] and s not in chosen:
+                chosen.add(s)
+                options = [[*o, line] for o in options]
+        want = {hashlib.sha256("\n".join(o).encode()).hexdigest(): len(every) - len(o) for o in options}
+        r = got[i]
+        assert r["n_lines"] == len(every) and r["kept_sha256"] in want and r["n_dropped"] == want[r["kept_sha256"]], (i, t)
+        found += r["n_dropped"]
+    # one line of each class stays, at its first place
+    classes = {min(x) for _, x in best.values()}
+    held = sum(sum(len(line.strip(" \t\n\x0b\x0c\r")) >= 20 for line in (t or "").split("\n")) for t in texts)
+    assert found == held - len(classes)
 
 
 def variants(n, seed):
+    """Three lines a text: one of its own, one an edit or three from a common one, one of many words, some of them others."""
     rng = random.Random(seed)
-    base = "the quick brown fox jumps over the lazy dog and runs"
+    base, words = "the quick brown fox jumps over a lazy dog", "a line of many words that goes on for quite a while until it ends at last".split()
     for i in range(n):
-        b, j, r = list(base), rng.randrange(len(base)), rng.random()
+        b, w, j, r = list(base), list(words), rng.randrange(len(base)), rng.random()
+        at = rng.randrange(len(w))
         if r < 0.3:
-            b[j] = rng.choice("XYZ")
+            b[j], w[at] = rng.choice("XYZ"), f"new{rng.randint(0, 30)}"
         elif r < 0.6:
             b.insert(j, rng.choice("XYZ"))
+            w.insert(at, f"more{rng.randint(0, 30)}")
         elif r < 0.8:
             b.pop(j)
+            w.pop(at)
         else:
             for k in (0, 9, 19):
                 b[(j + k) % len(b)] = "QWV"[k % 3]
-        yield f"item {i}\n{''.join(b)}\nAnother unique line {hashlib.md5(str(i).encode()).hexdigest()} here"
+                w[(at + k) % len(w)] = f"other{k}"
+        yield f"item {i}\n{''.join(b)}\nThe one {hashlib.md5(str(i).encode()).hexdigest()} here\n{' '.join(w)}"
+
+
+def templates(n):
+    """Lines of one template with another word at the same place, twins of them a character apart, and lines that share only their start."""
+    for i in range(n):
+        yield f"the user logged in to the system at the time {i * 7919 % 1009} and went away again\nthe common start of a line {hashlib.md5(str(i // 2).encode()).hexdigest()[:12]}{'x' * (i % 2)}\nshort {i}"
 
 
-@pytest.mark.parametrize("texts", [[*ODD, *variants(12, 1), "x" * 30 + "\n" + "x" * 30 + "\n" + "x" * 31], list(variants(150, 2))], ids=["small groups", "a hot segment"])
-def test_lines_equal_brute_force(spark, texts):
-    want = slow_lines(texts, 20)
-    got = {r["doc_id"]: r for r in lines.line_dedup(docs(spark, texts, extra=True)).collect()}
-    assert {i: got[i]["n_dropped"] for i in got if got[i]["n_dropped"]} == {i: n for i, n in want.items() if n}
-    assert all(got[i]["n_lines"] == len((t or "").split("\n")) for i, t in enumerate(texts))
+@pytest.mark.parametrize(
+    ("texts", "edits"),
+    [
+        ([*ODD, *variants(12, 1), "x" * 30 + "\n" + "x" * 30 + "\n" + "x" * 31, "a  b c d e f g h i j k\na b c d  e f g h i j k"], 1),
+        (list(variants(150, 2)), 1),
+        (list(templates(120)), 1),
+        ([*ODD, *variants(100, 3), *templates(40)], 2),
+        (list(variants(40, 4)), 3),
+    ],
+    ids=["small groups", "a hot segment", "templates", "two edits", "three edits"],
+)
+def test_lines_equal_brute_force(spark, texts, edits):
+    check_lines(spark, [3 * i + 1 for i in range(len(texts))][::-1], texts, edits)
+
+
+def test_keys_meet():
+    """Whatever the edits, a line and an edited one share a key; so do rests, down to the last round."""
+    rng = random.Random(6)
+    for edits in (1, 2, 3):
+        for _ in range(300):
+            a = rng.choices("abcdef", k=rng.randint(3, 14))
+            b = list(a)
+            for _ in range(edits):
+                j = rng.randrange(len(b) + 1)
+                b[j : j + rng.randint(0, 1)] = rng.choices("abcdef", k=rng.randint(0, 1))
+            short, long = sorted((a, b), key=len)
+            held = [(1, short, long)]
+            while held:
+                key, x, y = held.pop()
+                longer = len(long) - len(short)
+                step = lines.keys_of_end if len(x) <= edits else lines.keys_of_rest
+                index = {k: r for k, home, _, r in step(key, True, 0, x, edits) if home}
+                probe = [(k, r) for k, home, _, r in step(key, longer == 0, longer, y, edits)]
+                met = [(k, index[k], r) for k, r in probe if k in index]
+                assert met, (edits, short, long, x, y)
+                if step is lines.keys_of_rest:
+                    held += [m for m in met if slow_distance(m[1], m[2]) <= edits]
 
 
 def test_line_stage(spark):
     a, b = "one line that is long enough", "another line that is long enough"
     texts = [f"{a}\nshort\n{b}", f"short\n{a[:-1]}X\n{prose(3)}", a, None, "", f"{b}\n{b}"]
-    kept = {r["doc_id"]: r for r in lines.dedup_docs(spark, docs(spark, texts), "").collect()}
+    df = docs(spark, texts).withColumns({"drop": F.lit(1), "row_key": F.lit("k"), "__id": F.lit(2), "Line": F.lit(3)})
+    kept = {r["doc_id"]: r for r in lines.dedup_docs(spark, df, "").collect()}
     assert kept[0]["text"] == texts[0] and kept[1]["text"] == f"short\n{prose(3)}" and kept[1]["n_chars"] == len(kept[1]["text"])
-    assert set(kept) == {0, 1, 3, 4} and kept[3]["text"] is None
+    assert set(kept) == {0, 1, 3, 4} and kept[3]["text"] is None and (kept[1]["drop"], kept[1]["row_key"], kept[1]["Line"]) == (1, "k", 3)
     assert lines.line_dedup(docs(spark, [])).count() == 0
-    assert lines.line_dedup(docs(spark, [a, a]).selectExpr("cast(null as long) doc_id", "text")).count() == 2
+    # a document that keeps fewer words than the quality rules ask for goes, one that loses nothing stays
+    near_copy = f"{prose(3)}\n{prose(5, 20)}"
+    stub = {r["doc_id"] for r in lines.dedup_docs(spark, docs(spark, [prose(3), near_copy, f"{prose(3)}\n{prose(6, 60)}", "few words here, yet its own"]), "").collect()}
+    assert stub == {0, 2, 3}
+    bare = docs(spark, texts).select("doc_id", "text")
+    assert lines.dedup_docs(spark, bare, "").columns == ["doc_id", "text"]
+
+
+def test_lines_without_ids(spark):
+    a, b = "one line that is long enough", "another line that is long enough"
+    df = docs(spark, [f"{a}\n{b}", f"{a}\n{b}\nmore", f"{b}\n{a}", None, None, f"{a}"]).selectExpr("if(doc_id = 5, 5, null) doc_id", "text")
+    rows = lines.line_dedup(df).collect()
+    assert len(rows) == 6 and [r["n_dropped"] for r in rows if r["doc_id"] == 5] == [0]
+    assert sum(r["n_lines"] - r["n_dropped"] for r in rows) == 2 + 1 + 2  # one a, one b, a short line, two empty texts
+
+
+def test_very_long_lines(spark):
+    wide, tall = "ab" * 500_000, "\n".join(f"a line with the number {i * 7919 % 99991} in it" for i in range(30_000))
+    rows = {r["doc_id"]: r for r in lines.line_dedup(docs(spark, [wide, wide[:-1] + "c", tall, "x " * 500_000])).collect()}
+    assert rows[1]["n_dropped"] == 1 and rows[0]["n_dropped"] == 0 and rows[2]["n_lines"] == 30_000
 
 
 # ---- shards ------------------------------------------------------------------------------
