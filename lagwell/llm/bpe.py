@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lagwell.llm.batches import slices, texts
 
-#: Chunks and pieces that are remembered, the earliest seen; a speed setting, results do not depend on it.
-REMEMBER = 500_000
+#: Chunks and pieces that are remembered, the earliest seen, and the longest of them (code points), so that a memory stays
+#: under 100 MB or so whatever the texts hold; a speed setting, results do not depend on it.
+REMEMBER, LONGEST = 500_000, 48
 _NONE = 1 << 62
 
 
@@ -94,14 +95,14 @@ class Encoder:
         class Pieces(dict):
             def __missing__(self, piece: str) -> bytes:
                 out = np.asarray(merge(piece.encode("utf-8", "surrogatepass"), ranks), "<u4").tobytes()
-                if len(self) < remember:
+                if len(self) < remember and len(piece) <= LONGEST:
                     self[piece] = out
                 return out
 
         class Chunks(dict):
             def __missing__(self, chunk: str) -> bytes:
                 out = encoder.whole(" " + chunk)
-                if len(self) < remember:
+                if len(self) < remember and len(chunk) <= LONGEST:
                     self[chunk] = out
                 return out
 

@@ -1,10 +1,11 @@
-"""Chat formatting: layouts recognised by their schema, turns marked by a reversible template."""
+"""Chat formatting: layouts recognised by the fingerprint of their schema's leaves, turns marked by a reversible template."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,22 +76,30 @@ LAYOUTS = (
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
 
-def recognise(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS, extra: tuple[str, ...] = ("id",)) -> Layout:
-    """The layout with the fingerprint of the schema's leaves.
+def recognise(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS, key: str | None = None) -> Layout:
+    """The layout whose fingerprint one of the schema's sets of leaves has.
 
-    Where the whole schema is not known, leaves of no layout are set aside;
-    the layout with the most leaves among those present wins. A schema that
-    holds none raises ValueError.
+    The table of fingerprints is asked for all leaves, then without ``key``
+    (where the layout has none of its own), then without ever more of the
+    leaves that no layout names, and last for each layout's size of leaves
+    that layouts name, the largest first: the fingerprint alone selects. A
+    schema that holds no layout raises ValueError.
     """
     paths = field_paths(schema)
     by_print = {x.print: x for x in layouts}
-    if found := by_print.get(fingerprint([p for p in paths if p.partition(":")[0] not in extra])):
-        return found
-    held = [x for x in layouts if set(x.paths) <= set(paths)]
-    if not held:
-        raise ValueError(f"no layout for the fields {paths}")
-    most = max(held, key=lambda x: len(x.paths))
-    return by_print[fingerprint([p for p in paths if p in most.paths])]
+    named = {p for x in layouts for p in x.paths}
+    known = [p for p in paths if p in named]
+
+    def asked() -> Iterator[list[str]]:
+        yield paths
+        yield [p for p in paths if p.partition(":")[0] != key]
+        for size in sorted({len(x.paths) for x in layouts}, reverse=True):
+            yield from map(list, combinations(known, size))
+
+    for leaves in asked():
+        if found := by_print.get(fingerprint(leaves)):
+            return found
+    raise ValueError(f"no layout for the fields {paths}")
 
 
 def canonical(df: DataFrame, id_col: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
@@ -101,7 +110,7 @@ def canonical(df: DataFrame, id_col: str = "conv_id", layouts: tuple[Layout, ...
     repeated rows have one order and every row counts. Other columns are
     dropped.
     """
-    layout = recognise(df.schema, layouts, (id_col.lower(),) if any(x.by_rows is None for x in layouts) else ())
+    layout = recognise(df.schema, layouts, id_col.lower())
     known = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
     if layout.by_rows:
         key, order, role, text = (F.col(f"`{c}`") for c in layout.by_rows)
@@ -131,20 +140,30 @@ def _role_in(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("<\\n"), F.lit("\n")))
 
 
+#: Turns whose places are summed up in one go; a sum over blocks of them keeps very long conversations from costing their square.
+BLOCK = 256
+
+
 def format_chat(turns_of: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """``formatted`` and ``loss_spans``, the code point ranges of the assistant's texts in it."""
     piece = lambda t: F.struct(F.concat(F.lit(OPEN), _role_out(t.role), F.lit("\n")).alias("head"), escape(t.text).alias("body"), (t.role == "assistant").alias("loss"))
     pieces = turns_of.select(id_col, F.transform("turns", piece).alias("pieces"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+    text = F.array_join(F.transform("pieces", lambda p: F.concat(p.head, p.body, F.lit(CLOSE))), "")
+    sizes = F.transform("pieces", lambda p: F.struct(F.length(p.head).cast("long").alias("head"), F.length(p.body).cast("long").alias("body"), p.loss.alias("loss")))
+    measured = pieces.select(id_col, text.alias("formatted"), sizes.alias("sizes"))
 
     def add(state: Column, p: Column) -> Column:
-        begin = state.at + F.length(p.head)
-        end = begin + F.length(p.body)
+        begin = state.at + p.head
+        end = begin + p.body
         span = F.array(F.struct(begin.alias("start"), end.alias("end")))
         return F.struct((end + len(CLOSE)).alias("at"), F.when(p.loss, F.concat(state.spans, span)).otherwise(state.spans).alias("spans"))
 
-    text = F.array_join(F.transform("pieces", lambda p: F.concat(p.head, p.body, F.lit(CLOSE))), "")
-    return pieces.select(id_col, text.alias("formatted"), F.aggregate("pieces", start, add).spans.alias("loss_spans"))
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("sizes") / BLOCK).cast("int")), lambda i: F.slice("sizes", i * BLOCK + 1, BLOCK))
+    total = lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda n, p: n + p.head + p.body + len(CLOSE))
+    starts = F.aggregate(F.transform("blocks", total), F.array(F.lit(0).cast("long")), lambda seen, n: F.concat(seen, F.array(F.element_at(seen, -1) + n)))
+    spans = lambda block, at: F.aggregate(block, F.struct(at.alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")), add).spans
+    placed = F.flatten(F.zip_with("blocks", F.slice("starts", 1, F.size("blocks")), spans))
+    return measured.withColumn("blocks", blocks).withColumn("starts", starts).select(id_col, "formatted", placed.alias("loss_spans"))
 
 
 def read_chat(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:

@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lagwell.llm.batches import slices, small_batches, texts
 
-#: Runs that are remembered, and half as many words again; a speed setting, results do not depend on it.
-REMEMBER = 250_000
+#: Runs that are remembered, and half as many words again, and the longest of them (bytes), so that the memories stay
+#: under 100 MB or so whatever the texts hold; a speed setting, results do not depend on it.
+REMEMBER, LONGEST = 250_000, 48
 
 
 @dataclass(frozen=True)
@@ -67,7 +68,7 @@ class WordTokens:
 
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
-                if len(word) > 48:
+                if len(word) > LONGEST:
                     return direct(word)
                 parts = [letters[b] for b in word.encode()]
                 parts[-1] += end
@@ -96,7 +97,7 @@ class WordTokens:
                     out = b"".join(map(words.__getitem__, split(text.lower())))
                 else:
                     out = direct(text)
-                if len(self) < remember:
+                if len(self) < remember and len(run) <= LONGEST:
                     self[run] = out
                 return out
 
@@ -167,8 +168,9 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int =
     A document is its ids and ``end_id``; a NULL or empty text is ``end_id``
     alone. Each task packs its own rows in windows of about ``window_tokens``,
     so nothing is shuffled and memory does not grow with the input; sequence
-    ids carry the task's partition in their upper bits. Repeated rows are
-    packed each; columns other than the id are dropped.
+    ids carry the task's partition in their upper bits. Rows that repeat an id
+    or a text, or have no id, are packed each; columns other than the id are
+    dropped, whatever their names. An empty table gives an empty result.
     """
     small_batches(df.sparkSession)
     cost = cost or Cost()
@@ -222,6 +224,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row, as in :func:`pack`."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -428,12 +428,30 @@ def test_layouts(spark):
         "question and answer": spark.sql("select 1 conv_id, 'q' Question, 'a' Answer"),
     }
     for name, df in shapes.items():
-        assert chat.recognise(df.schema, extra=("conv_id",)).name == name
+        assert chat.recognise(df.schema, key="conv_id").name == name
         assert [tuple(t) for t in chat.canonical(df).first()["turns"]] == [("user", "q"), ("assistant", "a")]
     with pytest.raises(ValueError, match="no layout"):
         chat.recognise(spark.sql("select 1 a").schema)
 
 
+def test_the_fingerprint_decides(spark):
+    """A layout whose print is not the schema's is not chosen, whatever its leaves; the tables' own layout is found at once."""
+    table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = chat.LAYOUTS[0]
+    assert chat.fingerprint(chat.field_paths(table.schema)) == rows.print and chat.recognise(table.schema, key="conv_id") is rows
+    wrong = chat.Layout("turn rows", rows.paths, by_rows=rows.by_rows)
+    object.__setattr__(wrong, "print", "0" * 16)
+    with pytest.raises(ValueError, match="no layout"):
+        chat.recognise(table.schema, (wrong,))
+
+
+def test_very_long_conversations(spark):
+    turns = spark.range(3000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("<|t"), F.col("id").cast("string"), F.when(F.col("id") == 7, F.repeat(F.lit("long \\"), 200_000)).otherwise("")).alias("text"))
+    read = chat.read_chat(chat.format_chat(chat.canonical(turns))).first()
+    want = {r["turn"]: r["text"] for r in turns.collect()}
+    assert [t["text"] for t in read["turns"]] == [want[i] for i in range(3000)] and read["loss"] == [want[i] for i in range(1, 3000, 2)]
+
+
 def test_chat_query_matches_sql(spark):
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()

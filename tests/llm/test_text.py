@@ -50,6 +50,30 @@ def test_full_memory_changes_nothing():
     assert all(small.encode(t) == large.encode(t) for t in fuzz(200, seed=3))
 
 
+def test_memories_are_bounded_in_bytes():
+    """Long unbroken strings are not remembered, whole texts of them are still encoded right."""
+    rng = random.Random(12)
+    long = ["".join(rng.choices("abcdefABCDEF0123456789+/", k=3000)) for _ in range(20)]
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    assert all(np.frombuffer(own.encode(f"a {t} b"), "<u4").tolist() == want.encode_ordinary(f"a {t} b") for t in long)
+    assert max(map(len, [*own.pieces, *own.chunks])) <= bpe.LONGEST
+    words = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    for t in long:
+        words.encode(t.encode())
+    assert all(len(x) <= packing.LONGEST for x in words.runs)
+
+
+def test_very_long_texts_are_encoded(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["x7y" * 20_000, "word after word " * 60_000, "\n" * 300_000]
+    own = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    assert all(np.frombuffer(own.encode(t), "<u4").tolist() == want.encode_ordinary(t) for t in texts)
+
+
 def slow_base(t):
     kinds = []
     kinds += [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
