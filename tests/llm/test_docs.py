@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import random
 import re
 import time
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -371,7 +373,14 @@ def test_hypergeometric_law():
     assert abs(np.mean(draws) - 6) < 0.05 and abs(np.var(draws) - 20 * 0.3 * 0.7 * 80 / 99) < 0.15
     big = [shards.hypergeometric(rng, 10**9, 15 * 10**9, 10**6) for _ in range(200)]
     assert abs(np.mean(big) - 62_500) < 100
-    assert shards.hypergeometric(rng, 5, 0, 3) == 3 and shards.hypergeometric(rng, 0, 5, 3) == 0
+    assert shards.hypergeometric(rng, 5, 0, 3) == 3 and shards.hypergeometric(rng, 0, 5, 3) == 0 and shards.hypergeometric(rng, 4, 3, 7) == 4
+    for good, bad, draws in ((30, 70, 20), (5, 3, 6), (10**6, 15 * 10**6, 2000)):
+        least, w = shards.weights(good, bad, draws)
+        exact = [math.comb(good, least + k) * math.comb(bad, draws - least - k) for k in range(0, len(w), max(1, len(w) // 40))]
+        best = max(math.comb(good, least + k) * math.comb(bad, draws - least - k) for k in np.flatnonzero(w == 1).tolist())
+        assert np.allclose(w[:: max(1, len(w) // 40)], [float(Fraction(x, best)) for x in exact], rtol=1e-11, atol=0)
+    least, w = shards.weights(10**11 // 16, 15 * 10**11 // 16, 12_000_000)
+    assert abs((np.arange(len(w)) + least) @ w / w.sum() / 750_000 - 1) < 1e-9
     cells = shards.communication_matrix({0: 100, 1: 57, 2: 1}, 16, 1)
     per = Counter()
     for b, s, lo, hi in cells:
@@ -396,6 +405,15 @@ def test_shards(spark):
     assert shards.hypergeometric_shards(docs(spark, ["a"] * 40).selectExpr("cast(null as long) doc_id", "text")).count() == 40
 
 
+def test_copies_spread_over_buckets(spark, monkeypatch):
+    """Rows equal in id and text are numbered, so that no bucket takes them all."""
+    monkeypatch.setattr(shards, "COPIES", 16)
+    df = docs(spark, ["", None, "x"]).selectExpr("if(doc_id = 2, 2, null) doc_id", "text", "explode(sequence(1, if(doc_id = 2, 1, 150))) n")
+    rows = shards.hypergeometric_shards(df).collect()
+    assert len(rows) == 301 and sorted(Counter(r["shard"] for r in rows).values()) == [18] * 3 + [19] * 13
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, k) for s in range(16) for k in range(19 if s < 13 else 18)]
+
+
 # ---- chats -------------------------------------------------------------------------------
 
 
