@@ -85,13 +85,104 @@ def test_fingerprint_edges(spark):
     assert edits.fingerprints(twice).count() == 4
 
 
+def edited(text, n, rng):
+    b = list(text)
+    for _ in range(n):
+        j, r = rng.randrange(len(b)), rng.random()
+        if r < 0.34:
+            b[j] = "X"
+        elif r < 0.67:
+            b.insert(j, "Y")
+        else:
+            b.pop(j)
+    return "".join(b)
+
+
+def slow_classes(prints, least):
+    parent = list(range(len(prints)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(prints)):
+        for b in range(a):
+            if find(a) != find(b) and edits.likeness(prints[a], prints[b]) >= least:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return [find(i) for i in range(len(prints))]
+
+
+def classes_of(spark, texts, **changed):
+    prints = edits.fingerprints(docs(spark, texts))
+    found = {r["fingerprint"]: r["class_id"] for r in edits.edit_classes(prints, **changed).collect()}
+    return [found[edits.show(p)] for p in edits.embed([t or "" for t in texts])]
+
+
 def test_edit_classes(spark):
+    rng = random.Random(31)
     base = [prose(k, 120) for k in range(15)]
-    texts = base + [b[:200] + "Z" + b[203:] for b in base[:6]] + base[:3] + [""] * 3
-    like = [edits.likeness(*edits.embed([texts[k], texts[15 + k]])) for k in range(6)]
-    assert sum(x >= 0.8 for x in like) >= 4
-    classes = {r["doc_id"]: r["class_id"] for r in edits.edit_classes(edits.fingerprints(docs(spark, texts))).collect()}
-    assert all((classes[15 + k] == k) == (like[k] >= 0.8) for k in range(6)) and all(classes[21 + k] == k for k in range(3)) and all(classes[k] == k for k in range(15))
+    texts = base + [edited(b, 4, rng) for b in base[:8]] + base[:3] + ["", None, ""]
+    assert classes_of(spark, texts) == slow_classes(edits.embed([t or "" for t in texts]), 0.8)
+    assert edits.edit_classes(edits.fingerprints(docs(spark, []))).count() == 0
+    bare = edits.fingerprints(docs(spark, ["a b c", "a b c"]).selectExpr("cast(null as long) doc_id", "text"))
+    assert [r["class_id"] for r in edits.edit_classes(bare).collect()] == [None]
+
+
+def test_bands_find_alike_texts():
+    """Recall of the bands against brute force, over pairs of every likeness from the threshold."""
+    rng = random.Random(32)
+    base = [prose(k, rng.choice((12, 30, 60, 120, 400, 900))) for k in range(400)]
+    other = [edited(t, max(1, int(len(t) * rng.choice((0.004, 0.008, 0.012, 0.016)))), rng) for t in base]
+    alike = hit = 0
+    for t, u, p, q in zip(base, other, edits.embed(base), edits.embed(other), strict=True):
+        if edits.likeness(p, q) >= edits.ALIKE:
+            alike += 1
+            hit += bool(set(edits.bands(len(t), p)) & set(edits.bands(len(u), q)))
+    assert alike > 150 and hit >= 0.95 * alike, (alike, hit)
+
+
+@pytest.mark.parametrize("levels", [0, 2])
+def test_hot_bands(spark, monkeypatch, levels):
+    """A large group of near copies around one text and texts that share half of it, in bands that stay large."""
+    monkeypatch.setattr(edits, "SMALL", 4)
+    monkeypatch.setattr(edits, "LEVELS", levels)
+    monkeypatch.setattr(edits, "BLOCK", 16)
+    rng = random.Random(33)
+    seed, shared = prose(41, 300), prose(42, 150)
+    texts = [edited(seed, rng.randint(2, 14), rng) for _ in range(60)]
+    for g in range(25):
+        own = f"{shared} {prose(100 + g, 140)}"
+        texts += [own, edited(own, 6, rng)]
+    prints = edits.embed(texts)
+    want, got = slow_classes(prints, 0.8), classes_of(spark, texts)
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if want[a] == want[b]]
+    assert 20 < len(set(want)) < 60 and sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+    assert all(want[a] == want[b] for a in range(len(texts)) for b in range(a) if got[a] == got[b])
+
+
+def test_long_texts_walk_alone():
+    rng = random.Random(34)
+    texts = [prose(k, 3) for k in range(edits.TOGETHER + 5)] + [prose(99, 400), "", "x"]
+    rng.shuffle(texts)
+    for t, together, (alone,) in zip(texts, edits.embed(texts), [edits.embed([t]) for t in texts], strict=True):
+        assert together[0] == alone[0] and together[1].tolist() == alone[1].tolist(), t
+    began = time.perf_counter()
+    edits.embed(["".join(rng.choices("abcdefgh ", k=2_000_000))])
+    assert time.perf_counter() - began < 10
+
+
+def test_ranges_cut_rows_without_ids(spark):
+    """NULL ids and a repeated id are cut into several ranges; every row still meets the one after it."""
+    df = docs(spark, [prose(k, 8) for k in range(600)]).selectExpr("case when doc_id < 300 then null when doc_id < 500 then 7 else doc_id end doc_id", "text")
+    dealt = edits.successors(df).withColumn("p", F.spark_partition_id())
+    assert dealt.where("not tail").groupBy("p").count().agg(F.max("count")).first()[0] < 400
+    rows = df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = [r["text"] for r in sorted(rows, key=lambda r: (-1 if r["doc_id"] is None else r["doc_id"], r["h"]))]
+    after = dict(zip(order, [*order[1:], order[0]], strict=True))
+    got = {r["edited_sha256"] for r in edits.fingerprints(df).collect()}
+    assert got == {hashlib.sha256((t[: len(t) - len(t) // 2] + after[t][: len(t) // 2]).encode()).hexdigest() for t in order}
 
 
 # ---- near-duplicates ---------------------------------------------------------------------
