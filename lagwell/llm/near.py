@@ -20,15 +20,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagwell.llm.batches import POWERS, POWERS2, U, lower, mix, prefix_hash, raw, slices, small_batches, span_hash, windows, words
 from lagwell.operators.graph import connected_components
 from lagwell.plans.lineage import materialize
 
-#: Sketch places; sketch tokens are kept with 16 bits.
-PLACES = 128
+#: Sketch places, enough that no two trees share one at the recall and similarities in use; sketch tokens are kept with 16 bits.
+PLACES = 186
 #: Places chosen per level; members that a node compares exhaustively; levels after which all that is left is compared exactly.
 STEP, SMALL, LEVELS = 5, 32, 3
 #: Members and shingles of a side of an exact block at most; blocks of a group, where those bounds do not ask for more, and their least members.
@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 known: dict[tuple[int, int], bytes] = {}
                 hi, lo, sketches = [], [], []
                 for s in sets:
-                    key = (int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0, int(mix(s * U(0xD6E8FEB86659FD93)).sum(dtype=U)) if len(s) else 0)
+                    key = set_hash(s)
                     if key not in known:
                         known[key] = sketch(s).tobytes() if len(s) else b""
                     hi.append(key[0])
@@ -94,16 +94,36 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_shingles long, hi long, lo long, sketch binary")
 
 
+def least_agreement(similarity: float, loss: float) -> float:
+    """The share of sketch places below which a pair at the similarity falls with a probability of ``loss`` at most (binomial)."""
+    below, j = 0.0, 0
+    while True:
+        below += math.comb(PLACES, j) * similarity**j * (1 - similarity) ** (PLACES - j)
+        if below > loss:
+            return j / PLACES
+        j += 1
+
+
 def n_trees(similarity: float, recall: float) -> int:
     """Independent nodes at the first level that leave a pair at the threshold apart with probability 1 - recall."""
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**STEP))
 
 
+_DEALT = np.random.default_rng(23).permutation(PLACES)
+
+
 def _choose(path: np.ndarray, branch: int) -> np.ndarray:
-    """The places of a branch below each path: a hash of path and branch decides, so all documents agree."""
+    """The places of a branch below each path: a hash of path and branch decides, so all documents agree.
+
+    The trees, the branches of the root, have places of their own as long as
+    there are any, so that a pair's chances in them are independent.
+    """
     out = np.empty((len(path), STEP), np.int64)
     for j in range(STEP):
         out[:, j] = (mix(path * U(0x2545F4914F6CDD1D) + U(branch * STEP + j + 1)) >> U(40)) % U(PLACES)
+    own = _DEALT[branch * STEP : (branch + 1) * STEP]
+    if len(own) == STEP:
+        out[path == 0] = own
     return out
 
 
@@ -320,12 +340,15 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, recall: float
     (small), branched or compared in blocks (large). Verification takes one pair per document
     first, the most alike, then the pairs whose ends are still apart: every
     candidate is verified or lies within one component already. Large nodes
-    are never given up: see :func:`_dense`.
+    are never given up: see :func:`_dense`. Half of what ``recall`` allows a
+    pair at the threshold to be lost by goes to the trees, half to the
+    estimate on the sketches that candidates must pass.
 
     NULL, empty and wordless texts have no shingles and stand alone. Rows
-    with equal ids and equal sets share a component. Ids must be integers;
-    rows without one are kept, with a NULL component. An empty table gives an
-    empty result.
+    with equal ids and equal sets share a component; rows with equal ids and
+    other sets are linked each by its own. Ids must be integers; rows without
+    one are kept, with a NULL component. An empty table gives an empty
+    result; columns beside the two are dropped, whatever their names.
     """
     small_batches(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -333,15 +356,21 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, recall: float
     live = sig.where("n_shingles > 0 and id is not null")
     classes = materialize(live.groupBy("hi", "lo").agg(F.min("id").alias("rep")))
     own = classes.withColumnRenamed("rep", "id")
-    reps = materialize(live.select("id", "hi", "lo", "sketch", F.col("n_shingles").alias("m")).join(own, ["id", "hi", "lo"]).select("id", "m", "sketch").dropDuplicates(["id"]))
+    # a class is named by its smallest id, all but the first class of an id that has several by a hash
+    first_of_id = F.row_number().over(Window.partitionBy("id").orderBy("hi", "lo")) == 1
+    named = live.select("id", "hi", "lo", "sketch", F.col("n_shingles").alias("m")).join(own, ["id", "hi", "lo"]).dropDuplicates(["id", "hi", "lo"])
+    reps = materialize(named.select(F.when(first_of_id, F.col("id")).otherwise(F.lit(_NO_ID) + F.shiftrightunsigned("hi", 2)).alias("id"), F.col("id").alias("rep"), "hi", "lo", "m", "sketch"))
     similarity = percent / 100
-    least = similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / PLACES)
+    least = least_agreement(similarity, (1 - recall) / 2)
     root = F.array(F.struct(F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("node")))
     roots = reps.select("id", F.col("id").alias("c"), "m", "sketch", root.alias("at"))
-    branches = float(n_trees(similarity, recall))
-    held = materialize(_mixed(_grow(roots, branches)))
+    branches = float(n_trees(similarity, 1 - (1 - recall) / 2))
+    # a row becomes as many as there are trees, so the files are dealt out evenly first
+    even = roots.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    held = materialize(_mixed(_grow(even, branches)))
+    names = reps.join(held.select("id").distinct().hint("merge"), "id", "left_semi").groupBy("rep").agg(F.collect_list(F.struct("hi", "lo", "id")).alias("names"))
     # a merge join at any size: which texts are wanted grows with the input
-    wanted = docs.join(held.select("id").distinct().hint("merge"), "id", "left_semi")
+    wanted = docs.join(names.withColumnRenamed("rep", "id").hint("merge"), "id")
     sets = materialize(_sets_of(wanted, k).dropDuplicates(["id"]))
     links: DataFrame | None = None
     inputs = roots.join(held.select("id").distinct().hint("merge"), "id", "left_semi")
@@ -388,19 +417,42 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, recall: float
     right = label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     apart = pairs_all.select("a", "b").distinct().join(left, "a", "left").join(right, "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
     links = links.union(materialize(_verified(apart, sets, percent)))
-    component = connected_components(links).withColumnRenamed("id", "rep")
-    of_set = classes.join(component, "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
+    component = connected_components(links)
+    several = reps.where(F.col("id") != F.col("rep"))
+    if several.isEmpty():
+        component = component.withColumnRenamed("id", "rep")
+        of_set = classes.join(component, "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
+    else:
+        linked = reps.select("id", "rep", "hi", "lo").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        smallest = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+        of_set = linked.join(smallest, "component").select("hi", "lo", "component_id")
     out = sig.select("id", "n_shingles", "hi", "lo").join(of_set, ["hi", "lo"], "left")
     found_id = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", found_id.alias("component_id"), F.coalesce(F.col("id") == found_id, F.lit(True)).alias("kept"))
 
 
+#: Names of classes that no id is free for begin above all usual ids.
+_NO_ID = 1 << 62
+
+
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of tokens, as two unsigned numbers; zeros for the empty one."""
+    if not len(s):
+        return 0, 0
+    return int(np.bitwise_xor.reduce(mix(s))), int(mix(s * U(0xD6E8FEB86659FD93)).sum(dtype=U))
+
+
 def _sets_of(docs: DataFrame, k: int) -> DataFrame:
+    """``(id, tokens)`` of the rows of ``(id, text, names)`` whose set has a name there, under that name."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                sets = shingle_sets(part.column("text"), k)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "tokens"])
+                found = []
+                for s, names in zip(shingle_sets(part.column("text"), k), part.column("names").to_pylist(), strict=True):
+                    own = tuple(x - (1 << 64) * (x >> 63) for x in set_hash(s))
+                    found += [(n["id"], s.tobytes()) for n in names if (n["hi"], n["lo"]) == own]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["id", "tokens"])
 
     return docs.mapInArrow(run, "id long, tokens binary")
 
@@ -410,6 +462,13 @@ def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one of smallest id, with its own columns."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group, the one of smallest id, with its own columns.
+
+    Rows that share an id are one document here and stay or go together:
+    they go if each of them is a copy of another document. Rows without an
+    id, or without words, stay. Columns beside ``doc_id`` and ``text`` are
+    passed through, whatever their names.
+    """
+    found = near_duplicates(docs)
+    gone = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -265,6 +265,35 @@ def test_large_nodes_are_finished(spark, monkeypatch, levels):
     assert 100 < len(set(want)) < 290 and [got[i] for i in range(len(texts))] == want
 
 
+def test_trees_are_independent():
+    """No two trees share a place; of pairs at the threshold almost none meets in no tree, and none is estimated away."""
+    for percent in (80, 85):
+        n = near.n_trees(percent / 100, 1 - 5e-7)
+        places = np.stack([near._choose(np.zeros(1, np.uint64), b)[0] for b in range(n)])
+        assert len(set(places.ravel().tolist())) == places.size
+        rng = np.random.default_rng(percent)
+        lost = sum(int((~(rng.random((20_000, near.PLACES)) < percent / 100)[:, places].all(2).any(1)).sum()) for _ in range(10))
+        agree = rng.binomial(near.PLACES, percent / 100, 10**6) / near.PLACES
+        assert lost <= 2 and (agree < near.least_agreement(percent / 100, 5e-7)).sum() <= 5
+
+
+def test_ids_with_several_texts(spark):
+    """Every text of an id is linked by its own set, to the smallest id; rows that share an id stay or go together."""
+    a, b, c = prose(50, 80), prose(51, 80), prose(52, 80)
+    rows = [(5, a), (5, b), (5, b), (9, a + " more"), (7, b + " more"), (3, c), (7, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near.near_duplicates(df).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter([(5, 5), (5, 5), (5, 5), (9, 5), (7, 5), (3, 3), (7, 3)])
+    assert sorted(r["doc_id"] for r in near.keep_first(spark, df, "").collect()) == [3, 5, 5, 5]
+
+
+def test_very_long_near_copies(spark):
+    long = prose(60, 150_000)
+    other = long[: len(long) // 2] + " changed here " + long[len(long) // 2 :]
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(docs(spark, [long, other, prose(61, 150_000), "a " * 400_000])).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
 def test_block_overlaps():
     rng = np.random.default_rng(3)
     left, right = ([np.unique(rng.integers(0, n, 40, np.uint64)) for _ in range(90) for n in (60, 5000)] for _ in range(2))
@@ -276,7 +305,9 @@ def test_near_edges(spark):
     assert near.near_duplicates(docs(spark, [])).count() == 0
     nulls = docs(spark, ["a b c", "a b c"]).selectExpr("cast(null as long) doc_id", "text")
     assert [r["kept"] for r in near.near_duplicates(nulls).collect()] == [True, True]
-    assert near.keep_first(spark, docs(spark, [prose(1), prose(1), None]), "").count() == 2
+    extra = docs(spark, [prose(1), prose(1), None], extra=True).withColumns({"rep": F.lit(1), "hi": F.lit(2), "kept": F.lit(3), "Component_id": F.lit(4)})
+    kept = near.keep_first(spark, extra, "")
+    assert kept.columns == extra.columns and [r["kept"] for r in kept.collect()] == [3, 3]
 
 
 # ---- lines -------------------------------------------------------------------------------
