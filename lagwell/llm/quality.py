@@ -95,8 +95,10 @@ def quality_rules(df: DataFrame, rules: Rules | None = None, id_col: str = "doc_
     """One row per document: the counts, ``base_failed`` and ``kept``.
 
     NULL, empty and wordless texts have zero words, so the base rule fails
-    them. Repeated rows are measured each; columns other than the id are
-    dropped. Whole texts are measured in one pass without a shuffle.
+    them. Rows that repeat an id or a text, or have no id, are measured each;
+    columns other than the id are dropped, whatever their names. An empty
+    table gives an empty result. Whole texts of any length are measured in
+    one pass without a shuffle.
     """
     small_batches(df.sparkSession)
     rules = rules or Rules()
@@ -126,7 +128,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents the rules keep, with their own columns; one joinless pass per row.
 
     The verdict is computed beside each row rather than joined back by id, so
-    repeated or NULL ids keep every row its own verdict.
+    repeated or NULL ids keep every row its own verdict. Columns beside
+    ``text`` are passed through, whatever their names.
     """
     small_batches(spark)
     rules = Rules()

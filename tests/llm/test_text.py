@@ -146,6 +146,52 @@ def slow_quality(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), again, len(covered)
 
 
+def slow_verdict(t, rules):
+    """Whether a text stays, by the definition of each rule, with the characters that its repeats cover."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    n, chars, symbols, _, repeats = slow_quality(t)
+    every = [line for line in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    lines = sum(sum(map(len, re.findall(r"[^\x20\x09-\x0D]+", line))) for line in every if every.count(line) > 1)
+    covered = {}
+    for k, _ in rules.coverage:
+        grams = [tuple(w[j : j + k]) for j in range(len(w) - k + 1)]
+        held = {j + i for j, g in enumerate(grams) if grams.count(g) > 1 for i in range(k)}
+        covered[k] = sum(len(w[j]) for j in held)
+    bad = n < rules.min_words or 100 * repeats > 100 * rules.repeat_share * n or lines > rules.line_coverage * chars or symbols > rules.symbol_share * n
+    return lines, covered, not (bad or any(covered[k] > share * chars for k, share in rules.coverage))
+
+
+def test_quality_verdict(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefgé", k=rng.randint(1, 6))) for _ in range(400)]
+    texts = list(ODD)
+    for i in range(150):
+        t = rng.choices(words, k=rng.randint(45, 120))
+        for _ in range(rng.randint(0, 4)):
+            a, n = rng.randrange(len(t)), rng.choice((4, 6, 12, 40))
+            t[rng.randrange(len(t)) :][:0] = t[a : a + n]
+            t += t[a : a + n]
+        if i % 3 == 0:
+            t = [x + rng.choice("# $*") * rng.randint(0, 1) for x in t]
+        sep = ["\n" if rng.random() < 0.1 else " " for _ in t]
+        text = "".join(x + y for x, y in zip(t, sep, strict=True))
+        texts.append("\n".join([text, *rng.choices(text.split("\n"), k=rng.randint(0, 3))]))
+    rules = quality.Rules()
+    out = {r["doc_id"]: r for r in quality.quality_rules(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        lines, covered, stays = slow_verdict(t or "", rules)
+        assert out[i]["dup_line_chars"] == lines and all(out[i][f"dup_{k}gram_chars"] == n for k, n in covered.items()) and out[i]["kept"] == stays, t
+    assert 20 < sum(r["kept"] for r in out.values()) < 140
+
+
+@pytest.mark.parametrize("t", ["x" * 10**6, "ab " * 350_000, "\n" * 10**6, "#" * 10**6, "a b c\n" * 170_000], ids=["word", "words", "breaks", "symbols", "lines"])
+def test_very_long_texts_are_measured(spark, t):
+    began = time.perf_counter()
+    found = quality.quality_rules(docs(spark, [t])).first()
+    assert (found["n_words"], found["word_chars"]) == (len(t.split()), sum(map(len, t.split()))) and not found["kept"]
+    assert time.perf_counter() - began < 20
+
+
 def test_quality_counts(spark):
     texts = ODD + fuzz(400, "ab \n#é", 120, 8) + ["the cat sat " * 30, "line one two\n" * 5]
     out = {r["doc_id"]: r for r in quality.quality_rules(docs(spark, texts, extra=True)).collect()}
