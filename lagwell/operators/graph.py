@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwell.plans.lineage import materialize
+from lagwell.plans.lineage import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -33,12 +33,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             onward = hop.select(F.col("id").alias("to"), F.col("to").alias("end"))
             if hop.join(onward, "to", "left_semi").isEmpty():
                 break
-            hop = materialize(hop.join(onward, "to", "left").select("id", F.coalesce("end", "to").alias("to")), 2 * n)
+            shorter, hop = hop, materialize(hop.join(onward, "to", "left").select("id", F.coalesce("end", "to").alias("to")), 2 * n)
+            discard(shorter)
         hops.append(hop)
         left = hop.select(F.col("id").alias("a"), F.col("to").alias("ta"))
         right = hop.select(F.col("id").alias("b"), F.col("to").alias("tb"))
         ends = live.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"))
-        live = materialize(ends.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), n)
+        longer, live = live, materialize(ends.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), n)
+        if len(hops) > 1:  # the first edges name the ends
+            discard(longer)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if not hops:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lagwell.functions import kinetics as K
 from lagwell.operators.cluster import distances
 from lagwell.operators.frames import quantised_key
-from lagwell.plans.lineage import materialize
+from lagwell.plans.lineage import discard, materialize
 
 
 def reweight_segments(segments: DataFrame, n_clusters: int, *, rounds: int = 100, tol: float = 1e-4, window: int = 5, average_last: int = 10, seed: int = 0) -> tuple[DataFrame, list[float]]:
@@ -56,6 +56,8 @@ def reweight_segments(segments: DataFrame, n_clusters: int, *, rounds: int = 100
         weight = cells.join(F.broadcast(scale), "i").select("row_id", (F.col("weight") * F.col("f")).alias("weight"))
         weight = materialize(weight)  # one round of lineage at most
         history.append(float(np.abs(mass * factor / total - mass).sum()))
+        if len(kept) == average_last:
+            discard(kept[0])
         kept = [*kept, weight][-average_last:]
         if len(history) >= window and max(history[-window:]) < tol:
             break

@@ -111,3 +111,36 @@ def test_blocks_of_a_source(spark):
     assert ids(blocks(df, name="a", order="row", frames_per_traj=4)) == ["a:000000"] * 4 + ["a:000001"] * 2
     assert ids(blocks(df, name="a", order="row")) == ["a:000000"] * 6
     assert blocks(df.withColumn("traj_id", F.lit("x")), name="a", order="row").first()["traj_id"] == "x"
+
+
+def test_tables_are_deleted(spark):
+    import os
+
+    from lagwell.plans.lineage import discard, materialize, passing, session_dir
+
+    folder = session_dir(spark).removeprefix("file://")
+    a = materialize(spark.range(5).toDF("id"))
+    held = set(os.listdir(folder))
+    with passing(spark):
+        b = materialize(a.where("id > 1"))
+        assert b.count() == 3 and len(os.listdir(folder)) == len(held) + 1
+    assert set(os.listdir(folder)) == held
+    discard(a)
+    discard(spark.range(1))
+    assert len(os.listdir(folder)) == len(held) - 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lagwell.plans.lineage import shared_dir
+
+    def session(master, **known):
+        context = SimpleNamespace(master=master, getConf=lambda: {})
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: known.get(key, default)), sparkContext=context)
+
+    assert shared_dir(session("yarn", **{"spark.checkpoint.dir": "hdfs://x"})) == "hdfs://x"
+    assert shared_dir(session("local[4]")).startswith("file://")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared_dir(session(master))
