@@ -143,11 +143,12 @@ def test_bands_find_alike_texts():
     assert alike > 150 and hit >= 0.95 * alike, (alike, hit)
 
 
-@pytest.mark.parametrize("levels", [0, 2])
-def test_hot_bands(spark, monkeypatch, levels):
+@pytest.mark.parametrize(("levels", "whole"), [(0, 50), (2, 50), (2, 8192)])
+def test_hot_bands(spark, monkeypatch, levels, whole):
     """A large group of near copies around one text and texts that share half of it, in bands that stay large."""
     monkeypatch.setattr(edits, "SMALL", 4)
     monkeypatch.setattr(edits, "LEVELS", levels)
+    monkeypatch.setattr(edits, "WHOLE", whole)
     monkeypatch.setattr(edits, "BLOCK", 16)
     rng = random.Random(33)
     seed, shared = prose(41, 300), prose(42, 150)
