@@ -86,9 +86,15 @@ def periodic_features(columns: Sequence[str], periodic: Sequence[str], degrees:
     return out
 
 
+def _at_cut(angle: Column, half: float) -> Column:
+    """Half a turn backwards, to a billionth, is taken as half a turn forwards: which one rounding gives says nothing."""
+    return F.when(angle <= -half * (1 - 1e-9), angle + 2 * half).otherwise(angle)
+
+
 def angle_of(sine: Column, cosine: Column, degrees: bool = True) -> Column:
+    """The angle, above minus half a turn and up to half a turn."""
     a = F.atan2(sine, cosine)
-    return F.degrees(a) if degrees else a
+    return _at_cut(F.degrees(a), 180.0) if degrees else _at_cut(a, math.pi)
 
 
 def minimum_image(delta: Column, period: float) -> Column:
@@ -107,7 +113,8 @@ def scaled_circle(x: Column, period: float) -> tuple[Column, Column]:
 
 
 def from_circle(s: Column, c: Column, period: float) -> Column:
-    return F.atan2(s, c) * (period / (2 * math.pi))
+    """Back on the line, above -period/2 and up to period/2."""
+    return _at_cut(F.atan2(s, c) * (period / (2 * math.pi)), period / 2)
 
 
 def standardised(df: DataFrame, columns: Sequence[str], method: str = "standard", eps: float = 1e-12, fit: Column | None = None) -> DataFrame:

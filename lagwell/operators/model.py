@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagwell.functions.arrays import total
-from lagwell.functions.committor import AdamW, Loss, Net, boundary_weight, partial_gradient
+from lagwell.functions.committor import AdamW, Loss, Net, boundary_weight, flux_spread, flux_sums, partial_gradient
 from lagwell.functions.kinetics import pairwise_design
 
 
@@ -26,12 +26,33 @@ def infer(df: DataFrame, net: Net, x: str = "x", out: str = "q") -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def train(pairs: DataFrame, net: Net, loss: Loss, *, epochs: int = 50, rate: float = 1e-2, patience: int = 30, validation: float = 0.2, seed: int = 0, schedule: str = "fixed", final_boundary: float | None = None) -> tuple[Net, list[dict]]:
-    """(best network, history) by full-batch AdamW: each partition sends one partial gradient, added on the driver.
+def labelled_ends(rows: DataFrame) -> float:
+    """The weight of labelled ends as a multiple of the weight of the rows ``(label, label_tau, weight)``."""
+    end = lambda c: F.when(F.col(c) >= 0, F.col("weight")).otherwise(0.0)
+    got = rows.agg(F.sum(end("label") + end("label_tau")).alias("ends"), F.sum("weight").alias("mass")).first()
+    return (got["ends"] or 0.0) / got["mass"] if got["mass"] else 0.0
+
+
+def boundary_loss(rows: DataFrame, q: str = "q", label: str = "state", weight: str = "weight", mode: str = "cross_entropy") -> DataFrame:
+    """One row, ``boundary``: the weighted mean over labelled rows of cross entropy or squared distance to the label; NULL without any."""
+    own = F.greatest(F.get(q, F.col(label).cast("int")), F.lit(1e-12))
+    gap = F.aggregate(q, F.lit(0.0), lambda s, v: s + v * v) - 2 * F.get(q, F.col(label).cast("int")) + 1
+    value = -F.ln(own) if mode == "cross_entropy" else gap
+    held = rows.where(F.col(label) >= 0)
+    return held.agg((F.sum(F.col(weight) * value) / F.sum(weight)).alias("boundary"))
+
+
+def train(pairs: DataFrame, net: Net, loss: Loss, *, epochs: int = 50, rate: float = 1e-2, patience: int = 30, validation: float = 0.2, seed: int = 0, schedule: str = "fixed", final_boundary: float | None = None, decay_epochs: float = 100.0, batches: int = 1, last: str | None = None) -> tuple[Net, list[dict]]:
+    """(best network, history) by AdamW: each partition sends one partial gradient, added on the driver.
 
     ``pairs`` holds ``row_id x x_tau label label_tau weight``; a hash of the
-    row id decides which rows validate. Early stop after ``patience`` epochs
-    without a better validation loss.
+    row id decides which rows validate and, with several ``batches`` an epoch,
+    which batch a row is in (another hash each epoch). The boundary part is
+    the mean over labelled ends; the flux part is summed over all rows of a
+    batch before its gradient is taken, so neither depends on the
+    partitioning. Early stop after ``patience`` epochs without a better
+    validation loss. ``last`` names a file that gets the network after every
+    epoch.
     """
     from dataclasses import replace
 
@@ -41,13 +62,29 @@ def train(pairs: DataFrame, net: Net, loss: Loss, *, epochs: int = 50, rate: flo
     optimiser, history = AdamW(rate), []
     best, best_value, waited = [(w.copy(), b.copy()) for w, b in net.layers], np.inf, 0
 
-    def sums(rows: DataFrame, now: Net, part: Loss) -> tuple[list, dict, float]:
+    def arrays(b: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        return *(np.array(b[c].tolist()) for c in ("x", "x_tau", "label", "label_tau")), b.weight.to_numpy()
+
+    def spread(rows: DataFrame, now: Net, part: Loss) -> tuple[float, np.ndarray]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    x, x_tau, _, _, w = arrays(b)
+                    yield pd.DataFrame({"sums": [flux_sums(now(x), now(x_tau), w, part).ravel()], "mass": [w.sum()]})
+
+        size = len(part.pairs) * len(part.thresholds)
+        got = rows.mapInPandas(run, "sums array<double>, mass double").agg(*(F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(size)), F.sum("mass").alias("mass")).first()
+        return flux_spread(np.array([got[f"s{k}"] or 0.0 for k in range(size)]).reshape(len(part.pairs), -1), got["mass"] or 1.0)
+
+    def sums(rows: DataFrame, now: Net, part: Loss, ends: float) -> tuple[list, dict]:
+        value, slope = spread(rows, now, part) if part.flux and part.pairs else (0.0, None)
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             acc, parts, mass = None, {}, 0.0
             for b in batches:
                 if not len(b):
                     continue
-                g, p, m = partial_gradient(now, np.array(b.x.tolist()), np.array(b.x_tau.tolist()), np.array(b.label.tolist()), np.array(b.label_tau.tolist()), b.weight.to_numpy(), part)
+                g, p, m = partial_gradient(now, *arrays(b), part, ends, slope)
                 acc = g if acc is None else [(a + c, e + d) for (a, e), (c, d) in zip(acc, g, strict=True)]
                 parts = {k: parts.get(k, 0.0) + v for k, v in p.items()}
                 mass += m
@@ -61,14 +98,15 @@ def train(pairs: DataFrame, net: Net, loss: Loss, *, epochs: int = 50, rate: flo
         for w, b in now.layers:
             grads.append((flat[at : at + w.size].reshape(w.shape), flat[at + w.size : at + w.size + b.size]))
             at += w.size + b.size
-        parts = {k: sum(r["parts"].get(k, 0.0) for r in got) / mass for k in ("dirichlet", "boundary", "simplex", "flux")}
-        return grads, parts, mass
+        return grads, {k: sum(r["parts"].get(k, 0.0) for r in got) / mass for k in ("dirichlet", "boundary", "simplex")} | {"flux": value}
 
+    learn, tested = held.where("not _val"), held.where("_val")
+    ends = {kind: 2.0 if loss.pairwise else labelled_ends(rows) for kind, rows in (("learn", learn), ("tested", tested))}
     value = lambda p, part: sum(getattr(part, k) * v for k, v in p.items())
     for epoch in range(epochs):
-        now = replace(loss, boundary=boundary_weight(epoch, loss.boundary, final_boundary or loss.boundary, schedule, 0, epochs))
-        grads, parts, _ = sums(held.where("not _val"), net, now)
-        _, check, _ = sums(held.where("_val"), net, now) if validation else (None, parts, 0)
+        now = replace(loss, boundary=boundary_weight(epoch + 1, loss.boundary, loss.boundary if final_boundary is None else final_boundary, schedule, 1, decay_epochs))
+        grads, parts = sums(learn, net, now, ends["learn"])
+        check = sums(tested, net, now, ends["tested"])[1] if validation else parts
         history.append({"epoch": epoch, "train": value(parts, now), "validation": value(check, now), **parts})
         if history[-1]["validation"] < best_value:
             best, best_value, waited = [(w.copy(), b.copy()) for w, b in net.layers], history[-1]["validation"], 0
@@ -76,7 +114,13 @@ def train(pairs: DataFrame, net: Net, loss: Loss, *, epochs: int = 50, rate: flo
             waited += 1
             if waited > patience:
                 break
-        optimiser.step(net, grads)
+        if batches == 1:
+            optimiser.step(net, grads)
+        for k in range(batches if batches > 1 else 0):
+            part = learn.where(F.pmod(F.xxhash64("row_id", F.lit(seed), F.lit(epoch + 1)), F.lit(batches)) == k)
+            optimiser.step(net, sums(part, net, now, ends["learn"] if loss.pairwise else labelled_ends(part))[0])
+        if last:
+            net.save(last, {"epoch": epoch})
     net.layers = best
     return net, history
 

@@ -65,9 +65,9 @@ def p06(spark: SparkSession, d: str) -> DataFrame:
     return rounded(f.select("row_id", *P.periodic_features(["phi", "cv2"], ["phi"])), ["sinphi", "cosphi"])
 
 
-@query("p08_angle", f"with {LI} select row_id, round(degrees(atan2(sin(radians(cv1 * 7)), cos(radians(cv1 * 7)))), 6) phi from li where cv1 * 7 % 360 != 180")
+@query("p08_angle", f"with {LI} select row_id, round(case when phi <= -180 * (1 - 1e-9) then phi + 360 else phi end, 6) phi from (select row_id, degrees(atan2(sin(radians(cv1 * 7)), cos(radians(cv1 * 7)))) phi from li)")
 def p08(spark: SparkSession, d: str) -> DataFrame:
-    f = frames_li(spark, d).withColumn("phi", F.col("cv1") * 7).where("phi % 360 != 180")
+    f = frames_li(spark, d).withColumn("phi", F.col("cv1") * 7)
     s, c = P.periodic_features(["phi"], ["phi"])
     return f.select("row_id", F.round(P.angle_of(s, c), 6).alias("phi"))
 
@@ -78,10 +78,10 @@ def p09(spark: SparkSession, d: str) -> DataFrame:
     return frames_li(spark, d).select("row_id", F.round(P.minimum_image(x - 100, 360.0), 6).alias("delta"), F.round(P.wrap(x - 90, 0.0, 90.0), 6).alias("wrapped"))
 
 
-@query("p10_circle", f"with {LI} select row_id, round(sin(cv1 * 2 * pi() / 90) * 90 / (2 * pi()), 6) s, round(cos(cv1 * 2 * pi() / 90) * 90 / (2 * pi()), 6) c, round(atan2(sin(cv1 * 2 * pi() / 90), cos(cv1 * 2 * pi() / 90)) * 90 / (2 * pi()), 5) back from li where cv1 != 45")
+@query("p10_circle", f"with {LI} select row_id, round(sin(cv1 * 2 * pi() / 90) * 90 / (2 * pi()), 6) s, round(cos(cv1 * 2 * pi() / 90) * 90 / (2 * pi()), 6) c, round(case when back <= -45 * (1 - 1e-9) then back + 90 else back end, 5) back from (select row_id, cv1, atan2(sin(cv1 * 2 * pi() / 90), cos(cv1 * 2 * pi() / 90)) * 90 / (2 * pi()) back from li)")
 def p10(spark: SparkSession, d: str) -> DataFrame:
     s, c = P.scaled_circle(F.col("cv1"), 90.0)
-    return frames_li(spark, d).where("cv1 != 45").select("row_id", F.round(s, 6).alias("s"), F.round(c, 6).alias("c"), F.round(P.from_circle(s, c, 90.0), 5).alias("back"))
+    return frames_li(spark, d).select("row_id", F.round(s, 6).alias("s"), F.round(c, 6).alias("c"), F.round(P.from_circle(s, c, 90.0), 5).alias("back"))
 
 
 def _scaled(method: str):  # noqa: ANN202

@@ -28,18 +28,18 @@ def j01(spark: SparkSession, d: str) -> DataFrame:
     return _positional(spark, d).select("row_id", "state", "state_tau")
 
 
-@query("j02_keyed_pairs", f"with {LI}, g as (select * from li where frame % 7 != 3) select a.row_id, l.lag, b.state state_tau from g a cross join (select unnest([1, 2, 5]) lag) l join g b on b.traj_id = a.traj_id and b.frame = a.frame + l.lag")
+@query("j02_keyed_pairs", f"with {LI} " + " union all ".join(f"select a.row_id, {lag} lag, b.state state_tau from li a join li b on b.traj_id = a.traj_id and b.frame = a.frame + {lag}" for lag in (1, 2, 5)))
 def j02(spark: SparkSession, d: str) -> DataFrame:
-    return L.keyed_pairs(frames_li(spark, d).where("frame % 7 != 3"), [1, 2, 5], ["state"]).select("row_id", "lag", "state_tau")
+    return L.keyed_pairs(frames_li(spark, d), [1, 2, 5], ["state"]).select("row_id", "lag", "state_tau")
 
 
 @query(
     "j03_sequence_pairs",
-    f"with {LI}, g as (select * from li where frame % 7 != 3), s as (select *, lead(state, 1) over w s1, lead(state, 2) over w s2, lead(state, 5) over w s5 from g window w as (partition by traj_id order by frame)) "
+    f"with {LI}, s as (select *, lead(state, 1) over w s1, lead(state, 2) over w s2, lead(state, 5) over w s5 from li window w as (partition by traj_id order by frame)) "
     "select row_id, 1 lag, s1 state_tau from s where s1 is not null union all select row_id, 2, s2 from s where s2 is not null union all select row_id, 5, s5 from s where s5 is not null",
 )
 def j03(spark: SparkSession, d: str) -> DataFrame:
-    return L.sequence_pairs(frames_li(spark, d).where("frame % 7 != 3"), [1, 2, 5], ["state"]).select("row_id", "lag", "state_tau")
+    return L.sequence_pairs(frames_li(spark, d), [1, 2, 5], ["state"]).select("row_id", "lag", "state_tau")
 
 
 for _r, _c in (("none", "true"), ("any", "state >= 0 or state_tau >= 0"), ("both", "state >= 0 and state_tau >= 0")):
@@ -170,20 +170,36 @@ def l06_coarse(spark: SparkSession, d: str) -> DataFrame:
     return rounded(N.coarsen(micro, mapping), ["count"], 2)
 
 
-@query("l06_chapman_kolmogorov", None)
+_CK = (
+    f"with {LI}, "
+    + "c as ("
+    + " union all ".join(f"select {lag} lag, a.state i, b.state j, sum(a.weight) c from li a join li b on b.traj_id = a.traj_id and b.frame = a.frame + {lag} where a.weight > 0 group by 2, 3" for lag in (2, 4, 6, 8))
+    + "), g as (select l.lag, a.i, b.j from (select unnest([2, 4, 6, 8]) lag) l, (select unnest([0, 1, 2, 3, 4, 5]) i) a, (select unnest([0, 1, 2, 3, 4, 5]) j) b), f as (select g.*, coalesce(c, 0) c, sum(coalesce(c, 0)) over (partition by lag, g.i) m from g left join c using (lag, i, j)), "
+    "t as (select lag, i, j, case when m > 0 then (c + 1e-8) / (m + 6e-8) when i = j then 1 else 0 end p from f), p1 as (select i, j, p from t where lag = 2)"
+)
+for _k in (2, 3, 4):
+    _CK += f", p{_k} as (select a.i, b.j, sum(a.p * b.p) p from p{_k - 1} a join p1 b on b.i = a.j group by 1, 2)"
+_CK += " " + " union all ".join(f"select {k} k, round(sqrt(avg(power(t.p - p{k}.p, 2))), 8) rmsd from t join p{k} using (i, j) where lag = {2 * k}" for k in (1, 2, 3, 4))
+
+
+@query("l06_chapman_kolmogorov", _CK)
 def l06(spark: SparkSession, d: str) -> DataFrame:
     lags = [2, 4, 6, 8]
     rows = N.count_matrix(L.sequence_pairs(frames_li(spark, d), lags, ["state"])).collect()
     n = 1 + max(max(r["i"], r["j"]) for r in rows)
     t = {lag: K.transition(K.dense([r for r in rows if r["lag"] == lag], n, "count")) for lag in lags}
-    return spark.createDataFrame(K.chapman_kolmogorov({lag // 2: t[lag] for lag in lags}, t[2]), "k int, rmsd double")
+    return rounded(spark.createDataFrame(K.chapman_kolmogorov({lag // 2: t[lag] for lag in lags}, t[2]), "k int, rmsd double"), ["rmsd"], 8)
+
 
+_TREES = " union all ".join(f"select {a} i, p{b}{a} * p{c}{a} + p{b}{a} * p{c}{b} + p{b}{c} * p{c}{a} w from mx" for a, b, c in ((0, 1, 2), (1, 0, 2), (2, 0, 1)))
+_MATRIX = ", ".join(f"max(case when i = {i} and j = {j} then p end) p{i}{j}" for i in range(3) for j in range(3))
 
-@query("l01_stationary", None)
+
+@query("l01_stationary", f"with {_T}, mx as (select {_MATRIX} from t), w as ({_TREES}) select i, round(w / sum(w) over (), 7) pi from w")
 def l01(spark: SparkSession, d: str) -> DataFrame:
     rows = _counts(spark, d).collect()
     pi = K.stationary(K.transition(K.dense(rows, 3, "count")))
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(pi)], "i int, pi double")
+    return rounded(spark.createDataFrame([(i, float(v)) for i, v in enumerate(pi)], "i int, pi double"), ["pi"], 7)
 
 
 @query("l02_implied_timescales", None)
@@ -315,7 +331,10 @@ def x04(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([tuple(r.values()) for r in _rates(spark, d)["table"]], "i int, j int, k double, k_direct double, mfpt double, p_jump double, std double")
 
 
-@query("l07_generator", f"with {_PW}, {_THR}, f as ({_flux_rows()}), g as (select i, j, c, sum(w * x) / sum(w) / 2 v from f group by 1, 2, 3), fl as (select i, j, avg(v) v from g group by 1, 2), pi as (select state, sum(weight) / sum(sum(weight)) over () pi from emb where state >= 0 and weight > 0 group by 1), k as (select i, j, greatest(v / pi, 0) k from fl join pi on state = i) select i, j, round(k, 8) rate from k union all select i, i, round(-sum(k), 8) from k group by i")
+_K = f"{_PW}, {_THR}, f as ({_flux_rows()}), g as (select i, j, c, sum(w * x) / sum(w) / 2 v from f group by 1, 2, 3), fl as (select i, j, avg(v) v from g group by 1, 2), pi as (select state, sum(weight) / sum(sum(weight)) over () pi from emb where state >= 0 and weight > 0 group by 1), k as (select i, j, greatest(v / pi, 0) k from fl join pi on state = i)"
+
+
+@query("l07_generator", f"with {_K} select i, j, round(k, 8) rate from k union all select i, i, round(-sum(k), 8) from k group by i")
 def l07(spark: SparkSession, d: str) -> DataFrame:
     return rounded(X.matrix_frame(spark, _rates(spark, d)["K"], "rate").drop("unbounded"), ["rate"], 8)
 
@@ -325,14 +344,32 @@ def l08(spark: SparkSession, d: str) -> DataFrame:
     return rounded(X.matrix_frame(spark, _rates(spark, d)["P_jump"], "p").where("i != j").drop("unbounded"), ["p"], 8)
 
 
-@query("l09_mean_first_passage", None)
+_KM = ", ".join(f"max(case when i = {i} and j = {j} then k end) k{i}{j}" for i in range(3) for j in range(3) if i != j)
+#: The passage time from i to j, by way of the third state or not: Cramer's rule on the two states left.
+_MFPT = " union all ".join(
+    f"select {i} i, {j} j, (k{o}{i} + k{o}{j} + k{i}{o}) / ((k{i}{j} + k{i}{o}) * (k{o}{i} + k{o}{j}) - k{i}{o} * k{o}{i}) mfpt from m"
+    for i in range(3) for j in range(3) for o in range(3) if len({i, j, o}) == 3
+)
+
+
+@query("l09_mean_first_passage", f"with {_K}, m as (select {_KM} from k), x as ({_MFPT}) select i, j, round(mfpt, 4) mfpt from x union all select i, i, 0.0 from (select unnest([0, 1, 2]) i)")
 def l09(spark: SparkSession, d: str) -> DataFrame:
-    return X.matrix_frame(spark, _rates(spark, d)["MFPT"], "mfpt")
+    return rounded(X.matrix_frame(spark, _rates(spark, d)["MFPT"], "mfpt").drop("unbounded"), ["mfpt"], 4)
+
 
+_CUT = {"enabled": True, "min_probability": 0.4}
 
-@query("l10_edge_filter", None)
+
+@query("l10_edge_filter", f"with {_K}, p as (select *, k / sum(k) over (partition by i) p from k) select i, j, round(case when p < 0.4 then 0 else k end, 8) rate from p union all select i, i, 0.0 from (select unnest([0, 1, 2]) i)")
 def l10(spark: SparkSession, d: str) -> DataFrame:
-    r = rate_matrices(frames_emb(spark, d), 3, 2, edge_filter={"enabled": True, "min_probability": 0.2})
+    """Every edge below the cut goes, whatever it connected."""
+    r = rate_matrices(frames_emb(spark, d), 3, 2, edge_filter={**_CUT, "keep_reachable": False})
+    return rounded(X.matrix_frame(spark, r["k_direct"], "rate").drop("unbounded"), ["rate"], 8)
+
+
+@query("l10_reachable_filter", None)
+def l10_reach(spark: SparkSession, d: str) -> DataFrame:
+    r = rate_matrices(frames_emb(spark, d), 3, 2, edge_filter=_CUT)
     return X.matrix_frame(spark, r["k_direct"], "rate")
 
 
@@ -349,13 +386,13 @@ def l12(spark: SparkSession, d: str) -> DataFrame:
     return X.matrix_frame(spark, k, "rate")
 
 
-@query("l13_state_probabilities", None)
+@query("l13_state_probabilities", f"with {EMB} select row_id, round(q0, 7) p0, round(q1, 7) p1, round(q2, 7) p2 from emb")
 def l13(spark: SparkSession, d: str) -> DataFrame:
     from lagwell.operators.model import reconstruct
 
     f = frames_emb(spark, d)
     pair = F.array(*(F.col(f"q{j}") / (F.col(f"q{i}") + F.col(f"q{j}")) for i in range(3) for j in range(i + 1, 3)))
-    return reconstruct(f.select("row_id", "state", pair.alias("Q")), 3, out="p").select("row_id", *(F.col("p")[k].alias(f"p{k}") for k in range(3)))
+    return reconstruct(f.select("row_id", "state", pair.alias("Q")), 3, out="p").select("row_id", *(F.round(F.col("p")[k], 7).alias(f"p{k}") for k in range(3)))
 
 
 @query("l14_rate_merge", None)

@@ -217,10 +217,25 @@ def a16(spark: SparkSession, d: str) -> DataFrame:
     return rounded(B.grid(spark, [(-0.3, 0.3, 6), (-0.3, 0.3, 4)]), ["x0", "x1"])
 
 
-@query("a16_model_on_grid", None)
+def _net_sql(net: Net, source: str, keys: list[str], inputs: list[str]) -> str:
+    """The network's probabilities over a table, from its weights."""
+    (w, b), (v, c) = net.layers
+    x = [f"cast(cast({i} as float) as double)" for i in inputs]
+    z = ", ".join(" + ".join([f"({float(b[k])!r}::double)", *(f"{x[i]} * ({float(w[i, k])!r}::double)" for i in range(len(x)))]) + f" z{k}" for k in range(len(b)))
+    h = ", ".join(f"case when z{k} > 0 then z{k} else exp(z{k}) - 1 end h{k}" for k in range(len(b)))
+    o = ", ".join("exp(" + " + ".join([f"({float(c[j])!r}::double)", *(f"h{k} * ({float(v[k, j])!r}::double)" for k in range(len(b)))]) + f") e{j}" for j in range(len(c)))
+    total = " + ".join(f"e{j}" for j in range(len(c)))
+    key = ", ".join(keys)
+    return f"zz as (select {key}, {z} from {source}), hh as (select {key}, {h} from zz), oo as (select {key}, {o} from hh) select {key}, " + ", ".join(f"round(e{j} / ({total}), 6) q{j}" for j in range(len(c))) + " from oo"
+
+
+_CENTERS_SQL = "gr as (select a::int b0, -0.3e0 + (a + 0.5e0) * 0.1e0 x0, b::int b1, -0.3e0 + (b + 0.5e0) * 0.15e0 x1 from (select unnest([0, 1, 2, 3, 4, 5]) a), (select unnest([0, 1, 2, 3]) b))"
+
+
+@query("a16_model_on_grid", f"with {_CENTERS_SQL}, " + _net_sql(Net((2, 8, 3)), "gr", ["b0", "b1"], ["x0", "x1"]))
 def a16m(spark: SparkSession, d: str) -> DataFrame:
     g = B.grid(spark, [(-0.3, 0.3, 6), (-0.3, 0.3, 4)]).select("b0", "b1", F.array("x0", "x1").alias("x"))
-    return M.infer(g, Net((2, 8, 3))).select("b0", "b1", *(F.col("q")[k].alias(f"q{k}") for k in range(3)))
+    return M.infer(g, Net((2, 8, 3))).select("b0", "b1", *(F.round(F.col("q")[k], 6).alias(f"q{k}") for k in range(3)))
 
 
 _G = [float(v) for v in np.exp(-0.5 * np.arange(-4, 5) ** 2) / np.exp(-0.5 * np.arange(-4, 5) ** 2).sum()]
@@ -330,9 +345,13 @@ def o02(spark: SparkSession, d: str) -> DataFrame:
     return C.weighted_sample(frames_emb(spark, d), 20, by=("state",)).select("row_id", "state", "weight")
 
 
-@query("j09_nearest_neighbours", None)
+_KNN = f"{EMB}, pr as (select a.row_id, b.row_id id, sqrt(power(a.x0 - b.x0, 2) + power(a.x1 - b.x1, 2) + power(a.x2 - b.x2, 2)) d from emb a join emb b on b.row_id != a.row_id), kn as (select *, row_number() over (partition by row_id order by d, id) r from pr)"
+
+
+@query("j09_nearest_neighbours", f"with {_KNN} select row_id, cast(r as int) rank, id, round(d, 7) dist from kn where r <= 5")
 def j09(spark: SparkSession, d: str) -> DataFrame:
-    return C.knn_all(frames_emb(spark, d), 5)
+    found = C.knn_all(frames_emb(spark, d), 5).select("row_id", F.posexplode(F.arrays_zip("ids", "dists")).alias("rank", "n"))
+    return rounded(found.select("row_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("n.ids").alias("id"), F.col("n.dists").alias("dist")), ["dist"], 7)
 
 
 @query("c05_neighbour_density", None)
@@ -384,11 +403,11 @@ for _score in ("entropy", "gini"):
 
 
 def _images(spark: SparkSession, d: str) -> DataFrame:
-    """Ten frames of each vector trajectory are a path of ten images."""
-    return frames_emb(spark, d).where("frame < 10").select(F.col("traj_id").alias("path_id"), F.col("frame").alias("image_id"), F.array("x0", "x1").alias("x"), (F.col("traj_id") + 1.0).alias("weight"))
+    """The fifty frames of each vector trajectory are a path of fifty images."""
+    return frames_emb(spark, d).select(F.col("traj_id").alias("path_id"), F.col("frame").alias("image_id"), F.array("x0", "x1").alias("x"), (F.col("traj_id") + 1.0).alias("weight"))
 
 
-_IM = f"{EMB}, im as (select traj_id path_id, frame image_id, x0, x1, traj_id + 1.0 weight from emb where frame < 10)"
+_IM = f"{EMB}, im as (select traj_id path_id, frame image_id, x0, x1, traj_id + 1.0 weight from emb)"
 
 
 @query("s09_coarse_images", f"with {_IM}, k as (select *, row_number() over (partition by path_id order by image_id) - 1 r, count(*) over (partition by path_id) n from im) select path_id, cast(row_number() over (partition by path_id order by r) - 1 as int) image_id, round(x0, 6) x0 from k where r % 4 = 0 or r = n - 1")
@@ -501,15 +520,35 @@ def _exchange(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return E.exchange_counts(cells, {0: 6, 1: 6}), nodes
 
 
-@query("j12_exchange_counts", None)
+def _nearest_image(p: int) -> str:
+    """The first of the images of a path that are nearest, as a CASE over their squared distances."""
+    d2 = [" + ".join(f"power(x{k} - ({float(v)!r}::double), 2)" for k, v in enumerate(image)) for image in _two_paths()[p]]
+    return "case " + " ".join(f"when {d} <= least({', '.join(d2)}) then {k}" for k, d in enumerate(d2)) + " end"
+
+
+_XC = (
+    f"{EMB}, ce as (select row_id, traj_id, weight, {_nearest_image(0)} i0, {_nearest_image(1)} i1 from emb), tw as (select a.weight, a.i0, a.i1, b.i0 t0, b.i1 t1 from ce a join ce b on b.row_id = a.row_id + 1 and b.traj_id = a.traj_id), "
+    "on1 as (select 0 path_a, i0 image_a, 1 path_b, t1 image_b, weight w from tw union all select 1, i1, 0, t0, weight from tw), "
+    "inn as (select * from on1 where image_a between 1 and 4 and image_b between 1 and 4), "
+    "xc as (select path_a, image_a, path_b, image_b, sum(w) count from (select * from inn union all select path_b, image_b, path_a, image_a, w from inn) group by 1, 2, 3, 4)"
+)
+_NODES = "nd as (" + " union all ".join(f"select {p} p, {k} im, " + ", ".join(f"({float(v)!r}::double) n{c}" for c, v in enumerate(image)) for p, m in _two_paths().items() for k, image in enumerate(m)) + ")"
+
+
+@query("j12_exchange_counts", f"with {_XC} select path_a, image_a::int image_a, path_b, image_b::int image_b, round(count, 6) count from xc")
 def j12(spark: SparkSession, d: str) -> DataFrame:
-    return _exchange(spark, d)[0]
+    return rounded(_exchange(spark, d)[0], ["count"])
 
 
-@query("o08_exchange_edges", None)
+@query(
+    "o08_exchange_edges",
+    f"""with {_XC}, {_NODES}, ou as (select path_a p, image_a im, sum(count) o from xc group by 1, 2), ed as (select xc.*, count / least(a.o, b.o) probability, sqrt(power(na.n0 - nb.n0, 2) + power(na.n1 - nb.n1, 2) + power(na.n2 - nb.n2, 2)) distance
+  from xc join ou a on a.p = path_a and a.im = image_a join ou b on b.p = path_b and b.im = image_b join nd na on na.p = path_a and na.im = image_a join nd nb on nb.p = path_b and nb.im = image_b where path_a < path_b)
+select path_a, image_a::int image_a, path_b, image_b::int image_b, round(count, 6) count, round(probability, 8) probability, round(distance, 8) distance, count >= 1 and distance <= 0.3 accepted from ed""",
+)
 def o08(spark: SparkSession, d: str) -> DataFrame:
     counts, nodes = _exchange(spark, d)
-    return E.edge_table(counts, nodes, min_count=1.0, max_distance=0.3)
+    return rounded(rounded(E.edge_table(counts, nodes, min_count=1.0, max_distance=0.3), ["count"]), ["probability", "distance"], 8)
 
 
 @query("c24_shared_segments", None)
@@ -552,9 +591,20 @@ def c18(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(h["epoch"], h["train"], h["validation"]) for h in history], "epoch int, train double, validation double")
 
 
-@query("c19_inference", None)
+@query("c19_inference", f"with {EMB}, " + _net_sql(Net((3, 8, 3)), "emb", ["row_id"], ["x0", "x1", "x2"]))
 def c19(spark: SparkSession, d: str) -> DataFrame:
-    return M.infer(frames_emb(spark, d).select("row_id", "x"), Net((3, 8, 3))).select("row_id", *(F.col("q")[k].alias(f"q{k}") for k in range(3)))
+    return M.infer(frames_emb(spark, d).select("row_id", "x"), Net((3, 8, 3))).select("row_id", *(F.round(F.col("q")[k], 6).alias(f"q{k}") for k in range(3)))
+
+
+@query("c17_boundary_loss", f"with {SC} select round(sum(weight * -ln(greatest(q_own, 1e-12))) / sum(weight), 8) boundary from sc where state >= 0")
+def c17b(spark: SparkSession, d: str) -> DataFrame:
+    """Cross entropy over labelled frames only."""
+    return rounded(M.boundary_loss(frames_emb(spark, d)), ["boundary"], 8)
+
+
+@query("c17_boundary_distance", f"with {EMB} select round(sum(weight * (power(q0 - case state when 0 then 1 else 0 end, 2) + power(q1 - case state when 1 then 1 else 0 end, 2) + power(q2 - case state when 2 then 1 else 0 end, 2))) / sum(weight), 8) boundary from emb where state >= 0")
+def c17m(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(M.boundary_loss(frames_emb(spark, d), mode="mse"), ["boundary"], 8)
 
 
 @query("c20_pairwise_training", None)

@@ -45,7 +45,7 @@ def frames_li(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select((F.col("l_suppkey") * 1000000 + F.col("frame")).alias("row_id"), F.col("l_suppkey").alias("traj_id"), "frame", F.col("l_quantity").alias("cv1"), F.col("l_discount").alias("cv2"), F.col("l_tax").alias("cv3"), F.col("l_extendedprice").alias("weight"), state.alias("state"))
 
 
-LI = """li as (select l_suppkey * 1000000 + row_number() over w - 1 row_id, l_suppkey traj_id, cast(row_number() over w - 1 as int) frame, l_quantity cv1, l_discount cv2, l_tax cv3,
+LI = """li as materialized (select l_suppkey * 1000000 + row_number() over w - 1 row_id, l_suppkey traj_id, cast(row_number() over w - 1 as int) frame, l_quantity cv1, l_discount cv2, l_tax cv3,
   l_extendedprice weight, case l_returnflag when 'A' then 0 when 'N' then 2 else 4 end + case l_linestatus when 'O' then 1 else 0 end state
   from lineitem window w as (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber, l_partkey))"""
 

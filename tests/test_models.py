@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lagwell.functions.committor import AdamW, Loss, Net, boundary_weight, partial_gradient, split_train_val
+from lagwell.functions.committor import AdamW, Loss, Net, boundary_weight, flux_spread, flux_sums, losses, partial_gradient, split_train_val
 from lagwell.operators import cluster as C
 from lagwell.operators import exchange as E
 from lagwell.operators import model as M
@@ -22,21 +22,27 @@ from lagwell.sources import readers as D
 
 
 @pytest.mark.parametrize("head", ["softmax", "softplus", "sigmoid"])
-@pytest.mark.parametrize("activation", ["elu", "tanh", "silu"])
-def test_gradients(head, activation):
+@pytest.mark.parametrize(("activation", "mode", "tau"), [("elu", "cross_entropy", None), ("tanh", "mse", 3.0), ("silu", "cross_entropy", 0.5)])
+def test_gradients(head, activation, mode, tau):
     rng = np.random.default_rng(1)
     net = Net((2, 5, 3), head=head, activation=activation)
     x, y = rng.normal(size=(8, 2)), rng.normal(size=(8, 2))
     pairwise = head == "sigmoid"
     label = rng.integers(-1, 2, (8, 3)) if pairwise else rng.integers(-1, 3, 8)
     w = rng.uniform(0.5, 2, 8)
-    loss = Loss(simplex=0.5, pairwise=pairwise, pairs=((0, 1), (2, 0)), thresholds=(0.3, 0.5, 0.7), eps=0.2)
+    loss = Loss(simplex=0.5, pairwise=pairwise, pairs=((0, 1), (2, 0)), thresholds=(0.3, 0.5, 0.7), eps=0.2, boundary_mode=mode, tau=tau)
+
+    def spread():
+        return flux_spread(flux_sums(net(x), net(y), w, loss), w.sum())
 
     def value():
-        _, parts, _ = partial_gradient(net, x, y, label, label, w, loss)
-        return sum(getattr(loss, k) * v for k, v in parts.items())
+        _, parts, mass = partial_gradient(net, x, y, label, label, w, loss, 0.7)
+        return sum(getattr(loss, k) * v for k, v in parts.items()) + loss.flux * mass * spread()[0]
 
-    grads, _, _ = partial_gradient(net, x, y, label, label, w, loss)
+    grads, _, _ = partial_gradient(net, x, y, label, label, w, loss, 0.7, spread()[1])
+    # batches add up, whatever the split
+    halves = [partial_gradient(net, x[s], y[s], label[s], label[s], w[s], loss, 0.7, spread()[1])[0] for s in (slice(0, 3), slice(3, 8))]
+    assert all(np.allclose(g, a + b) for gs, *parts in zip(grads, *halves, strict=True) for g, a, b in zip(gs, *parts, strict=True))
     for (a, b), (ga, gb) in zip(net.layers, grads, strict=True):
         for p, g in ((a, ga), (b, gb)):
             at = tuple(rng.integers(0, n) for n in p.shape)
@@ -81,7 +87,12 @@ def test_reconstruction(spark):
 
 
 def test_schedules_and_split():
-    assert boundary_weight(0, 10, 1, "linear") == 10 and np.isclose(boundary_weight(100, 10, 1, "cosine"), 1) and np.isclose(boundary_weight(50, 10, 0.1, "exp"), 1)
+    assert boundary_weight(1, 10, 1, "linear") == 10 and np.isclose(boundary_weight(51, 10, 1, "linear"), 5.5) and boundary_weight(500, 10, 1, "linear") == 1
+    assert np.isclose(boundary_weight(101, 10, 1, "cosine"), 1) and np.isclose(boundary_weight(51, 10, 1, "cosine"), 5.5) and boundary_weight(7, 10, 1) == 10
+    assert np.isclose(boundary_weight(101, 10, 1, "exp"), 1 + 9 / np.e) and np.isclose(boundary_weight(26, 10, 0, "exp", start=6, decay=20), 10 / np.e)
+    for wrong in ({"start": 0}, {"decay": 0}):
+        with pytest.raises(ValueError):
+            boundary_weight(1, 10, 1, "exp", **wrong)
     a, b = split_train_val(11, 0.2)
     assert len(b) == 3 and sorted([*a, *b]) == list(range(11))
     net = Net((1, 2))
@@ -90,6 +101,30 @@ def test_schedules_and_split():
     assert (net.layers[0][0] < before).all()
 
 
+def test_boundary_is_the_mean_over_labelled_ends(spark):
+    q = np.array([[0.5, 0.5], [0.25, 0.75], [0.9, 0.1], [0.2, 0.8]])
+    label, label_tau = np.array([0, -1, -1, -1]), np.array([-1, 1, -1, -1])
+    w = np.array([1.0, 2.0, 3.0, 4.0])
+    ends = (1 + 2) / w.sum()
+    for mode, first, second in (("cross_entropy", np.log(2), -np.log(0.75)), ("mse", 0.5, 0.125)):
+        parts, *_ = losses(q, q, label, label_tau, w, Loss(boundary_mode=mode), ends)
+        assert np.isclose(parts["boundary"] / w.sum(), (1 * first + 2 * second) / 3)
+    df = spark.createDataFrame([(i, q[i].tolist(), int(label[i]), int(label_tau[i]), float(w[i])) for i in range(4)], "row_id long, q array<double>, label int, label_tau int, weight double")
+    assert np.isclose(M.labelled_ends(df), ends)
+    assert np.isclose(M.boundary_loss(df, label="label_tau").first()[0], -np.log(0.75)) and M.boundary_loss(df.where("label = 5"), label="label").first()[0] is None
+    assert losses(q, q, label * 0 - 1, label * 0 - 1, w, Loss(), 0.0)[0]["boundary"] == 0
+
+
+def test_training_does_not_depend_on_partitions(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=2).tolist(), rng.normal(size=2).tolist(), int(rng.integers(-1, 2)), int(rng.integers(-1, 2)), float(rng.uniform(0.5, 2))) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, x array<double>, x_tau array<double>, label int, label_tau int, weight double")
+    loss = Loss(flux=0.5, pairs=((0, 1),), thresholds=(0.3, 0.6))
+    runs = [M.train(df.repartition(n), Net((2, 4, 2)), loss, epochs=3, batches=2, schedule="exp", final_boundary=1.0, last=str(tmp_path / "last.npz"))[1] for n in (1, 5)]
+    assert np.allclose([h["train"] for h in runs[0]], [h["train"] for h in runs[1]], rtol=1e-9) and runs[0][0]["flux"] > 0
+    assert Net.load(str(tmp_path / "last.npz"))[1] == {"epoch": 2}
+
+
 def test_shooting_and_stitching(spark):
     net = Net((1, 2), layers=[(np.array([[-2.0, 2.0]]), np.zeros(2))])
     starts = spark.createDataFrame([(0, [0.0]), (1, [0.1])], "path_id long, x array<double>")
@@ -133,7 +168,9 @@ def test_neighbours_search_every_row(spark):
     d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
     np.fill_diagonal(d2, np.inf)
     want = {i: np.sort(d)[:5] for i, d in zip(ids, d2, strict=True)}
-    got = catalog.queries()["j09_nearest_neighbours"](spark, "/root/testdata/sf0.1").collect()
+    listed = catalog.queries()["j09_nearest_neighbours"](spark, "/root/testdata/sf0.1")
+    assert listed.count() == 5 * len(rows) and listed.where("rank = 1").count() == len(rows)
+    got = C.knn_all(frames_emb(spark, "/root/testdata/sf0.1"), 5).collect()
     split = C.knn_all(frames_emb(spark, "/root/testdata/sf0.1"), 5, block=700).collect()
     for found in (got, split):
         assert len(found) == len(rows)
