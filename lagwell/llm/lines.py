@@ -435,9 +435,10 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows with duplicate lines cut from ``text``; ``n_chars``, if there, follows where the text changed.
 
-    A document that loses lines and has fewer words left than the quality
-    rules ask for held little but copies of other documents' lines and goes;
-    one that loses nothing stays, however short. NULL texts stay NULL.
+    A document that loses half of its words or more, and has fewer left than
+    the quality rules ask for, held little but copies of other documents'
+    lines and goes; one that keeps more of its own stays, however short. NULL
+    texts stay NULL.
     Columns beside ``doc_id`` and ``text`` are passed through, whatever their
     names; for repeated and NULL ids see :func:`line_dedup`.
     """
@@ -455,7 +456,8 @@ def dedup_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     after.append("\n".join(kept) if changed else t)
                     if changed:
                         sizes[i] = len(after[-1])
-                    stays.append(not changed or len(_WORDS(after[-1])) >= least)
+                    left = len(_WORDS(after[-1])) if changed else least
+                    stays.append(left >= least or 2 * left > len(_WORDS(t)))
                 yield with_text(part.drop_columns([drop]), after, sizes).filter(pa.array(stays, pa.bool_()))
 
     return held.select(*(F.col(f"`{c}`") for c in docs.columns), drop).mapInArrow(run, docs.schema)
