@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -70,7 +71,8 @@ def materialize(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._lagwell_path = path
     del df
-    forget(spark)
+    if time.monotonic() - getattr(spark.sparkContext, "_lagwell_forgot", -FORGET_EVERY) >= FORGET_EVERY:
+        forget(spark)
     return out
 
 
@@ -95,7 +97,12 @@ def passing(spark: SparkSession) -> Iterator[None]:
                 files.delete(s.getPath(), True)
 
 
+#: Seconds between two of its own accord.
+FORGET_EVERY = 3.0
+
+
 def forget(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans nobody holds any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    spark.sparkContext._lagwell_forgot = time.monotonic()
