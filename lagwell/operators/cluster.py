@@ -71,13 +71,15 @@ def initial_centers(df: DataFrame, k: int, x: str = "x", weight: str = "weight",
     return np.array([r[0] for r in drawn.select(x).collect()], float)
 
 
-def kmeans(df: DataFrame, k: int, x: str = "x", weight: str = "weight", rounds: int = 100, seed: int = 0, tol: float = 1e-10) -> tuple[np.ndarray, DataFrame]:
+def kmeans(df: DataFrame, k: int, x: str = "x", weight: str = "weight", rounds: int = 100, seed: int = 0, tol: float = 1e-10, sample: int | None = None) -> tuple[np.ndarray, DataFrame]:
     """(centers, labelled rows) by Lloyd rounds: assignment and partial sums on the cluster, k means on the driver.
 
     An empty cluster keeps its center. Sums per cluster and dimension are
-    partially aggregated, so a round shuffles k x d rows per task.
+    partially aggregated, so a round shuffles k x d rows per task. With
+    ``sample``, the rounds run over so many rows drawn by weight; every row
+    is labelled all the same.
     """
-    points = materialize(df)
+    points = materialize(df if sample is None else weighted_sample(df, sample, weight, seed))
     centers = initial_centers(points, k, x, weight, seed)
     for _ in range(rounds):
         cell = nearest_centers(points.select(x, weight), centers, x)
@@ -90,7 +92,29 @@ def kmeans(df: DataFrame, k: int, x: str = "x", weight: str = "weight", rounds:
         centers = fresh
         if moved <= tol:
             break
-    return centers, nearest_centers(points, centers, x)
+    return centers, nearest_centers(points if sample is None else df, centers, x)
+
+
+def principal_axes(df: DataFrame, n: int, x: str = "x", weight: str = "weight") -> tuple[np.ndarray, np.ndarray]:
+    """(weighted mean, [n, d] axes of largest variance, largest first) from one aggregation of d(d + 3)/2 sums.
+
+    An axis points to the side of its largest component.
+    """
+    d = len(df.select(x).first()[0])
+    v, w = [F.get(x, F.lit(i)) for i in range(d)], F.col(weight)
+    sums = df.agg(F.sum(w).alias("w"), *(F.sum(w * v[i]).alias(f"m{i}") for i in range(d)), *(F.sum(w * v[i] * v[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d))).first()
+    mean = np.array([sums[f"m{i}"] for i in range(d)]) / sums["w"]
+    second = np.array([[sums[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) / sums["w"]
+    _, axes = np.linalg.eigh(second - np.outer(mean, mean))
+    axes = axes[:, ::-1].T[:n]
+    side = np.sign(np.take_along_axis(axes, np.abs(axes).argmax(1)[:, None], 1))
+    return mean, axes * side
+
+
+def projected(df: DataFrame, mean: np.ndarray, axes: np.ndarray, x: str = "x", out: str = "x") -> DataFrame:
+    """The coordinates along the axes, as JVM arithmetic."""
+    rows = [sum(((F.get(x, F.lit(i)) - float(mean[i])) * float(a) for i, a in enumerate(axis)), F.lit(0.0)) for axis in axes]
+    return df.withColumn(out, F.array(*rows))
 
 
 def beyond_quantile(labelled: DataFrame, quantile: float, label: str = "cell") -> DataFrame:
@@ -164,7 +188,7 @@ def knn_all(df: DataFrame, k: int, x: str = "x", block: int = 4096) -> DataFrame
 
 
 def knn_density(df: DataFrame, references: np.ndarray, weights: np.ndarray, k: int, x: str = "x") -> DataFrame:
-    """Add ``density``: sum of the k nearest references' weights over r_k^d, in logs and clipped to what a double holds."""
+    """Add ``density``: sum of the k nearest references' weights over r_k^min(d, 6), in logs and clipped to what a double holds."""
     ref, w = _shipped(references), np.asarray(weights, float) / np.sum(weights)
     k = min(k, len(ref))
 
@@ -175,7 +199,7 @@ def knn_density(df: DataFrame, references: np.ndarray, weights: np.ndarray, k: i
                 d2 = distances(_matrix(part.column(x), ref.shape[1]), ref)
                 order = np.argpartition(d2, k - 1, axis=1)[:, :k]
                 r = np.sqrt(np.take_along_axis(d2, order, 1).max(1))
-                log = np.log(np.maximum(w[order].sum(1), 1e-300)) - ref.shape[1] * np.log(np.maximum(r, 1e-300))
+                log = np.log(np.maximum(w[order].sum(1), 1e-300)) - min(ref.shape[1], 6) * np.log(np.maximum(r, 1e-300))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.exp(np.clip(log, -745, 709)))], [*part.schema.names, "density"])
 
     return df.mapInArrow(run, df.withColumn("density", F.lit(0.0)).schema)

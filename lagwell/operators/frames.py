@@ -59,12 +59,13 @@ def consecutive_runs(df: DataFrame, value: str, over: W, name: str = "run") -> D
     return df.withColumn("_changed", changed).withColumn(name, (F.sum("_changed").over(over.rowsBetween(W.unboundedPreceding, 0)) - 1).cast("int")).drop("_changed")
 
 
-def burn_in(df: DataFrame, discard: int, order: str = "row_id", within: Sequence[str] = ()) -> DataFrame:
+def burn_in(df: DataFrame, discard: int, within: Sequence[str], order: str = "row_id") -> DataFrame:
     """``keep``: false for the first ``discard`` rows of each consecutive run of one trajectory.
 
     Runs follow ``order``; a trajectory that comes back later starts a new
     run. ``within`` names columns that bound the runs already (a file or
-    chunk), so that no single partition holds the table.
+    chunk), so that no single partition holds the table; without any all rows
+    are sorted by one task.
     """
     if discard < 0:
         raise ValueError("discard_first_n_frames must be nonnegative")

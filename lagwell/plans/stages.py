@@ -132,9 +132,11 @@ def rate_matrices(frames: DataFrame, n_states: int, lag: int, *, at: Sequence[fl
 
 
 def run_stage(stage: str, spark: SparkSession, config: dict, handlers: dict[str, Callable[[SparkSession, dict, str], object]], substep: str | None = None) -> dict[str, object]:
-    """Run a stage's substeps (or ``all`` stages in order) with the given handlers; unknown names fail before anything runs."""
-    if stage == "all":
-        return {s: run_stage(s, spark, config, handlers) for s in STAGES}
-    key = canonical_stage(stage)
-    section = next((config[a] for a in (key, *STAGES[key]) if isinstance(config.get(a), dict)), config)
-    return {s: handlers[f"{key}.{s}"](spark, section, s) for s in substeps(key, substep or section.get("substep")) if f"{key}.{s}" in handlers}
+    """Run a stage's substeps (or ``all`` stages in order) with the given handlers; unknown names and substeps without a handler fail before anything runs."""
+    chosen = list(STAGES) if stage == "all" else [canonical_stage(stage)]
+    section = {key: next((config[a] for a in (key, *STAGES[key]) if isinstance(config.get(a), dict)), config) for key in chosen}
+    steps = {key: substeps(key, substep if stage != "all" and substep else section[key].get("substep")) for key in chosen}
+    if missing := [f"{key}.{s}" for key in chosen for s in steps[key] if f"{key}.{s}" not in handlers]:
+        raise ValueError(f"no handler for {', '.join(missing)}")
+    done = {key: {s: handlers[f"{key}.{s}"](spark, section[key], s) for s in steps[key]} for key in chosen}
+    return done if stage == "all" else done[chosen[0]]

@@ -50,7 +50,7 @@ def p02(spark: SparkSession, d: str) -> DataFrame:
 def p04(spark: SparkSession, d: str) -> DataFrame:
     # the runs of one state stand for the runs of one trajectory in a file
     f = frames_ev(spark, d).withColumnsRenamed({"traj_id": "file", "state": "traj_id"})
-    return P.burn_in(f, 1, order="frame", within=["file"]).select("row_id", F.col("file").alias("traj_id"), F.col("traj_id").alias("state"), "keep")
+    return P.burn_in(f, 1, ["file"], order="frame").select("row_id", F.col("file").alias("traj_id"), F.col("traj_id").alias("state"), "keep")
 
 
 @query("p05_dimensions", "select vec_id, round(cast(embedding[1] as double) + cast(embedding[3] as double), 6) s from embeddings")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from urllib.parse import unquote
 from collections.abc import Sequence
 
 import numpy as np
@@ -25,6 +26,41 @@ def csv_table(spark: SparkSession, path: str, schema: T.StructType | None = None
     return spark.read.schema(schema).option("header", True).option("nanValue", "nan").csv(path)
 
 
+def _lines(text: DataFrame) -> DataFrame:
+    """``(v, source_file, _at)`` of text files: the lines without blanks around them, in order within a file."""
+    return text.select(F.trim("value").alias("v"), F.input_file_name().alias("source_file"), F.monotonically_increasing_id().alias("_at"))
+
+
+_DATA = "v != '' and v not like '#%'"
+
+
+def _told(text: DataFrame, strict: bool, by: Sequence[str] = ()) -> DataFrame:
+    """The comment that names the columns and the number of fields of the first data line, of all files or of each.
+
+    Every comment is looked at: the first one (strict), or the last one of two
+    or more names without ``=``.
+    """
+    names = F.split(F.trim(F.regexp_replace("v", "^#+", "")), r"\s+")
+    usable = F.col("v").like("#%")
+    if not strict:
+        usable &= (F.size(names) >= 2) & ~F.col("v").contains("=")
+    place = F.struct("source_file", "_at")
+    pick = F.min_by if strict else F.max_by
+    header = pick(F.when(usable, names), F.when(usable, place))
+    width = F.size(F.split(F.min_by(F.when(F.expr(_DATA), F.col("v")), F.when(F.expr(_DATA), place)), r"\s+"))
+    return text.groupBy(*by).agg(header.alias("header"), width.alias("width"))
+
+
+def _named(rows: DataFrame, header: Sequence[str] | None, width: int | None, kind: str) -> DataFrame:
+    """The fields under their names; ``col0..`` where the header does not fit, a repeated name by its first field."""
+    width = max(width or 0, 0)
+    header = list(header or ()) if len(header or ()) == width else [f"col{k}" for k in range(width)]
+    parts = F.split("v", r"\s+")
+    columns = [F.get(parts, F.lit(header.index(n))).cast(kind).alias(n) for n in dict.fromkeys(header)]
+    line = (F.row_number().over(W.partitionBy("source_file").orderBy("_at")) - 1).cast("long")
+    return rows.where(_DATA).withColumn("line", line).select("source_file", "line", *columns)
+
+
 def colvars(spark: SparkSession, path: str, strict: bool = False, skip_first: bool = False) -> DataFrame:
     """Whitespace columns named by a ``#`` line; ``source_file`` and ``line`` (order within the file) come along.
 
@@ -33,39 +69,36 @@ def colvars(spark: SparkSession, path: str, strict: bool = False, skip_first: bo
     counts, repeated names keep their first column, values are single
     precision; ``skip_first`` drops the first data row of each file.
     """
-    text = spark.read.option("wholetext", False).text(path).select(F.trim("value").alias("v"), F.input_file_name().alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    comments = [r["v"] for r in text.where("v like '#%'").orderBy("source_file", "_at").limit(10_000).collect()]
-    names = [c.lstrip("#").split() for c in comments]
-    first = text.where("v != '' and v not like '#%'").select(F.size(F.split("v", r"\s+"))).first()
-    width = first[0] if first else 0
-    header = names[0] if strict and names else next((n for n in reversed(names) if len(n) >= 2 and not any("=" in x for x in n)), [])
-    if len(header) != width:
-        if strict:
-            raise ValueError(f"{path}: {len(header)} names for {width} columns")
-        header = [f"col{k}" for k in range(width)]
-    parts = F.split("v", r"\s+")
-    kept = dict.fromkeys(header)
-    kind = "float" if strict else "double"
-    columns = [F.get(parts, F.lit(header.index(n))).cast(kind).alias(n) for n in kept]
-    rows = text.where("v != '' and v not like '#%'").withColumn("line", (F.row_number().over(W.partitionBy("source_file").orderBy("_at")) - 1).cast("long"))
-    if strict and skip_first:
-        rows = rows.where("line > 0").withColumn("line", F.col("line") - 1)
-    return rows.select("source_file", "line", *columns)
+    text = _lines(spark.read.text(path))
+    told = _told(text, strict).first()
+    if strict and len(told["header"] or ()) != max(told["width"] or 0, 0):
+        raise ValueError(f"{path}: {len(told['header'] or ())} names for {max(told['width'] or 0, 0)} columns")
+    rows = _named(text, told["header"], told["width"], "float" if strict else "double")
+    return rows.where("line > 0").withColumn("line", F.col("line") - 1) if strict and skip_first else rows
 
 
 def folder_tables(spark: SparkSession, root: str, glob: str, tag: str) -> DataFrame:
-    """Colvars files under a folder; ``traj_id`` is the relative folder and the tag's first group."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).format("binaryFile").load(root).select("path").orderBy("path")
-    paths = [r[0] for r in files.collect()]
-    out = None
-    for p in paths:
-        table = colvars(spark, p)
-        rel = os.path.dirname(re.sub(r"^file:", "", p))[len(root.rstrip("/")) :].strip("/")
-        m = re.search(tag, os.path.basename(p))
-        named = table.withColumn("traj_id", F.lit("/".join(x for x in (rel, m[1] if m else os.path.basename(p)) if x)))
-        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
-    if out is None:
+    """Colvars files under a folder; ``traj_id`` is the relative folder and the tag's first group.
+
+    The folder is read as one table. What each file's comments say is found
+    in one aggregation, and the plan has a branch per set of columns, not
+    per file.
+    """
+    text = _lines(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root))
+    files: dict[tuple, list[tuple[str, str]]] = {}
+    base = re.sub(r"^file:/*", "/", root.rstrip("/"))
+    for r in _told(text, False, ["source_file"]).orderBy("source_file").collect():
+        path = unquote(re.sub(r"^file:/*", "/", r["source_file"]))
+        inner, name = os.path.split(path[path.find(base) + len(base) :].strip("/"))
+        m = re.search(tag, name)
+        files.setdefault((tuple(r["header"] or ()), r["width"]), []).append((r["source_file"], "/".join(x for x in (inner, m[1] if m else name) if x)))
+    if not files:
         raise ValueError(f"no {glob} under {root}")
+    out = None
+    for (header, width), held in files.items():
+        names = F.broadcast(spark.createDataFrame(held, "source_file string, traj_id string"))
+        table = _named(text.join(names.select("source_file"), "source_file", "left_semi"), header, width, "double").join(names, "source_file")
+        out = table if out is None else out.unionByName(table, allowMissingColumns=True)
     return out
 
 

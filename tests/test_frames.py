@@ -13,10 +13,10 @@ from lagwell.operators.graph import connected_components
 
 def test_burn_in_blocks(spark):
     df = spark.createDataFrame(list(enumerate([4, 4, 4, 9, 9, 4, 4])), "row_id long, traj_id long")
-    kept = [r["keep"] for r in P.burn_in(df, 2).orderBy("row_id").collect()]
+    kept = [r["keep"] for r in P.burn_in(df, 2, []).orderBy("row_id").collect()]
     assert kept == [False, False, True, False, False, False, False]
     with pytest.raises(ValueError, match="nonnegative"):
-        P.burn_in(df, -1)
+        P.burn_in(df, -1, [])
 
 
 def test_weights(spark):

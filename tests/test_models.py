@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lagwell.functions import kinetics as K2
 from lagwell.functions.committor import AdamW, Loss, Net, boundary_weight, flux_spread, flux_sums, losses, partial_gradient, split_train_val
 from lagwell.operators import cluster as C
 from lagwell.operators import exchange as E
@@ -269,3 +270,47 @@ def test_streaming_counts(spark, tmp_path):
     got = spark.table("lagpairs").where("i >= 0 and j >= 0 and weight > 0").groupBy("i", "j").agg(F.round(F.sum("weight"), 9).alias("c"))
     want = count_matrix(sequence_pairs(df, [2], ["state"])).select("i", "j", F.round("count", 9).alias("c"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stages_need_their_handlers():
+    from lagwell.plans import stages as S
+
+    ran = []
+    with pytest.raises(ValueError, match="no handler for 3.diagnostics"):
+        S.run_stage("relabel", None, {}, {}, "diagnostics")
+    with pytest.raises(ValueError, match="no handler"):
+        S.run_stage("all", None, {}, {"3.diagnostics": lambda *_: ran.append(1)})
+    assert not ran
+
+
+def test_principal_axes_and_elbow(spark):
+    rng = np.random.default_rng(9)
+    x, w = rng.normal(size=(200, 3)) * [3.0, 1.0, 0.2] + [1, 2, 3], rng.uniform(0.5, 2, 200)
+    df = spark.createDataFrame([(i, x[i].tolist(), float(w[i])) for i in range(200)], "row_id long, x array<double>, weight double")
+    mean, axes = C.principal_axes(df, 2)
+    cov = np.cov(x.T, aweights=w, ddof=0)
+    assert np.allclose(mean, np.average(x, axis=0, weights=w)) and np.allclose(cov @ axes[0], np.linalg.eigvalsh(cov)[-1] * axes[0])
+    got = np.array([r[0] for r in C.projected(df, mean, axes).orderBy("row_id").select("x").collect()])
+    assert np.allclose(got, (x - mean) @ axes.T)
+    assert K2.elbow([100, 40, 35, 33, 32], [2, 3, 4, 5, 6]) == 3 and K2.elbow([5, 4], [2, 3]) == 2
+
+
+def test_sampled_kmeans_labels_every_row(spark):
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(size=(300, 2)) * 0.1, rng.normal(size=(300, 2)) * 0.1 + 5])
+    df = spark.createDataFrame([(i, x[i].tolist(), 1.0) for i in range(600)], "row_id long, x array<double>, weight double")
+    centers, cells = C.kmeans(df, 2, rounds=20, sample=60)
+    got = {r["row_id"]: r["cell"] for r in cells.collect()}
+    assert len(got) == 600 and len({got[i] for i in range(300)}) == 1 and got[0] != got[599] and np.allclose(sorted(centers[:, 0]), [0, 5], atol=0.2)
+
+
+def test_folder_of_colvars(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "run_1.traj").write_text("# step phi\n" + "# note = 3\n" * 3 + "0 1.5\n# step phi\n1 2.5\n")
+    (tmp_path / "a" / "run_2.traj").write_text("# step phi\n0 3.5\n")
+    (tmp_path / "run_3.traj").write_text("# step psi x\n0 4.5 6\n")
+    (tmp_path / "run_4.traj").write_text("0 9 9 9\n")
+    rows = {(r["traj_id"], r["line"]): r for r in D.folder_tables(spark, str(tmp_path), "*.traj", r"run_(\d)").collect()}
+    assert {k: (r["phi"], r["psi"], r["col3"]) for k, r in rows.items()} == {("a/1", 0): (1.5, None, None), ("a/1", 1): (2.5, None, None), ("a/2", 0): (3.5, None, None), ("3", 0): (None, 4.5, None), ("4", 0): (None, None, 9.0)}
+    with pytest.raises(ValueError):
+        D.folder_tables(spark, str(tmp_path), "*.none", "x")
