@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def _path(spark: SparkSession, name: str):  # noqa: ANN202
+def file_system(spark: SparkSession, name: str):  # noqa: ANN202
     """The path and its file system, on the JVM's side."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -43,7 +43,7 @@ def session_dir(spark: SparkSession) -> str:
     known = getattr(spark.sparkContext, "_lagwell_tables", None)
     if known is None:
         known = f"{shared_dir(spark)}/lagwell/{uuid.uuid4().hex}"
-        path, files = _path(spark, known)
+        path, files = file_system(spark, known)
         files.mkdirs(path)
         files.deleteOnExit(path)
         spark.sparkContext._lagwell_tables = known
@@ -80,14 +80,14 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that no plan will read again; any other DataFrame is left alone."""
     name = getattr(df, "_lagwell_path", None)
     if name:
-        path, files = _path(df.sparkSession, name)
+        path, files = file_system(df.sparkSession, name)
         files.delete(path, True)
 
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
     """Deletes on leaving what was materialized inside; results must have been written or collected by then."""
-    path, files = _path(spark, session_dir(spark))
+    path, files = file_system(spark, session_dir(spark))
     before = {s.getPath().getName() for s in files.listStatus(path)}
     try:
         yield

@@ -61,7 +61,12 @@ def force_plan(config: dict, target: str, force: bool, *, reuse_upstream: bool =
 
 
 def run_msm(frames: DataFrame, cfg: dict, folder: str, target: str = "summary", force: bool = False) -> dict[str, DataFrame]:
-    """Frame table, microstates, counts and T, macrostates, cores, summary; each a stage table with a manifest."""
+    """Frame table, microstates, counts and T, macrostates, cores, summary; each a stage table with a manifest.
+
+    ``cluster_sample`` rows fit the centers (all by default); with
+    ``active_set`` only microstates that carry weight and both give and take
+    counts stay; ``reversible`` symmetrises the counts before normalising.
+    """
     spark = frames.sparkSession
     k, lags, m = cfg.get("n_clusters", 20), list(cfg.get("lags", (1, 2, 5))), cfg.get("n_macro", 2)
     out: dict[str, DataFrame] = {}
@@ -71,18 +76,24 @@ def run_msm(frames: DataFrame, cfg: dict, folder: str, target: str = "summary",
         return frame_table(frames, discard_before=cfg.get("discard_before", 0), stride=cfg.get("stride", 1))
 
     def micro() -> DataFrame:
-        return C.kmeans(out["data"], k, seed=seed, rounds=cfg.get("rounds", 100))[1].withColumnRenamed("cell", "micro").drop("dist2")
+        return C.kmeans(out["data"], k, seed=seed, rounds=cfg.get("rounds", 100), sample=cfg.get("cluster_sample"))[1].withColumnRenamed("cell", "micro").drop("dist2")
 
     def counts() -> DataFrame:
         table = out["cluster"].withColumn("state", F.col("micro"))
-        return N.count_matrix(L.sequence_pairs(table, lags, ["state"]))
+        counted = N.count_matrix(L.sequence_pairs(table, lags, ["state"]))
+        if not cfg.get("active_set", False):
+            return counted
+        ends = counted.where(F.col("lag") == lags[0])
+        both = ends.select(F.col("i").alias("state")).intersect(ends.select(F.col("j").alias("state")))
+        return N.restrict(counted, N.active_states(table).join(both, "state"))
 
     def macro() -> DataFrame:
         rows = out["msm"].where(F.col("lag") == lags[0]).collect()
         n = 1 + max(max(r["i"], r["j"]) for r in rows)
-        t = K.transition(K.dense(rows, n, "count"))
+        states = sorted({x for r in rows for x in (r["i"], r["j"])}) if cfg.get("active_set", False) else list(range(n))
+        t = K.transition(K.dense(rows, n, "count")[np.ix_(states, states)], reversible=cfg.get("reversible", False))
         chi = K.simplex_memberships(t, m) if cfg.get("soft", False) else K.spectral_memberships(t, m, seed)
-        return spark.createDataFrame([(i, int(a)) for i, a in enumerate(chi.argmax(1))], "micro int, macro int")
+        return spark.createDataFrame([(i, int(a)) for i, a in zip(states, chi.argmax(1), strict=True)], "micro int, macro int")
 
     def core() -> DataFrame:
         labelled = out["cluster"].join(F.broadcast(out["pcca"]), "micro", "left").withColumn("state", F.coalesce("macro", F.lit(-1)))
@@ -97,7 +108,7 @@ def run_msm(frames: DataFrame, cfg: dict, folder: str, target: str = "summary",
 
     def summary() -> DataFrame:
         n = 1 + out["msm"].agg(F.max(F.greatest("i", "j"))).first()[0]
-        t = N.transition_matrix(out["msm"], n)
+        t = N.transition_matrix(out["msm"], n, reversible=cfg.get("reversible", False))
         return msm_summary(t, N.residence_escape(t))
 
     makers: dict[str, Callable[[], DataFrame]] = {"data": data, "cluster": micro, "msm": counts, "pcca": macro, "core": core, "summary": summary}

@@ -35,7 +35,11 @@ def _plain(x):  # noqa: ANN001, ANN202
 def save_dataset(df: DataFrame, path: str, meta: dict) -> None:
     """Frames as Parquet, metadata as ``<path>.meta.json``."""
     df.write.mode("overwrite").parquet(path)
-    _write_text(df.sparkSession, f"{path.rstrip('/')}.meta.json", json.dumps(_plain(meta), sort_keys=True))
+    save_meta(df.sparkSession, path, meta)
+
+
+def save_meta(spark: SparkSession, path: str, meta: dict) -> None:
+    _write_text(spark, f"{path.rstrip('/')}.meta.json", json.dumps(_plain(meta), sort_keys=True))
 
 
 def save_inspection(df: DataFrame, path: str, columns: Sequence[str]) -> None:

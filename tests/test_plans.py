@@ -144,3 +144,37 @@ def test_a_cluster_needs_a_shared_folder():
     for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(RuntimeError, match="checkpoint"):
             shared_dir(session(master))
+
+
+def test_datasets_are_built_and_relabelled(spark, tmp_path):
+    from lagwell.plans.datasets import build_dataset, relabel_dataset
+
+    rows = [(i, 0, i, float(i), float(10 * i), 1.0) for i in range(40)]
+    frames = spark.createDataFrame(rows, "row_id long, traj_id long, frame int, cv1 double, phi double, weight double")
+    path = str(tmp_path / "set")
+    df, meta = build_dataset(frames, path, ["cv1", "phi"], [(0, [5.0], [2.0]), (1, [30.0], [3.0])], periodic=["phi"], basin_columns=["cv1"], discard_before=4, stride=2)
+    got = {r["row_id"]: r for r in df.collect()}
+    assert sorted(got) == list(range(4, 40, 2)) and meta["features"] == ["cv1", "sinphi", "cosphi"] and meta["states"] == {"0": 2, "1": 3, "-1": 13}
+    assert np.allclose(got[6]["x"], [6, np.sin(np.radians(60)), np.cos(np.radians(60))]) and (got[6]["state"], got[28]["state"], got[20]["state"]) == (0, 1, -1)
+    again, meta = relabel_dataset(spark, path, [(2, [20.0], 1.5)], "distance")
+    assert {r["row_id"]: r["state"] for r in again.collect()} == {i: 2 if i == 20 else -1 for i in got}
+    assert meta["states"] == {"2": 1, "-1": 17} and meta["shape"] == "distance" and again.columns == df.columns
+    df.sparkSession.createDataFrame([(1,)], "state int").write.parquet(str(tmp_path / "bare"))
+    with pytest.raises(ValueError, match="basins"):
+        relabel_dataset(spark, str(tmp_path / "bare"), [])
+
+
+def test_msm_options(spark, tmp_path):
+    from lagwell.operators import counting as N
+    from lagwell.plans import stages as S
+
+    df = frames_emb(spark, DATA).select("row_id", "traj_id", "frame", "x", "weight")
+    cfg = {"n_clusters": 6, "lags": [1], "n_macro": 2, "rounds": 5}
+    plain = S.run_msm(df, cfg, str(tmp_path / "a"))
+    chosen = S.run_msm(df, {**cfg, "cluster_sample": 100, "active_set": True, "reversible": True}, str(tmp_path / "b"))
+    assert chosen["cluster"].count() == plain["cluster"].count()
+    ends = {x for r in chosen["msm"].collect() for x in (r["i"], r["j"])}
+    assert {r["micro"] for r in chosen["pcca"].collect()} == ends and chosen["summary"].count() == 1
+    n = 1 + max(ends)
+    t = {(r["i"], r["j"]): r["p"] for r in N.transition_matrix(chosen["msm"], n, reversible=True).collect()}
+    assert all(np.isclose(sum(t[i, j] for j in range(n)), 1) for i in range(n))
