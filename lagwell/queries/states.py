@@ -388,6 +388,13 @@ def c09(spark: SparkSession, d: str) -> DataFrame:
     return R.kinetic_groups(scored, [1], own_cut=0.2).groupBy("state", "group").agg(F.count("*").alias("n"))
 
 
+@query("c10_candidate_groups", None)
+def c10(spark: SparkSession, d: str) -> DataFrame:
+    scored = D.scores(frames_emb(spark, d))
+    groups, _ = R.candidate_groups(scored, scored.where("entropy >= 0.5"), R.Settings(lags=(1, 2), least_frames=5, least_pairs=1))
+    return groups.groupBy("group").agg(F.count("*").alias("n_frames"))
+
+
 @query("c13_reshape", None)
 def c13(spark: SparkSession, d: str) -> DataFrame:
     scored = D.scores(frames_emb(spark, d))
