@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import html
+import json
 import math
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
@@ -34,7 +37,7 @@ def prose(seed, n=60):
 def slow_walk(text, plan):
     code = edits.codes(text).tolist() + [255] * 3
     i, seen = 0, {}
-    times = plan.times[: plan.records(2 * len(text))].tolist()
+    times = plan.times(plan.records(2 * len(text))).tolist()
     for t in range(2 * len(text)):
         if t in set(times) if t < 400 else t in times:
             a, b, c = code[i : i + 3] if i < len(text) else [255] * 3
@@ -174,6 +177,30 @@ def test_long_texts_walk_alone():
     assert time.perf_counter() - began < 10
 
 
+FRESH = """
+import sys, json
+from lagwell.llm import edits
+shown, warm, chars = json.loads(sys.stdin.read())
+if warm:
+    edits.embed(["a b c d"])
+p = [edits.read(x) for x in shown]
+print(json.dumps([edits.likeness(*p), [edits.bands(n, x) for n, x in zip(chars, p)]]))
+"""
+
+
+@pytest.mark.parametrize("warm", [False, True])
+def test_stored_fingerprints_mean_the_same_in_a_fresh_process(warm):
+    """Likeness and bands follow from the fingerprints alone, whatever texts their process has walked before."""
+    base = prose(77, 7000)
+    other = base[:9000] + "xx" + base[9000:-800]
+    prints = edits.embed([base, other])
+    want = json.loads(json.dumps([edits.likeness(*prints), [edits.bands(len(t), p) for t, p in zip((base, other), prints, strict=True)]]))
+    assert want[0] > 0.8 and set(map(tuple, want[1][0])) & set(map(tuple, want[1][1]))
+    said = json.dumps([[edits.show(p) for p in prints], warm, [len(base), len(other)]])
+    done = subprocess.run([sys.executable, "-c", FRESH], input=said, capture_output=True, text=True, check=True, timeout=120)
+    assert json.loads(done.stdout) == want
+
+
 def test_ranges_cut_rows_without_ids(spark):
     """NULL ids and a repeated id are cut into several ranges; every row still meets the one after it."""
     df = docs(spark, [prose(k, 8) for k in range(600)]).selectExpr("case when doc_id < 300 then null when doc_id < 500 then 7 else doc_id end doc_id", "text")
