@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagwell.llm import chat
+from lagwell.llm import chat, tries
 from lagwell.llm.bpe import op1_bpe
 from lagwell.llm.edits import op3_edit_prints
+from lagwell.llm.languages import op11_languages
 from lagwell.llm.lines import op9_lines
 from lagwell.llm.near import op4_near
 from lagwell.llm.packing import op8_packing
@@ -30,8 +31,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_lines": op9_lines,
         "op10_chat": chat.op10_chat,
+        "op11_languages": op11_languages,
+        "op12_prefix_trie": tries.op12_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat": chat.ORACLE_SQL}
+    return {"op10_chat": chat.ORACLE_SQL, "op12_prefix_trie": tries.ORACLE_SQL}
