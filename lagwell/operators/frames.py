@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagwell.functions.arrays import total
+from lagwell.plans.lineage import materialize
 
 
 def by_trajectory() -> W:
@@ -46,6 +48,22 @@ def frame_table(df: DataFrame, *, step: str = "frame", discard_before: int = 0,
     return cleaned.crossJoin(F.broadcast(mass)).withColumn(weight, F.when(F.col("_mass") > 0, F.col(weight)).otherwise(1.0)).drop("_mass")
 
 
+def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
+    """Add a dense ``row_id`` from 0 in the given order, NULLs first; ties in it are numbered in any order.
+
+    A range partitioning sorts the table once. What meets on the driver is one
+    count a partition, so no window and no task sees the whole table or a
+    whole trajectory.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    held = materialize(dealt.withColumns({"_part": F.spark_partition_id(), "_at": local}))
+    sizes = sorted((r["_part"], r["n"]) for r in held.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    starts = list(zip((p for p, _ in sizes), accumulate((n for _, n in sizes), initial=0), strict=False))
+    offsets = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    return held.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+
+
 def global_stride(df: DataFrame, stride: int) -> DataFrame:
     """Every ``stride``-th row of a table with a dense ``row_id``, across trajectories."""
     if stride < 1:

@@ -42,6 +42,25 @@ def sequence_pairs(df: DataFrame, lags: Sequence[int], columns: Sequence[str]) -
     return wide.select(*df.columns, F.explode("_lags").alias("_l")).where("_l.there").select(*df.columns, "_l.lag", *(f"_l.{c}_tau" for c in columns))
 
 
+def halo_pairs(df: DataFrame, lags: Sequence[int], columns: Sequence[str], *, block: int = 1 << 16) -> DataFrame:
+    """The pairs of :func:`sequence_pairs` for a dense ``row_id`` in trajectory and frame order, whatever the length of a trajectory.
+
+    The table is cut into blocks of so many rows, each with the rows of the
+    widest lag that follow it, so a trajectory that holds most of the table
+    lies in many groups and none holds more than ``block`` rows and a lag. One
+    shuffle for all lags. Rows with a NULL ``traj_id`` pair with nothing.
+    """
+    widest = max(lags)
+    if min(lags) < 1 or block < widest:
+        raise ValueError("lags must be positive and no longer than a block")
+    home = df.withColumns({"_block": F.floor(F.col("row_id") / block).cast("long"), "_home": F.lit(True)})
+    halo = home.where(F.pmod("row_id", F.lit(block)) < widest).withColumns({"_block": F.col("_block") - 1, "_home": F.lit(False)})
+    over = W.partitionBy("_block").orderBy("row_id")
+    shifted = [F.struct(F.lit(x).alias("lag"), (F.lead("traj_id", x).over(over) == F.col("traj_id")).alias("there"), *(F.lead(c, x).over(over).alias(f"{c}_tau") for c in columns)) for x in lags]
+    wide = home.union(halo).withColumn("_lags", F.array(*shifted)).where("_home")
+    return wide.select(*df.columns, F.explode("_lags").alias("_l")).where("_l.there").select(*df.columns, "_l.lag", *(f"_l.{c}_tau" for c in columns))
+
+
 def labelled_filter(pairs: DataFrame, require: str, a: str = "state", b: str = "state_tau") -> DataFrame:
     """Training pairs by label: ``none``, ``any`` end or ``both`` ends labelled."""
     rules: dict[str, Column] = {"none": F.lit(True), "any": (F.col(a) >= 0) | (F.col(b) >= 0), "both": (F.col(a) >= 0) & (F.col(b) >= 0)}
