@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagwell.functions.arrays import square_distance
+from lagwell.operators.neighbours import nearest
+from lagwell.operators.quantiles import exact_quantiles, joined_on, ranked_within
 from lagwell.plans.lineage import materialize
 
 #: Most numbers in a set of centers or references that travels with a task (32 MB).
@@ -119,8 +121,8 @@ def projected(df: DataFrame, mean: np.ndarray, axes: np.ndarray, x: str = "x", o
 
 def beyond_quantile(labelled: DataFrame, quantile: float, label: str = "cell") -> DataFrame:
     """-1 for points farther from their center than the quantile of their cluster's distances."""
-    cut = labelled.groupBy(label).agg(F.percentile(F.sqrt("dist2"), quantile).alias("_cut"))
-    return labelled.join(F.broadcast(cut), label).withColumn(label, F.when(F.sqrt("dist2") <= F.col("_cut"), F.col(label)).otherwise(-1)).drop("_cut")
+    cut = exact_quantiles(labelled.withColumn("_d", F.sqrt("dist2")), "_d", [quantile], [label]).select(label, F.col("quantiles")[0].alias("_cut"))
+    return labelled.join(cut, label).withColumn(label, F.when(F.sqrt("dist2") <= F.col("_cut"), F.col(label)).otherwise(-1)).drop("_cut")
 
 
 def weighted_sample(df: DataFrame, n: int, weight: str = "weight", seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
@@ -129,8 +131,13 @@ def weighted_sample(df: DataFrame, n: int, weight: str = "weight", seed: int = 0
     keyed = df.where(F.col(weight) > 0).withColumn("_key", F.ln(u) / F.col(weight))
     if not by:
         return keyed.orderBy(F.desc("_key"), "row_id").limit(n).drop("_key")
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("_key"), "row_id"))
-    return keyed.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank", "_key")
+    # a sketch of each group's keys leaves a few times n rows of it, of which the exact n are taken
+    shares = [2.0**-i for i in range(1, 11)]
+    sketch = keyed.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_key", [1 - s for s in shares], 20_000).alias("_cuts"))
+    enough = F.filter(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("_cuts").alias("cut")), lambda c: (c.share - 1e-4) * F.col("_n") > n)
+    cut = sketch.select(*by, F.element_at(F.concat(F.array(F.lit(None).cast("double")), F.transform(enough, lambda c: c.cut)), -1).alias("_cut"))
+    few = joined_on(keyed, cut, by).where("_cut is null or _key >= _cut").drop("_cut")
+    return ranked_within(few, by, [F.desc("_key"), F.col("row_id")]).where(F.col("_rank") <= n).drop("_rank", "_size", "_key")
 
 
 def knn(df: DataFrame, references: np.ndarray, reference_ids: np.ndarray, k: int, x: str = "x", exclude_self: bool = True) -> DataFrame:
@@ -152,39 +159,8 @@ def knn(df: DataFrame, references: np.ndarray, reference_ids: np.ndarray, k: int
 
 
 def knn_all(df: DataFrame, k: int, x: str = "x", block: int = 4096) -> DataFrame:
-    """:func:`knn` with every other row as a reference: blocks of rows meet in pairs, then the best k over all blocks.
-
-    Each row travels once per block in either role, and a block pair returns
-    at most k candidates of each row. With fewer than k others, all of them.
-    """
-    rows = df.select("row_id", x)
-    blocks = max(1, -(-rows.count() // block))
-    own, every = F.pmod(F.xxhash64("row_id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    queries = rows.select(own.alias("q"), every.alias("r"), "row_id", x)
-    references = rows.select(every.alias("q"), own.alias("r"), "row_id", x)
-
-    def run(asked: pa.Table, given: pa.Table) -> pa.Table:
-        rows_out, found_ids, found = [], [], []
-        if asked.num_rows and given.num_rows:
-            given = given.combine_chunks()
-            ref, ids = np.array(given.column(x).to_pylist(), float), given.column("row_id").to_numpy()
-            for a in range(0, asked.num_rows, 1024):
-                part = asked.slice(a, 1024)
-                row_id = part.column("row_id").to_numpy()
-                d2 = distances(np.array(part.column(x).to_pylist(), float), ref)
-                d2[row_id[:, None] == ids[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(ids, d2.shape), d2), axis=1)[:, :k]
-                best = np.take_along_axis(d2, order, 1)
-                at = np.flatnonzero(np.isfinite(best))
-                rows_out.append(np.repeat(row_id, order.shape[1])[at])
-                found_ids.append(ids[order].ravel()[at])
-                found.append(best.ravel()[at])
-        kinds = (np.int64, np.int64, np.float64)
-        return pa.table({n: pa.array(np.concatenate([np.zeros(0, t), *v])) for n, v, t in zip(("row_id", "id", "d2"), (rows_out, found_ids, found), kinds, strict=True)})
-
-    near = queries.groupBy("q", "r").cogroup(references.groupBy("q", "r")).applyInArrow(run, "row_id long, id long, d2 double")
-    best = near.groupBy("row_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "id"))), 1, k).alias("best"))
-    return best.select("row_id", F.col("best.id").alias("ids"), F.transform("best.d2", F.sqrt).alias("dists"))
+    """:func:`knn` with every other row as a reference, exact; cells that cannot hold a nearer row are not visited."""
+    return nearest(df, k, x, block=block)
 
 
 def knn_density(df: DataFrame, references: np.ndarray, weights: np.ndarray, k: int, x: str = "x") -> DataFrame:
@@ -207,29 +183,23 @@ def knn_density(df: DataFrame, references: np.ndarray, weights: np.ndarray, k: i
 
 def densest_fraction(df: DataFrame, fraction: float, mode: str = "count", by: str = "state") -> DataFrame:
     """The densest rows of each group: ceil(f n) of them, or those whose cumulative weight is at most f (at least one; the crossing row is out)."""
-    over = W.partitionBy(by).orderBy(F.desc("density"), "row_id")
-    every = W.partitionBy(by)
-    ranked = df.withColumn("_r", F.row_number().over(over))
+    ranked = ranked_within(df, [by], [F.desc("density"), F.col("row_id")], None if mode == "count" else "weight")
     if mode == "count":
-        return ranked.withColumn("_n", F.count("*").over(every)).where(F.col("_r") <= F.ceil(F.col("_n") * fraction)).drop("_r", "_n")
-    share = F.sum("weight").over(over.rowsBetween(W.unboundedPreceding, 0)) / F.sum("weight").over(every)
-    return ranked.withColumn("_s", share).where((F.col("_s") <= fraction) | (F.col("_r") == 1)).drop("_r", "_s")
+        return ranked.where(F.col("_rank") <= F.ceil(F.col("_size") * fraction)).select(*df.columns)
+    return ranked.where((F.col("_upto") / F.col("_mass") <= fraction) | (F.col("_rank") == 1)).select(*df.columns)
 
 
 def weighted_core(df: DataFrame, fraction: float, by: str = "state", least: int = 1, most: int | None = None) -> DataFrame:
     """``core``: rows by falling density until their weight reaches the fraction, the crossing row included, within size limits."""
-    over = W.partitionBy(by).orderBy(F.desc("density"), "row_id")
-    before = F.coalesce(F.sum("weight").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    goal = F.sum("weight").over(W.partitionBy(by)) * fraction
-    rank = F.row_number().over(over)
-    core = (before < goal) | (rank <= least)
-    return df.withColumn("core", core if most is None else core & (rank <= most))
+    ranked = ranked_within(df, [by], [F.desc("density"), F.col("row_id")], "weight")
+    core = (F.col("_before") < F.col("_mass") * fraction) | (F.col("_rank") <= least)
+    return ranked.select(*df.columns, (core if most is None else core & (F.col("_rank") <= most)).alias("core"))
 
 
 def neighbour_edges(neighbours: DataFrame, scale: float = 2.5, quantile: float = 0.9, mutual: bool = False) -> DataFrame:
     """``(a, b)``, a < b, of neighbours within scale times the quantile of the finite positive k-th distances."""
     kth = neighbours.select(F.element_at("dists", -1).alias("d")).where("d > 0 and d < double('infinity')")
-    cut = kth.agg((F.percentile("d", quantile) * scale).alias("cut"))
+    cut = exact_quantiles(kth, "d", [quantile]).select((F.col("quantiles")[0] * scale).alias("cut"))
     long = neighbours.select("row_id", F.explode(F.arrays_zip("ids", "dists")).alias("n")).crossJoin(F.broadcast(cut)).where("n.dists <= cut")
     pairs = long.select(F.least("row_id", "n.ids").alias("a"), F.greatest("row_id", "n.ids").alias("b")).where("a != b")
     return pairs.groupBy("a", "b").count().where(F.col("count") >= (2 if mutual else 1)).select("a", "b")

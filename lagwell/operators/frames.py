@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagwell.functions.arrays import total
+from lagwell.operators.quantiles import exact_quantiles
 from lagwell.plans.lineage import materialize
 
 
@@ -144,17 +145,15 @@ def standardised(df: DataFrame, columns: Sequence[str], method: str = "standard"
     below ``eps`` counts as 1. The parameters are one row, broadcast.
     """
     chosen = df if fit is None else df.where(fit)
-    parts = []
-    for c in columns:
-        x = F.col(c)
-        center, scale = {
-            "standard": (F.avg(x), F.stddev_pop(x)),
-            "robust": (F.percentile(x, 0.5), F.percentile(x, 0.75) - F.percentile(x, 0.25)),
-            "range": (F.min(x), F.max(x) - F.min(x)),
-            "none": (F.lit(0.0), F.lit(1.0)),
-        }[method]
-        parts += [center.alias(f"_c_{c}"), scale.alias(f"_s_{c}")]
-    out = df.crossJoin(F.broadcast(chosen.agg(*parts)))
+    if method == "robust":
+        long = chosen.select(F.explode(F.array(*(F.struct(F.lit(k).alias("c"), F.col(c).cast("double").alias("v")) for k, c in enumerate(columns)))).alias("s")).select("s.*")
+        found = {r["c"]: r["quantiles"] for r in exact_quantiles(long, "v", [0.25, 0.5, 0.75], ["c"]).collect()}
+        low, center, high = ([found.get(k, [None] * 3)[i] for k in range(len(columns))] for i in range(3))
+        parts = [p for c, a, m, b in zip(columns, low, center, high, strict=True) for p in (F.lit(m).cast("double").alias(f"_c_{c}"), (F.lit(b) - F.lit(a)).cast("double").alias(f"_s_{c}"))]
+        out = df.select("*", *parts)
+    else:
+        center, scale = {"standard": (F.avg, F.stddev_pop), "range": (F.min, lambda x: F.max(x) - F.min(x)), "none": (lambda _: F.lit(0.0), lambda _: F.lit(1.0))}[method]
+        out = df.crossJoin(F.broadcast(chosen.agg(*(p for c in columns for p in (center(c).alias(f"_c_{c}"), scale(c).alias(f"_s_{c}"))))))
     for c in columns:
         scale = F.when(F.abs(f"_s_{c}") < eps, 1.0).otherwise(F.col(f"_s_{c}"))
         out = out.withColumn(c, (F.col(c) - F.col(f"_c_{c}")) / scale)

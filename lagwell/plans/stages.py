@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 from collections.abc import Callable, Sequence
+from dataclasses import fields
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from lagwell.operators import cluster as C
 from lagwell.operators import counting as N
 from lagwell.operators import flux as X
 from lagwell.operators import lag as L
+from lagwell.operators.cores import CoreSettings, label_cores
 from lagwell.operators.frames import frame_table
 from lagwell.sinks.writers import msm_summary, rate_table, stage_table
 
@@ -66,6 +68,8 @@ def run_msm(frames: DataFrame, cfg: dict, folder: str, target: str = "summary",
     ``cluster_sample`` rows fit the centers (all by default); with
     ``active_set`` only microstates that carry weight and both give and take
     counts stay; ``reversible`` symmetrises the counts before normalising.
+    ``core_<name>`` sets a field of :class:`CoreSettings`; the centers of the
+    cores are written to ``core_centers`` beside the stages.
     """
     spark = frames.sparkSession
     k, lags, m = cfg.get("n_clusters", 20), list(cfg.get("lags", (1, 2, 5))), cfg.get("n_macro", 2)
@@ -96,15 +100,14 @@ def run_msm(frames: DataFrame, cfg: dict, folder: str, target: str = "summary",
         return spark.createDataFrame([(i, int(a)) for i, a in zip(states, chi.argmax(1), strict=True)], "micro int, macro int")
 
     def core() -> DataFrame:
-        labelled = out["cluster"].join(F.broadcast(out["pcca"]), "micro", "left").withColumn("state", F.coalesce("macro", F.lit(-1)))
-        refs = C.weighted_sample(labelled, cfg.get("references", 5000), seed=seed, by=("state",)).select("state", "x", "weight").collect()
-        parts = None
-        for s in sorted({r["state"] for r in refs if r["state"] >= 0}):
-            mine = [r for r in refs if r["state"] == s]
-            d = C.knn_density(labelled.where(F.col("state") == s), np.array([r["x"] for r in mine]), np.array([r["weight"] for r in mine]), cfg.get("k", 25))
-            parts = d if parts is None else parts.unionByName(d)
-        dense = C.densest_fraction(parts, cfg.get("core_fraction", 0.05))
-        return labelled.drop("state").join(dense.select("row_id", "state", "density"), "row_id", "left").withColumn("state", F.coalesce("state", F.lit(-1)))
+        labelled = out["cluster"].join(F.broadcast(out["pcca"]), "micro", "left").withColumn("macro", F.coalesce("macro", F.lit(-1)))
+        chosen = {f.name: cfg[f"core_{f.name}"] for f in fields(CoreSettings) if f"core_{f.name}" in cfg}
+        # names of earlier configurations
+        chosen |= {"k": cfg["k"]} if "k" in cfg else {}
+        chosen |= {"references": cfg["references"]} if "references" in cfg else {}
+        frames_of, centers = label_cores(labelled, CoreSettings(**{"seed": seed, **chosen}))
+        centers.write.mode("overwrite").parquet(f"{folder}/core_centers")
+        return frames_of
 
     def summary() -> DataFrame:
         n = 1 + out["msm"].agg(F.max(F.greatest("i", "j"))).first()[0]

@@ -17,6 +17,7 @@ from lagwell.operators import lag as L
 from lagwell.operators import model as M
 from lagwell.operators import paths as Q
 from lagwell.operators import relabel as R
+from lagwell.operators.cores import CoreSettings, label_cores
 from lagwell.operators.graph import connected_components
 from lagwell.queries.registry import query, rounded
 from lagwell.queries.views import EMB, EV, LI, SC, frames_emb, frames_ev, frames_li
@@ -365,6 +366,37 @@ def c06(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(C.neighbour_edges(C.knn_all(frames_emb(spark, d), 5), scale=0.8))
 
 
+_CORES = CoreSettings(k=5, references=1_000_000, fraction=0.4, graph_k=3, edge_scale=0.8)
+_Z = ", ".join(f"(x{i} - avg(case when weight > 0 then x{i} end) over ()) / stddev_pop(case when weight > 0 then x{i} end) over () z{i}" for i in range(3))
+_ZD = "sqrt(" + " + ".join(f"(a.z{i} - b.z{i}) * (a.z{i} - b.z{i})" for i in range(3)) + ")"
+_CORE_SQL = f"""with recursive {EMB}, z as (select row_id, state macro, weight, {_Z} from emb), own as (select * from z where weight > 0 and macro >= 0),
+  share as (select row_id, weight / sum(weight) over (partition by macro) w from own),
+  nb as (select a.row_id, b.row_id id, {_ZD} d, row_number() over (partition by a.row_id order by {_ZD}, b.row_id) r from own a join own b using (macro)),
+  dn as (select nb.row_id, sum(w) / power(max(d), 3) density, max(d) kth from nb join share on share.row_id = nb.id where r <= 5 group by 1),
+  rk as (select own.*, density, kth, row_number() over (partition by macro order by density desc, own.row_id) r, count(*) over (partition by macro) n from own join dn using (row_id)),
+  core as (select * from rk where r <= ceil(n * 0.4)), cut as (select macro, 0.8 * quantile_cont(kth, 0.9) c from core where kth > 0 group by 1),
+  cn as (select a.row_id a, b.row_id b, a.macro, {_ZD} d, row_number() over (partition by a.row_id order by {_ZD}, b.row_id) r from core a join core b on a.macro = b.macro and a.row_id != b.row_id),
+  ed as (select a, b from cn join cut using (macro) where r <= 3 and d <= c), both_ as (select a, b from ed union select b, a from ed),
+  reach(row_id, root) as (select row_id, row_id from core union select both_.b, reach.root from reach join both_ on both_.a = reach.row_id),
+  pocket as (select row_id, min(root) pocket from reach group by 1),
+  home as (select macro, row_id, pocket, dense_rank() over (order by macro) - 1 state from core join pocket using (row_id) where r = 1),
+  lab as (select pocket.row_id, home.state from pocket join core using (row_id) join home on home.macro = core.macro and home.pocket = pocket.pocket),
+  ctr as (select home.state, z.* from home join z on z.row_id = home.row_id), dist as (select a.row_id, min({_ZD}) dist from z a cross join ctr b group by 1),
+  fe as (select row_id, density, -ln(density) - min(-ln(density)) over () free_energy from dn)"""
+
+
+@query("c07_core_frames", f"{_CORE_SQL} select z.row_id, cast(coalesce(lab.state, -1) as int) state, round(ln(density), 6) ln_density, round(free_energy, 6) free_energy, round(dist.dist, 6) dist from z join dist using (row_id) left join fe using (row_id) left join lab using (row_id)")
+def c07(spark: SparkSession, d: str) -> DataFrame:
+    labelled = label_cores(frames_emb(spark, d).withColumnRenamed("state", "macro"), _CORES)[0]
+    return rounded(labelled.select("row_id", "state", F.ln(F.when(F.col("density") > 0, F.col("density"))).alias("ln_density"), "free_energy", "dist"), ["ln_density", "free_energy", "dist"])
+
+
+@query("c07_core_centers", f"{_CORE_SQL} select cast(state as int) state, cast(ctr.macro as bigint) macro, ctr.row_id center_row, round(free_energy, 6) free_energy, (select round(ln(min(density)), 6) from lab join dn using (row_id) where lab.state = ctr.state) ln_threshold, (select round(max(dist), 6) from lab join dist using (row_id) where lab.state = ctr.state) dist_threshold, (select count(*) from lab where lab.state = ctr.state) n_frames from ctr join fe using (row_id)")
+def c07c(spark: SparkSession, d: str) -> DataFrame:
+    centers = label_cores(frames_emb(spark, d).withColumnRenamed("state", "macro"), _CORES)[1]
+    return rounded(centers.select("state", "macro", "center_row", "free_energy", F.ln("density_threshold").alias("ln_threshold"), "dist_threshold", "n_frames"), ["free_energy", "ln_threshold", "dist_threshold"])
+
+
 @query("c06_trajectory_components", f"with {EV} select traj_id id, min(traj_id) over () component from (select distinct traj_id from ev) where true")
 def c06t(spark: SparkSession, d: str) -> DataFrame:
     """Trajectories chained in order of id form one component."""
