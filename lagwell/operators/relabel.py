@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwell.functions import kinetics as K
-from lagwell.operators.cluster import distances, knn_density, nearest_centers, weighted_core, weighted_sample
-from lagwell.operators.counting import count_matrix
+from lagwell.operators.candidates import candidate_groups
+from lagwell.operators.cluster import distances, weighted_sample
 from lagwell.operators.diagnose import consistent_states, core_predicate, entropy_candidates, remove_states, scores
 from lagwell.operators.lag import keyed_pairs
-from lagwell.plans.lineage import materialize
 
 
 @dataclass
@@ -25,7 +24,12 @@ class Settings:
     low_entropy: float = 0.3
     score: str = "entropy"  # or gini: the confidence that the proposal uses
     most_fitted: int = 20_000  # candidate frames that the microstates and densities are fitted on; all are assigned
-    core_fraction: float = 1.0  # weight of each candidate group that its dense core holds
+    core_fraction: float = 0.5  # weight of each candidate group that its dense core holds
+    core_space: str = "slow"  # or features: where the density of a group is taken
+    cluster_fraction: float = 1.0  # weight of the densest candidates that are grouped at all
+    graph_fraction: float = 0.5  # weight of the densest candidates whose neighbour graph is the fall-back
+    density_k: int = 20
+    fall_back: bool = True  # to components of the neighbour graph where kinetics says too little
     merge_cutoff: float = 0.05
     least_pairs: int = 50
     least_frames: int = 100
@@ -139,63 +143,11 @@ def reshape(df: DataFrame, groups: DataFrame, next_label: int, least_frames: int
     return df.join(named, "row_id", "left").withColumn("state", F.coalesce("_new", F.lit(-1))).drop("_new")
 
 
-def candidate_groups(df: DataFrame, candidates: DataFrame, s: Settings, x: str = "x") -> tuple[DataFrame, list[dict]]:
-    """Kinetic groups of the candidate frames, and a row of statistics for each group.
-
-    Microstates are fitted on at most ``most_fitted`` seeded frames; every
-    candidate is assigned. Their transitions at the largest lag give the
-    number of groups by eigengap. Returns ``(row_id, group)``, group 0 the
-    most populous. Groups under ``least_frames`` have no rows; with too few
-    frames or fewer than ``least_pairs`` pairs there is no group at all.
-    With ``core_fraction`` below 1 only each group's dense core stays.
-    """
-    frames = materialize(df.join(candidates.select("row_id"), "row_id", "left_semi").select("row_id", "traj_id", "frame", "weight", "q_argmax", "q_max", "entropy", x))
-    none = frames.limit(0).select("row_id", F.lit(0).alias("group"))
-    n = frames.count()
-    n_micro = K.microstate_count(n, target=200, least=6, most=50)
-    if n < s.least_frames or n_micro < 2:
-        return none, []
-    fit = weighted_sample(frames.withColumn("weight", F.lit(1.0)), s.most_fitted, seed=s.seed).select(x).collect()
-    points = np.array([r[0] for r in fit], float)
-    _, centers = K.lloyd(points, n_micro, np.random.default_rng(s.seed), starts=2)
-    cells = nearest_centers(frames, centers, x).drop("dist2")
-    size = np.zeros(n_micro, int)
-    for r in cells.groupBy("cell").count().collect():
-        size[r["cell"]] = r["count"]
-    counts = {lag: np.zeros((n_micro, n_micro)) for lag in s.lags}
-    seen = {lag: 0 for lag in s.lags}
-    pairs = keyed_pairs(cells.select("traj_id", "frame", "weight", "cell"), s.lags, ["cell"])
-    for r in count_matrix(pairs, origin="cell", target="cell_tau").collect():
-        counts[r["lag"]][r["i"], r["j"]] = r["count"]
-        seen[r["lag"]] += r["n_pairs"]
-    if seen[s.lags[-1]] < s.least_pairs:
-        return none, []
-    t = K.transition(counts[s.lags[-1]], pseudocount=1e-6, inactive="uniform")
-    k, why = K.suggest_groups(K.spectrum(t).tolist())
-    found = K.spectral_memberships(t, k, s.seed).argmax(1) if k > 1 else np.zeros(n_micro, int)
-    frames_of = np.bincount(found, weights=size, minlength=k)
-    order = np.argsort(-frames_of, kind="stable")
-    groups = np.argsort(order)[found]
-    kept = [g for g in range(k) if frames_of[order[g]] >= s.least_frames]
-    member = np.eye(k)[groups]
-    macro = {lag: member.T @ c @ member for lag, c in counts.items()}
-    named = cells.withColumn("group", F.get(F.array(*(F.lit(int(g)) for g in groups)), F.col("cell"))).where(F.col("group").isin(kept))
-    if s.core_fraction < 1:
-        reference = weighted_sample(frames, s.most_fitted, seed=s.seed).select(x, "weight").collect()
-        dense = knn_density(named, np.array([r[0] for r in reference], float), np.array([r[1] for r in reference]), 25, x)
-        named = weighted_core(dense, s.core_fraction, by="group", least=s.least_frames).where("core")
-    named = materialize(named)
-    stats = named.groupBy("group").agg(F.count("*").alias("n_frames"), F.sum("weight").alias("population"), F.avg("entropy").alias("mean_entropy"), F.avg("q_max").alias("mean_q_max"), F.mode("q_argmax", True).alias("dominant")).orderBy("group").collect()
-    rows = [{**r.asDict(), "n_groups": k, "why": why, **{f"retention_{lag}": K.own_share(m, r["group"]) for lag, m in macro.items()}} for r in stats]
-    return named.select("row_id", "group"), rows
-
-
 def propose(df: DataFrame, s: Settings) -> tuple[DataFrame, dict]:
     """Labels after removal of inconsistent states, unlabelling of uncertain frames and merging of fast-exchanging labels.
 
     Every candidate frame of a missing state joins a kinetic group, a new
-    label each; if no group is found, the commonest next state names the
-    region. ``gini`` replaces only the score of the proposal. Returns the
+    label each. ``gini`` replaces only the score of the proposal. Returns the
     frames with ``old_state`` and ``state`` and a summary.
     """
     scored = scores(df)
@@ -207,8 +159,7 @@ def propose(df: DataFrame, s: Settings) -> tuple[DataFrame, dict]:
     missing = entropy_candidates(scored, s.lags, s.high_entropy, s.low_entropy).where("kind = 'missing'")
     n_original = (df.agg(F.max("state")).first()[0] or 0) + 1
     groups, found = candidate_groups(scored, missing, s)
-    region = groups if found else scored.join(missing.select("row_id"), "row_id", "left_semi").select("row_id", F.col("q_argmax").alias("group"))
-    fresh = region.select("row_id", (F.lit(n_original) + F.col("group")).cast("int").alias("_fresh"))
+    fresh = groups.select("row_id", (F.lit(n_original) + F.col("group")).cast("int").alias("_fresh"))
     named = unlabelled.join(fresh, "row_id", "left").withColumn("state", F.coalesce("_fresh", "state")).drop("_fresh")
     merged, mapping = merge_duplicates(named, s, original=frozenset(range(n_original)))
     final = compacted({r[0]: r[0] for r in merged.select("state").distinct().collect()})

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagwell.functions.committor import Loss, Net
+from lagwell.operators import candidates as G
 from lagwell.operators import cluster as C
 from lagwell.operators import counting as N
 from lagwell.operators import diagnose as D
@@ -423,10 +424,37 @@ def c09(spark: SparkSession, d: str) -> DataFrame:
 @query("c10_candidate_groups", None)
 def c10(spark: SparkSession, d: str) -> DataFrame:
     scored = D.scores(frames_emb(spark, d))
-    groups, _ = R.candidate_groups(scored, scored.where("entropy >= 0.5"), R.Settings(lags=(1, 2), least_frames=5, least_pairs=1))
+    groups, _ = G.candidate_groups(scored, scored.where("entropy >= 0.5"), R.Settings(lags=(1, 2), least_frames=5, least_pairs=1))
     return groups.groupBy("group").agg(F.count("*").alias("n_frames"))
 
 
+_ND = "sqrt(power(a.x0 - b.x0, 2) + power(a.x1 - b.x1, 2) + power(a.x2 - b.x2, 2))"
+
+
+def _neighbour_density(k: int) -> str:
+    return f"""nn as (select a.row_id, b.row_id id, b.weight w, {_ND} d, row_number() over (partition by a.row_id order by {_ND}, b.row_id) r from emb a join emb b on a.row_id != b.row_id),
+  de as (select emb.row_id, any_value(weight) weight, (any_value(weight) + sum(w)) / power(greatest(max(d), 1e-12), 3) density from emb join nn on nn.row_id = emb.row_id where r <= {k} group by 1)"""
+
+
+@query("c05_exact_density", f"with {EMB}, {_neighbour_density(20)} select row_id, round(ln(density), 6) ln_density from de")
+def c05e(spark: SparkSession, d: str) -> DataFrame:
+    """The density against every row, by exact neighbours."""
+    dense = G.neighbour_density(frames_emb(spark, d).select("row_id", "x", "weight"), 20)
+    return rounded(dense.select("row_id", F.ln("density").alias("ln_density")), ["ln_density"])
+
+
+@query(
+    "c10_neighbour_components",
+    f"""with recursive {EMB}, {_neighbour_density(3)}, ord as (select *, coalesce(sum(weight) over (order by density desc, row_id rows between unbounded preceding and 1 preceding), 0) b, sum(weight) over () t, row_number() over (order by density desc, row_id) r from de),
+  co as (select emb.* from emb join ord on ord.row_id = emb.row_id where b < 0.5 * t or r <= 4), kn as (select a.row_id a, b.row_id b, row_number() over (partition by a.row_id order by {_ND}, b.row_id) r from co a join co b on a.row_id != b.row_id),
+  ed as (select x.a, x.b from kn x join kn y on x.a = y.b and x.b = y.a where x.r <= 3 and y.r <= 3), reach(row_id, root) as (select row_id, row_id from co union select ed.b, reach.root from reach join ed on ed.a = reach.row_id),
+  comp as (select row_id, min(root) component from reach group by 1), big as (select component, count(*) n, cast(row_number() over (order by count(*) desc, component) - 1 as int) g from comp group by 1 having count(*) >= 4)
+  select row_id, g as group from comp join big using (component)""",
+)
+def c10n(spark: SparkSession, d: str) -> DataFrame:
+    return G.neighbour_components(frames_emb(spark, d), k=3, fraction=0.5, least=4)
+
+
 @query("c13_reshape", None)
 def c13(spark: SparkSession, d: str) -> DataFrame:
     scored = D.scores(frames_emb(spark, d))

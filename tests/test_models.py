@@ -246,33 +246,6 @@ def test_dispatch():
     assert seen == [1]
 
 
-def _wells(spark, n_traj=6, length=120, dwell=60):
-    """Frames that stay ``dwell`` long in the well at 0 or the one at 5, in turn."""
-    rng = np.random.default_rng(3)
-    rows = []
-    for t in range(n_traj):
-        for f in range(length):
-            well = (f // dwell + t) % 2
-            rows.append((len(rows), t, f, 1.0, int(well), 0.4, 0.9, [float(5 * well + rng.normal(0, 0.3)), float(rng.normal(0, 0.3))]))
-    return spark.createDataFrame(rows, "row_id long, traj_id int, frame int, weight double, q_argmax int, q_max double, entropy double, x array<double>")
-
-
-def test_candidate_groups_follow_slow_exchange(spark):
-    df = _wells(spark)
-    s = R.Settings(lags=(1, 2), least_frames=100)
-    groups, rows = R.candidate_groups(df, df, s)
-    got = groups.join(df, "row_id").select("group", "q_argmax").distinct().collect()
-    assert groups.count() == 720 and len(rows) == 2 and len(got) == 2
-    assert all(r["retention_2"] > 0.9 and r["n_groups"] == 2 for r in rows)
-    # the dense core of each group keeps about half of its weight
-    core, _ = R.candidate_groups(df, df, R.Settings(lags=(1, 2), least_frames=100, core_fraction=0.5))
-    assert 320 <= core.count() <= 400
-    # few candidates, few pairs and no candidates give no group
-    assert R.candidate_groups(df, df.limit(50), s)[1] == []
-    assert R.candidate_groups(df, df.where("frame % 7 = 0"), s)[1] == []
-    assert R.candidate_groups(df, df.limit(0), s)[0].count() == 0
-
-
 def test_relabel_settings():
     assert R.settings({"relabel": {"lag_list": 3, "min_pairs": 7}}).lags == (3,)
     assert R.settings({"analysis": {"lags": [5, 2]}, "relabel": {"lag_list": 3}}).lags == (2, 5)
