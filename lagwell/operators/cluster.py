@@ -97,6 +97,55 @@ def kmeans(df: DataFrame, k: int, x: str = "x", weight: str = "weight", rounds:
     return centers, nearest_centers(points if sample is None else df, centers, x)
 
 
+def keyed_nearest(df: DataFrame, centers: dict[int, np.ndarray], key: str = "state", x: str = "x", label: str = "cell") -> DataFrame:
+    """``cell`` of each row among the centers of its own ``key``, the first on ties; NULL where the key has none."""
+    known = {k: np.ascontiguousarray(c, float) for k, c in centers.items()}
+    _shipped(np.concatenate([c.ravel() for c in known.values()]) if known else np.zeros(0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                owner = part.column(key).to_numpy(zero_copy_only=False)
+                cell = np.full(len(owner), -1, np.int32)
+                for k in np.unique(owner).tolist():
+                    if k in known:
+                        mine = np.flatnonzero(owner == k)
+                        cell[mine] = distances(_matrix(part.column(x).take(pa.array(mine)), known[k].shape[1]), known[k]).argmin(1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, mask=cell < 0)], [*part.schema.names, label])
+
+    return df.mapInArrow(run, df.withColumn(label, F.lit(None).cast("int")).schema)
+
+
+def keyed_kmeans(df: DataFrame, sizes: dict[int, int], key: str = "state", x: str = "x", rounds: int = 25, seed: int = 0) -> tuple[dict[int, np.ndarray], DataFrame]:
+    """(centers of every key, labelled rows): k-means inside every group of ``key`` at once, ``sizes[key]`` centers each.
+
+    A round assigns every row among its own group's centers and sums by
+    (group, center, dimension), partially aggregated; only the means reach
+    the driver. The first centers are rows drawn by the hash of their ids.
+    An empty cluster keeps its center. Groups of no size get no label.
+    """
+    points = materialize(df)
+    asked = max(sizes.values(), default=0)
+    drawn: dict[int, list] = {}
+    if asked:
+        draw = weighted_sample(points.select("row_id", key, x, F.lit(1.0).alias("_one")), asked, "_one", seed, by=(key,))
+        for r in draw.select(key, x, "row_id").orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").collect():
+            if len(drawn.setdefault(r[key], [])) < sizes.get(r[key], 0):
+                drawn[r[key]].append(r[x])
+    centers = {k: np.array(v, float) for k, v in drawn.items() if v}
+    for _ in range(rounds if centers else 0):
+        sums = keyed_nearest(points.select(key, x), centers, key, x).where("cell is not null").select(key, "cell", F.posexplode(x).alias("dim", "v")).groupBy(key, "cell", "dim").agg(F.avg("v").alias("m")).collect()
+        fresh = {k: c.copy() for k, c in centers.items()}
+        for r in sums:
+            fresh[r[key]][r["cell"], r["dim"]] = r["m"]
+        moved = max(float(np.abs(fresh[k] - c).max()) for k, c in centers.items())
+        centers = fresh
+        if moved <= 1e-12:
+            break
+    return centers, keyed_nearest(points, centers, key, x)
+
+
 def principal_axes(df: DataFrame, n: int, x: str = "x", weight: str = "weight") -> tuple[np.ndarray, np.ndarray]:
     """(weighted mean, [n, d] axes of largest variance, largest first) from one aggregation of d(d + 3)/2 sums.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -159,16 +160,27 @@ def _resample(x: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.interp(at, arc, x[:, k]) for k in range(x.shape[1])], 1)
 
 
-def stitch(legs: DataFrame, n_images: int, window: int = 3, iterations: int = 1) -> DataFrame:
+def aligned(point: np.ndarray, near: np.ndarray, periods: Sequence[float] | None) -> np.ndarray:
+    """The copy of a point that is nearest to another in each periodic direction."""
+    p = np.zeros(len(point)) if periods is None else np.asarray(periods, float)
+    turns = np.round(np.divide(near - point, p, out=np.zeros(len(point)), where=p > 0))
+    return point + turns * p
+
+
+def stitch(legs: DataFrame, n_images: int, window: int = 3, iterations: int = 1, *, ends: tuple[Sequence[float] | None, Sequence[float] | None] = (None, None), periods: Sequence[float] | None = None) -> DataFrame:
     """One path from two legs that left the same start: the first reversed, then the second without its start; resampled and smoothed.
 
     ``legs`` holds ``(path_id, leg, image_id, x)`` with leg 0 or 1; each path
-    is a group of a few hundred images.
+    is a group of a few hundred images. ``ends`` are points at which the path
+    begins and ends in any case, as their copies nearest to it where
+    ``periods`` are positive.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         parts = [np.array(g.sort_values("image_id").x.tolist(), float) for _, g in sorted(group.groupby("leg"), key=lambda t: t[0])]
         path = np.concatenate([parts[0][::-1], parts[1][1:]]) if len(parts) > 1 else parts[0][::-1]
+        first, last = (None if e is None else aligned(np.asarray(e, float), near, periods)[None] for e, near in zip(ends, (path[0], path[-1]), strict=True))
+        path = np.concatenate([p for p in (first, path, last) if p is not None])
         path = _resample(path, n_images)
         h = window // 2
         for _ in range(iterations):
@@ -180,29 +192,101 @@ def stitch(legs: DataFrame, n_images: int, window: int = 3, iterations: int = 1)
     return legs.groupBy("path_id").applyInPandas(run, "path_id long, image_id int, x array<double>")
 
 
-def shoot(starts: DataFrame, net, target: int, *, step: float = 0.05, max_steps: int = 300, target_q: float = 0.98, min_grad: float = 1e-10) -> DataFrame:  # noqa: ANN001
-    """Gradient ascent on q_target from each start ``(path_id, x)``, all starts of a batch at once.
+def _scrambled(v: np.ndarray) -> np.ndarray:
+    """Bits of a counter spread over 64 bits (the finaliser of splitmix64)."""
+    v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return v ^ (v >> np.uint64(31))
+
+
+def counter_normals(ids: np.ndarray, step: int, d: int, seed: int) -> np.ndarray:
+    """[id, dimension] standard normal numbers that depend on id, step, dimension and seed alone, whatever else is drawn where."""
+    key = _scrambled(ids.astype(np.int64).view(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) % (1 << 64)))
+    at = (np.arange(2 * d, dtype=np.uint64) + np.uint64(2 * d * step)) * np.uint64(0xD1342543DE82EF95)
+    u = ((_scrambled(key[:, None] + at) >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+    return np.sqrt(-2 * np.log(u[:, :d])) * np.cos(2 * np.pi * u[:, d:])
+
+
+@dataclass(frozen=True)
+class Shooting:
+    """How a path moves and where it ends.
+
+    Steps of length ``step`` go along the gradient, scaled to length one where
+    ``normalize`` is set, plus ``noise`` times a normal vector drawn by path,
+    step and ``seed``. A path ends where q of the target reaches ``target_q``,
+    the gradient vanishes, or after ``max_steps``. With ``expansion`` it
+    climbs the logit of q instead, which does not flatten near 0 and 1, and
+    ends within ``radius`` of ``basin`` rather than by q. Directions that are
+    ``periodic`` wrap into ``[low, high)``.
+    """
 
-    Unit steps along the network's input gradient until q reaches the target,
-    the gradient vanishes or the steps run out. Returns every image with q.
+    step: float = 0.05
+    max_steps: int = 300
+    target_q: float = 0.98
+    min_grad: float = 1e-10
+    normalize: bool = True
+    expansion: bool = False
+    expansion_eps: float = 1e-6
+    basin: tuple[float, ...] | None = None
+    radius: float | None = None
+    noise: float = 0.0
+    seed: int = 0
+    periodic: tuple[bool, ...] | None = None
+    low: float = -180.0
+    high: float = 180.0
+
+    def __post_init__(self) -> None:
+        if self.step <= 0 or self.max_steps < 1:
+            raise ValueError("the step is positive and there is one at least")
+        if self.expansion and self.basin is not None and self.radius is None:
+            raise ValueError("a basin to stop in needs a radius")
+
+    def arrived(self, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if not self.expansion:
+            return q >= self.target_q
+        return np.zeros(len(x), bool) if self.basin is None else np.linalg.norm(x - np.asarray(self.basin), axis=1) <= self.radius
+
+    def climb(self, q: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+        """The gradient that is followed: of q, or of its logit, which is flat beyond ``expansion_eps`` of 0 and 1."""
+        if not self.expansion:
+            return gradient
+        inside = (q > self.expansion_eps) & (q < 1 - self.expansion_eps)
+        return gradient * np.divide(1.0, q * (1 - q), out=np.zeros_like(q), where=inside)[:, None]
+
+    def moved(self, x: np.ndarray, direction: np.ndarray) -> np.ndarray:
+        at = x + self.step * direction
+        if self.periodic is None:
+            return at
+        return np.where(np.asarray(self.periodic), self.low + np.mod(at - self.low, self.high - self.low), at)
+
+
+def shoot(starts: DataFrame, net, target: int, how: Shooting | None = None, **changed) -> DataFrame:  # noqa: ANN001, ANN003
+    """Gradient ascent towards state ``target`` from each start ``(path_id, x)``, all starts of a batch at once; every image with its q.
+
+    ``how``, or single fields of it by name, tells how: see :class:`Shooting`.
+    A path depends on its start and id alone, in any partitioning.
     """
+    s = replace(how or Shooting(), **changed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            x = np.array(batch.x.tolist(), float)
-            ids = batch.path_id.to_numpy()
-            active = np.ones(len(x), bool)
-            rows = []
-            for n in range(max_steps + 1):
-                q, grad = net.value_and_input_gradient(x, target)
-                rows += [(ids[k], n, x[k].copy(), q[k]) for k in np.flatnonzero(active)]
-                norm = np.linalg.norm(grad, axis=1)
-                active &= (q[:, target] < target_q) & (norm >= min_grad)
-                if not active.any():
+            x, ids = np.array(batch.x.tolist(), float), batch.path_id.to_numpy()
+            live, rows = np.arange(len(x)), []
+            for n in range(s.max_steps + 1):
+                q, gradient = net.value_and_input_gradient(x[live], target)
+                rows += [(ids[k], n, x[k].copy(), q[i]) for i, k in enumerate(live)]
+                gradient = s.climb(q[:, target], gradient)
+                norm = np.linalg.norm(gradient, axis=1)
+                going = ~s.arrived(x[live], q[:, target]) & np.isfinite(norm) & (norm >= s.min_grad)
+                live, gradient, norm = live[going], gradient[going], norm[going]
+                if not len(live):
                     break
-                x[active] += step * grad[active] / norm[active, None]
+                direction = gradient / norm[:, None] if s.normalize else gradient
+                if s.noise > 0:
+                    direction = direction + s.noise * counter_normals(ids[live], n, x.shape[1], s.seed)
+                x[live] = s.moved(x[live], direction)
             yield pd.DataFrame({"path_id": [r[0] for r in rows], "image_id": [r[1] for r in rows], "x": [r[2] for r in rows], "q": [r[3] for r in rows]})
 
     return starts.select("path_id", "x").mapInPandas(run, "path_id long, image_id int, x array<double>, q array<double>")

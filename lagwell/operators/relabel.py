@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwell.functions import kinetics as K
 from lagwell.operators.candidates import candidate_groups
-from lagwell.operators.cluster import distances, weighted_sample
+from lagwell.operators.cluster import keyed_kmeans
 from lagwell.operators.diagnose import consistent_states, core_predicate, entropy_candidates, remove_states, scores
 from lagwell.operators.lag import keyed_pairs
+from lagwell.plans.lineage import materialize
 
 
 @dataclass
@@ -92,45 +92,39 @@ def merge_by_rates(df: DataFrame, p: np.ndarray, mfpt: np.ndarray, min_probabili
     return apply_map(df, mapping), mapping
 
 
-def kinetic_groups(df: DataFrame, lags: Sequence[int], *, x: str = "x", least: int = 40, seed: int = 0, own_cut: float = 0.8, most: int = 200_000) -> DataFrame:
+def kinetic_groups(df: DataFrame, lags: Sequence[int], *, x: str = "x", least: int = 40, seed: int = 0, own_cut: float = 0.8, rounds: int = 25) -> DataFrame:
     """Kinetic groups inside each label: micro clusters of its core, their transitions at the first lag, groups by eigengap.
 
-    The micro model is fitted on a seeded sample of at most ``most`` core
-    frames a label; every core frame is then assigned. Returns ``(row_id,
+    All labels go together: k-means in rounds keyed by (label, center), lag
+    pairs in one join, and only micro-by-micro counts reach the driver. A
+    core of fewer than ``least`` frames is one group. Returns ``(row_id,
     state, group, n_groups, why)``, group 0 the largest.
     """
-    core = df.where((F.col("state") >= 0) & core_predicate(own_cut))
-    fit = weighted_sample(core.withColumn("weight", F.lit(1.0)), most, seed=seed, by=("state",))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        n = K.microstate_count(len(group))
-        points = np.array(group[x].tolist(), float)
-        if n == 0 or len(group) < least:
-            return pd.DataFrame({"state": [group.state.iloc[0]], "centers": [points.mean(0)], "micro": [0], "group": [0], "n_groups": [1], "why": ["too few frames"]})
-        labels, centers = K.lloyd(points, n, np.random.default_rng(seed), starts=1, rounds=25)
-        at = {k: m for k, m in zip(zip(group.traj_id, group.frame, strict=True), labels, strict=True)}
-        c = np.zeros((n, n))
-        for (traj, frame), m in at.items():
-            if (later := at.get((traj, frame + lags[0]))) is not None:
-                c[m, later] += 1
-        t = K.transition(c, pseudocount=1e-6)
-        k, why = K.suggest_groups(K.spectrum(t).tolist())
-        groups = K.spectral_memberships(t, k, seed).argmax(1) if k > 1 else np.zeros(n, int)
-        size = np.bincount(groups[labels], minlength=k)
-        rank = {g: r for r, g in enumerate(np.argsort(-size, kind="stable"))}
-        return pd.DataFrame({"state": group.state.iloc[0], "centers": list(centers), "micro": np.arange(n), "group": [rank[g] for g in groups], "n_groups": k, "why": why})
-
-    models = fit.select("state", "traj_id", "frame", x).groupBy("state").applyInPandas(run, "state int, centers array<double>, micro int, group int, n_groups int, why string").toPandas()
-    by_state = {int(s): (np.array(g.centers.tolist()), g.group.to_numpy(), int(g.n_groups.iloc[0]), str(g.why.iloc[0])) for s, g in models.groupby("state")}
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for s, g in b.groupby("state"):
-                centers, groups, n, why = by_state[int(s)]
-                cell = distances(np.array(g[x].tolist(), float), centers).argmin(1)
-                yield pd.DataFrame({"row_id": g.row_id, "state": g.state, "group": groups[cell], "n_groups": n, "why": why})
-
-    return core.select("row_id", "state", x).mapInPandas(assign, "row_id long, state int, group int, n_groups int, why string")
+    core = materialize(df.where((F.col("state") >= 0) & core_predicate(own_cut)).select("row_id", "traj_id", "frame", "state", x))
+    frames_of = {r["state"]: r["count"] for r in core.groupBy("state").count().collect()}
+    sizes = {s: K.microstate_count(n) for s, n in frames_of.items() if n >= least}
+    _, cells = keyed_kmeans(core, {s: k for s, k in sizes.items() if k}, x=x, rounds=rounds, seed=seed)
+    cells = materialize(cells.select("row_id", "traj_id", "frame", "state", F.coalesce("cell", F.lit(0)).alias("cell")))
+    pairs = keyed_pairs(cells, lags[:1], ["state", "cell"]).where("state = state_tau")
+    counts = {s: np.zeros((k, k)) for s, k in sizes.items() if k}
+    for r in pairs.groupBy("state", F.col("cell").alias("i"), F.col("cell_tau").alias("j")).count().collect():
+        if r["state"] in counts:
+            counts[r["state"]][r["i"], r["j"]] = r["count"]
+    held = {s: np.zeros(max(1, sizes.get(s, 0))) for s in frames_of}
+    for r in cells.groupBy("state", "cell").count().collect():
+        held[r["state"]][r["cell"]] = r["count"]
+    rows = []
+    for s, n_frames in sorted(held.items()):
+        k, why, groups = 1, "too few frames", np.zeros(len(n_frames), int)
+        if s in counts:
+            t = K.transition(counts[s], pseudocount=1e-6)
+            k, why = K.suggest_groups(K.spectrum(t).tolist())
+            groups = K.spectral_memberships(t, k, seed).argmax(1) if k > 1 else groups
+        order = np.argsort(-np.bincount(groups, weights=n_frames, minlength=k), kind="stable")
+        rank = np.argsort(order)
+        rows += [(s, c, int(rank[g]), k, why) for c, g in enumerate(groups)]
+    table = df.sparkSession.createDataFrame(rows, "state int, cell int, group int, n_groups int, why string")
+    return cells.join(F.broadcast(table), ["state", "cell"]).select("row_id", "state", "group", "n_groups", "why")
 
 
 def reshape(df: DataFrame, groups: DataFrame, next_label: int, least_frames: int = 100) -> DataFrame:

@@ -44,14 +44,18 @@ def channel_from_grid(selected: DataFrame, points: str = "x") -> DataFrame:
     return selected.select(F.col("cell").cast("long").alias("path_id"), points, F.col("mass").alias("weight"))
 
 
-def gradient_paths(frames: DataFrame, net, i: int, j: int, *, threshold: float = 0.1, starts: int = 100, max_steps: int = 300, n_images: int = 50, cutoff: float = 0.25, least_share: float = 0.0, periods: Sequence[float] | None = None, seed: int = 0) -> dict:  # noqa: ANN001
+def gradient_paths(frames: DataFrame, net, i: int, j: int, *, threshold: float = 0.1, starts: int = 100, max_steps: int = 300, n_images: int = 50, cutoff: float = 0.25, least_share: float = 0.0, periods: Sequence[float] | None = None, seed: int = 0, shooting: Q.Shooting | None = None, ends: tuple[Sequence[float] | None, Sequence[float] | None] = (None, None)) -> dict:  # noqa: ANN001
     """Channel points of i and j, a leg to each, stitched, clustered; clusters under the least share of starts are left out.
 
-    Returns the paths and the clusters by weight, with each cluster's center path.
+    ``shooting`` tells how legs move and stop, ``ends`` where paths begin and
+    end in any case. Returns the paths and the clusters by weight, with each
+    cluster's center path.
     """
     chosen = Q.channel_points(frames, i, j, threshold, most=starts, seed=seed).select(F.col("row_id").alias("path_id"), "x", "weight")
-    legs = Q.shoot(chosen, net, i, max_steps=max_steps).withColumn("leg", F.lit(0)).unionByName(Q.shoot(chosen, net, j, max_steps=max_steps).withColumn("leg", F.lit(1)))
-    paths = Q.stitch(legs.select("path_id", "leg", "image_id", "x"), n_images)
+    how = shooting or Q.Shooting(max_steps=max_steps)
+    # with expansion, each leg stops in its own basin, which is that end of the path
+    legs = [Q.shoot(chosen, net, s, how, **({"basin": tuple(e)} if how.expansion and e is not None else {})).withColumn("leg", F.lit(k)) for k, (s, e) in enumerate(zip((i, j), ends, strict=True))]
+    paths = Q.stitch(legs[0].unionByName(legs[1]).select("path_id", "leg", "image_id", "x"), n_images, ends=ends, periods=periods)
     weights = {r["path_id"]: r["weight"] for r in chosen.select("path_id", "weight").collect()}
     clusters, merges = Q.cluster_paths(paths, weights, cutoff, periods) if weights else ([], [])
     least = int(np.ceil(least_share * starts))
