@@ -29,11 +29,13 @@ _MARK = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?])")
 _INSIDE = re.compile(r"(?:\"[^\"]*+\"|'[^']*+'|[^<>\"']++)*+")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements left out with all they hold; without an end tag only the first two run to the end of the page.
-_RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in "script style template noscript svg iframe object math canvas".split()}
+_RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in "script style template noscript svg iframe annotation annotation-xml".split()}
 #: What a head may hold; any other start tag, or text outside the title, ends one that is not closed.
 HEAD = frozenset("html base basefont bgsound link meta title script style noscript template".split())
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img input hr meta link source track area col embed param base".split())
+#: A formula runs on in its sentence; so does what stands inside an object or a canvas.
+FORMULA = "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics object canvas"
+INLINE = frozenset(FORMULA.split()) | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img input hr meta link source track area col embed param base".split())
 VOID_BREAK = frozenset(("br", "wbr", "img", "hr"))
 #: A start tag of the first kind ends an open element of the second kinds.
 CLOSES = {

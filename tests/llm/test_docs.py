@@ -660,6 +660,8 @@ def test_messages_on_a_tree_are_exact():
         ("<p>One</p><svg width='1'/><p>Two</p>", ["One", "Two"]),
         ("<p>One</p><iframe src='x'><p>Two</p><noscript><p>Three</p>", ["One", "Two", "Three"]),
         ("<p>One</p><svg><text>no</text></svg><p>Two</p><script>no", ["One", "Two"]),
+        ("<p>Energy is <math><mi>E</mi><mo>=</mo><mrow><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow></math> as we know", ["Energy is E=mc2 as we know"]),
+        ("<p>A<math><semantics><mi>x</mi><annotation>\\x</annotation></semantics></math> b <object data='f'>shown instead</object>.</p>", ["Ax b shown instead."]),
     ],
 )
 def test_open_elements_keep_the_page(page, want):
