@@ -117,35 +117,5 @@ def reactive_routes(sizes: dict[int, int], edges: Sequence[tuple[tuple[int, int]
     return [[nodes[i] for i in route] for route in simple_routes(adjacency, [at[p, 0] for p in sizes], [at[p, n - 1] for p, n in sizes.items()], most)]
 
 
-def expand(samples: DataFrame, paths: dict[int, np.ndarray], *, lag: int = 1, relaxation: float = 0.5, rounds: int = 20, tol: float = 1e-3, min_count: float = 0.0) -> tuple[dict[int, np.ndarray], list[float]]:
-    """Assign, count, relax, redistribute along arcs, until no image moves by more than ``tol``.
-
-    Assignment and counting are the Spark job of a round; paths are a few
-    hundred images and stay on the driver.
-    """
-    from lagwell.operators.paths import _resample
-
-    current = {p: np.asarray(x, float) for p, x in paths.items()}
-    shifts = []
-    for _ in range(rounds):
-        sizes = {p: len(x) for p, x in current.items()}
-        counts = exchange_counts(path_cells(samples, current), sizes, lag).where(F.col("count") >= min_count).collect()
-        pull = {p: np.zeros_like(x) for p, x in current.items()}
-        mass = {p: np.zeros(len(x)) for p, x in current.items()}
-        for pa, ia, pb, ib, n in counts:
-            pull[pa][ia] += n * (current[pb][ib] - current[pa][ia])
-            mass[pa][ia] += n
-        fresh = {}
-        for p, x in current.items():
-            move = np.divide(pull[p], 2 * mass[p][:, None], out=np.zeros_like(x), where=mass[p][:, None] > 0)
-            move[[0, -1]] = 0
-            fresh[p] = _resample(x + relaxation * move, len(x))
-        shifts.append(max(float(np.sqrt(((fresh[p] - current[p]) ** 2).sum(1).max())) for p in current))
-        current = fresh
-        if shifts[-1] <= tol:
-            break
-    return current, shifts
-
-
 def cell_distance(points: np.ndarray, images: np.ndarray) -> np.ndarray:
     return np.sqrt(distances(points, images))

@@ -13,6 +13,7 @@ from lagwell.operators import cluster as C
 from lagwell.operators import counting as N
 from lagwell.operators import diagnose as D
 from lagwell.operators import exchange as E
+from lagwell.operators import expansion as X
 from lagwell.operators import fields as B
 from lagwell.operators import lag as L
 from lagwell.operators import model as M
@@ -618,12 +619,26 @@ def o08(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(E.edge_table(counts, nodes, min_count=1.0, max_distance=0.3), ["count"]), ["probability", "distance"], 8)
 
 
-@query("c24_shared_segments", None)
-def c24(spark: SparkSession, d: str) -> DataFrame:
+def _accepted(spark: SparkSession, d: str, least: float) -> list[tuple[tuple[int, int], tuple[int, int]]]:
     counts, nodes = _exchange(spark, d)
-    edges = [((r["path_a"], r["image_a"]), (r["path_b"], r["image_b"])) for r in E.edge_table(counts, nodes, min_count=20.0).where("accepted").collect()]
-    labels = E.shared_nodes(edges, [(p, k) for p in (0, 1) for k in range(6)])
-    return spark.createDataFrame([(p, k, v, v in E.shared_segments(labels)) for (p, k), v in labels.items()], "path_id int, image_id int, node int, shared boolean")
+    return [((r["path_a"], r["image_a"]), (r["path_b"], r["image_b"])) for r in E.edge_table(counts, nodes, min_probability=least).where("accepted").collect()]
+
+
+def _edge_sql(least: float) -> str:
+    """Accepted edges of the two paths as numbers of nodes, both ways; node 6 p + k is image k of path p."""
+    return f"""{_XC}, ou as (select path_a p, image_a im, sum(count) o from xc group by 1, 2), ae as (select 6 * path_a + image_a a, 6 * path_b + image_b b from xc join ou s on s.p = path_a and s.im = image_a join ou t on t.p = path_b and t.im = image_b
+  where count > 0 and count / least(s.o, t.o) >= {least}), nodes as (select unnest(range(12))::int n)"""
+
+
+@query(
+    "c24_shared_segments",
+    f"""with recursive {_edge_sql(0.345)}, reach(n, root) as (select n, n from nodes union select ae.b, reach.root from reach join ae on ae.a = reach.n), co as (select n, min(root) root from reach group by 1),
+  la as (select n, root, dense_rank() over (order by root) - 1 node, count(distinct n // 6) over (partition by root) > 1 shared from co) select cast(n // 6 as int) path_id, cast(n % 6 as int) image_id, cast(node as int) node, shared from la""",
+)
+def c24(spark: SparkSession, d: str) -> DataFrame:
+    labels = E.shared_nodes(_accepted(spark, d, 0.345), [(p, k) for p in (0, 1) for k in range(6)])
+    shared = E.shared_segments(labels)
+    return spark.createDataFrame([(p, k, v, v in shared) for (p, k), v in labels.items()], "path_id int, image_id int, node int, shared boolean")
 
 
 @query("c25_relaxed_images", None)
@@ -634,14 +649,20 @@ def c25(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c26_path_expansion", None)
 def c26(spark: SparkSession, d: str) -> DataFrame:
-    paths, _ = E.expand(frames_emb(spark, d), _two_paths(), rounds=2)
-    return spark.createDataFrame([(p, k, x.tolist()) for p, m in paths.items() for k, x in enumerate(m)], "path_id int, image_id int, x array<double>")
+    done = X.expand(frames_emb(spark, d), _two_paths(), X.Expansion(rounds=2, relaxation=0.5, smoothing=1, window=3))
+    return spark.createDataFrame([(p, k, x.tolist()) for p, m in done[-1].moved.items() for k, x in enumerate(m)], "path_id int, image_id int, x array<double>")
 
 
-@query("c27_routes", None)
+@query(
+    "c27_routes",
+    f"""with recursive {_edge_sql(0.345)}, adj as (select a, b from ae union select n, n + 1 from nodes where n % 6 < 5 union select n + 1, n from nodes where n % 6 < 5),
+  walk(here, way) as (select n, [n] from nodes where n % 6 = 0 union all select adj.b, list_append(way, adj.b) from walk join adj on adj.a = walk.here where not list_contains(way, adj.b) and not (here % 6 = 5 and len(way) > 1))
+  select array_to_string(way, '-') route, cast(len(way) as int) n_nodes from walk where here % 6 = 5 and len(way) > 1""",
+)
 def c27(spark: SparkSession, d: str) -> DataFrame:
-    routes = E.reactive_routes({0: 4, 1: 4}, [((0, 1), (1, 1)), ((0, 2), (1, 2))])
-    return spark.createDataFrame([(k, s, p, i) for k, r in enumerate(routes) for s, (p, i) in enumerate(r)], "route int, step int, path_id int, image_id int")
+    """Simple routes from a path's first image to a path's last along the paths and the accepted exchange between them."""
+    routes = E.reactive_routes({0: 6, 1: 6}, _accepted(spark, d, 0.345))
+    return spark.createDataFrame([("-".join(str(6 * p + k) for p, k in r), len(r)) for r in routes], "route string, n_nodes int")
 
 
 # ---- models ------------------------------------------------------------------------------
