@@ -197,14 +197,18 @@ def p21(spark: SparkSession, d: str) -> DataFrame:
     return frames_ev(spark, d).groupBy("traj_id").agg(F.count("*").alias("n_frames"), F.sum(F.when(F.col("weight") > 0, 1).otherwise(0)).alias("n_positive"))
 
 
-_TABLE = "select i::int i, j::int j from (select unnest([0, 1, 2]) i), (select unnest([0, 1, 2]) j) where i != j"
-
-
-@query("p23_ordered_pairs", f"select p.*, round(0.1 + 0.1 * c, 6) c from ({_TABLE}) p, (select unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) c)")
+@query(
+    "p23_ordered_pairs",
+    f"with {LI}, ob as (select distinct a.state i, b.state j from li a join li b on b.traj_id = a.traj_id and b.frame = a.frame + 1 where a.state != b.state), bo as (select i, j from ob union select j, i from ob) select i::int i, j::int j, round(0.1e0 + 0.1e0 * c, 6) c from bo, (select unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) c)",
+)
 def p23(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of states that follow one another in the frames, both ways, with every threshold."""
     from lagwell.operators.flux import ordered_pairs, thresholds
+    from lagwell.operators.lag import sequence_pairs
 
-    return rounded(spark.createDataFrame([(i, j, c) for i, j in ordered_pairs(3) for c in thresholds()], "i int, j int, c double"), ["c"])
+    seen = sequence_pairs(frames_li(spark, d), [1], ["state"]).where("state != state_tau").select("state", "state_tau").distinct().orderBy("state", "state_tau").collect()
+    chosen = ordered_pairs(6, [(r[0], r[1]) for r in seen])
+    return rounded(spark.createDataFrame([(i, j, c) for i, j in chosen for c in thresholds()], "i int, j int, c double"), ["c"])
 
 
 @query("p20_reactive_weights", f"with {EMB} select row_id, 0 i, 1 j, round(q0 * q1, 8) r from emb union all select row_id, 0, 2, round(q0 * q2, 8) from emb union all select row_id, 1, 2, round(q1 * q2, 8) from emb")

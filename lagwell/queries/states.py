@@ -20,6 +20,7 @@ from lagwell.operators import model as M
 from lagwell.operators import paths as Q
 from lagwell.operators import relabel as R
 from lagwell.operators.cores import CoreSettings, label_cores
+from lagwell.operators.frames import number_rows
 from lagwell.operators.graph import connected_components
 from lagwell.queries.registry import query, rounded
 from lagwell.queries.views import EMB, EV, LI, SC, frames_emb, frames_ev, frames_li
@@ -215,9 +216,18 @@ def r06(spark: SparkSession, d: str) -> DataFrame:
     return rounded(B.axis_limits(frames_emb(spark, d), ["x0", "x1"]), ["min_x0", "max_x0", "min_x1", "max_x1"])
 
 
-@query("a16_center_grid", "select a::int b0, round(-0.3e0 + (a + 0.5e0) * 0.1e0, 6) x0, b::int b1, round(-0.3e0 + (b + 0.5e0) * 0.15e0, 6) x1 from (select unnest([0, 1, 2, 3, 4, 5]) a), (select unnest([0, 1, 2, 3]) b)")
+_LIMITS = f"{EMB}, lim as (select min(x0) l0, (max(x0) - min(x0)) / 6 s0, min(x1) l1, (max(x1) - min(x1)) / 4 s1 from emb), gr as (select a::int b0, l0 + (a + 0.5e0) * s0 x0, b::int b1, l1 + (b + 0.5e0) * s1 x1 from lim, (select unnest([0, 1, 2, 3, 4, 5]) a), (select unnest([0, 1, 2, 3]) b))"
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    """Six by four bins over the limits of the frames."""
+    limits = B.axis_limits(frames_emb(spark, d), ["x0", "x1"]).first()
+    return B.grid(spark, [(limits["min_x0"], limits["max_x0"], 6), (limits["min_x1"], limits["max_x1"], 4)])
+
+
+@query("a16_center_grid", f"with {_LIMITS} select b0, round(x0, 6) x0, b1, round(x1, 6) x1 from gr")
 def a16(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(B.grid(spark, [(-0.3, 0.3, 6), (-0.3, 0.3, 4)]), ["x0", "x1"])
+    return rounded(_grid(spark, d), ["x0", "x1"])
 
 
 def _net_sql(net: Net, source: str, keys: list[str], inputs: list[str]) -> str:
@@ -232,12 +242,9 @@ def _net_sql(net: Net, source: str, keys: list[str], inputs: list[str]) -> str:
     return f"zz as (select {key}, {z} from {source}), hh as (select {key}, {h} from zz), oo as (select {key}, {o} from hh) select {key}, " + ", ".join(f"round(e{j} / ({total}), 6) q{j}" for j in range(len(c))) + " from oo"
 
 
-_CENTERS_SQL = "gr as (select a::int b0, -0.3e0 + (a + 0.5e0) * 0.1e0 x0, b::int b1, -0.3e0 + (b + 0.5e0) * 0.15e0 x1 from (select unnest([0, 1, 2, 3, 4, 5]) a), (select unnest([0, 1, 2, 3]) b))"
-
-
-@query("a16_model_on_grid", f"with {_CENTERS_SQL}, " + _net_sql(Net((2, 8, 3)), "gr", ["b0", "b1"], ["x0", "x1"]))
+@query("a16_model_on_grid", f"with {_LIMITS}, " + _net_sql(Net((2, 8, 3)), "gr", ["b0", "b1"], ["x0", "x1"]))
 def a16m(spark: SparkSession, d: str) -> DataFrame:
-    g = B.grid(spark, [(-0.3, 0.3, 6), (-0.3, 0.3, 4)]).select("b0", "b1", F.array("x0", "x1").alias("x"))
+    g = _grid(spark, d).select("b0", "b1", F.array("x0", "x1").alias("x"))
     return M.infer(g, Net((2, 8, 3))).select("b0", "b1", *(F.round(F.col("q")[k], 6).alias(f"q{k}") for k in range(3)))
 
 
@@ -402,9 +409,9 @@ def c07c(spark: SparkSession, d: str) -> DataFrame:
 @query("c06_trajectory_components", f"with {EV} select traj_id id, min(traj_id) over () component from (select distinct traj_id from ev) where true")
 def c06t(spark: SparkSession, d: str) -> DataFrame:
     """Trajectories chained in order of id form one component."""
-    t = frames_ev(spark, d).select("traj_id").distinct()
-    ordered = t.withColumn("b", F.lead("traj_id").over(W.orderBy("traj_id"))).where("b is not null")
-    return connected_components(ordered.select(F.col("traj_id").alias("a"), "b"))
+    t = number_rows(frames_ev(spark, d).select("traj_id").distinct(), ["traj_id"])
+    later = t.select((F.col("row_id") - 1).alias("row_id"), F.col("traj_id").alias("b"))
+    return connected_components(t.join(later, "row_id").select(F.col("traj_id").alias("a"), "b"))
 
 
 # ---- relabelling -------------------------------------------------------------------------
