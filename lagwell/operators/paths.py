@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagwell.functions.arrays import square_distance
-from lagwell.functions.kinetics import average_linkage
+from lagwell.plans.lineage import materialize
 
 
 def _along() -> W:
@@ -124,15 +124,49 @@ def medoids(rmsd: DataFrame, weights: DataFrame) -> DataFrame:
     return cost.agg(F.min(F.struct("cost", "path_id")).alias("m")).select(F.col("m.path_id").alias("path_id"), F.col("m.cost").alias("cost"))
 
 
+def linkage_rounds(rmsd: DataFrame, weights: DataFrame, cutoff: float) -> tuple[DataFrame, list[tuple[int, int, float]]]:
+    """``(path_id, cluster)`` and the merges ``(kept, gone, distance)`` of average linkage, weighted, while distances are at most the cutoff.
+
+    Each round merges all pairs of clusters that are each other's nearest
+    (lower ids first on ties): no later merge can come between them, since an
+    average is never below the lesser of what it averages. The distances of
+    the merged are aggregated from those of their parts, so nothing but the
+    merges of a round reaches the driver. A cluster is named by its smallest
+    path.
+    """
+    spark = rmsd.sparkSession
+    live = materialize(rmsd.select(F.col("path_a").alias("a"), F.col("path_b").alias("b"), F.col("rmsd").alias("d")))
+    mass = materialize(weights.select(F.col("path_id").alias("c"), F.col("weight").cast("double").alias("w")))
+    member = weights.select("path_id", F.col("path_id").alias("cluster"))
+    merges: list[tuple[int, int, float]] = []
+    while True:
+        edge = F.struct("d", "a", "b").alias("e")
+        both = live.select(F.col("a").alias("c"), edge).union(live.select(F.col("b").alias("c"), edge))
+        nearest = both.groupBy("c").agg(F.min("e").alias("e"))
+        mutual = nearest.groupBy("e").agg(F.count("*").alias("n")).where((F.col("n") == 2) & (F.col("e.d") <= cutoff)).select("e.*").orderBy("d", "a", "b").collect()
+        if not mutual:
+            return member, merges
+        merges += [(r["a"], r["b"], r["d"]) for r in mutual]
+        moved = materialize(spark.createDataFrame([(r["b"], r["a"]) for r in mutual], "gone long, kept long"))
+        named = lambda c: F.coalesce(f"kept_{c}", c)
+        to = lambda c: moved.select(F.col("gone").alias(c), F.col("kept").alias(f"kept_{c}"))
+        held = lambda c: mass.select(F.col("c").alias(c), F.col("w").alias(f"w_{c}"))
+        wide = live.join(to("a"), "a", "left").join(to("b"), "b", "left").join(held("a"), "a").join(held("b"), "b")
+        share = F.col("w_a") * F.col("w_b")
+        low, high = F.least(named("a"), named("b")), F.greatest(named("a"), named("b"))
+        live = materialize(wide.select(low.alias("x"), high.alias("y"), "d", share.alias("s")).where("x != y").groupBy("x", "y").agg((F.sum(F.col("s") * F.col("d")) / F.sum("s")).alias("d")).select(F.col("x").alias("a"), F.col("y").alias("b"), "d"))
+        mass = materialize(mass.join(to("c"), "c", "left").groupBy(named("c").alias("c")).agg(F.sum("w").alias("w")))
+        member = materialize(member.join(moved.withColumnRenamed("gone", "cluster"), "cluster", "left").select("path_id", F.coalesce("kept", "cluster").alias("cluster")))
+
+
 def cluster_paths(images: DataFrame, weights: dict[int, float], cutoff: float = 0.25, periods: Sequence[float] | None = None) -> tuple[list[list[int]], list]:
-    """(clusters of path ids by weight, merges): distances from Spark, average linkage on the driver over the few paths."""
-    ids = sorted(weights)
-    at = {p: i for i, p in enumerate(ids)}
-    d = np.zeros((len(ids), len(ids)))
-    for r in path_rmsd(images, periods).collect():
-        d[at[r[0]], at[r[1]]] = d[at[r[1]], at[r[0]]] = r[2]
-    clusters, merges = average_linkage(d, np.array([weights[p] for p in ids], float), cutoff)
-    return [[ids[i] for i in c] for c in clusters], merges
+    """(clusters of path ids by weight, merges) by average linkage of the paths' distances; only the membership is collected."""
+    table = images.sparkSession.createDataFrame([(p, float(w)) for p, w in weights.items()], "path_id long, weight double")
+    member, merges = linkage_rounds(path_rmsd(images, periods), table, cutoff)
+    clusters: dict[int, list[int]] = {}
+    for r in member.orderBy("path_id").collect():
+        clusters.setdefault(r["cluster"], []).append(r["path_id"])
+    return sorted(clusters.values(), key=lambda c: (-sum(weights[p] for p in c), c[0])), merges
 
 
 def channel_points(df: DataFrame, i: int, j: int, threshold: float = 0.1, most: int | None = None, power: float = 1.0, seed: int = 0) -> DataFrame:

@@ -62,7 +62,7 @@ def gradient_paths(frames: DataFrame, net, i: int, j: int, *, threshold: float =
     kept = [c for c in clusters if len(c) >= least]
     spark = frames.sparkSession
     member = spark.createDataFrame([(p, k, float(weights[p])) for k, c in enumerate(kept) for p in c], "path_id long, cluster int, weight double")
-    return {"paths": paths, "clusters": kept, "merges": merges, "centers": Q.center_path(paths.join(F.broadcast(member), "path_id"))}
+    return {"paths": paths, "members": member, "clusters": kept, "merges": merges, "centers": Q.center_path(paths.join(F.broadcast(member), "path_id"))}
 
 
 def state_pairs(p_jump: np.ndarray, threshold: float) -> list[tuple[int, int]]:

@@ -17,7 +17,7 @@ from lagwell.operators import flux as X
 from lagwell.operators import lag as L
 from lagwell.operators.cores import CoreSettings, label_cores
 from lagwell.operators.frames import frame_table
-from lagwell.sinks.writers import msm_summary, rate_table, stage_table
+from lagwell.sinks.writers import content_hash, manifest_hash, msm_summary, rate_table, stage_table
 
 #: Stages in order and the names they answer to.
 STAGES = {
@@ -68,6 +68,8 @@ def run_msm(frames: DataFrame, cfg: dict, folder: str, target: str = "summary",
     ``cluster_sample`` rows fit the centers (all by default); with
     ``active_set`` only microstates that carry weight and both give and take
     counts stay; ``reversible`` symmetrises the counts before normalising.
+    A manifest holds the hash of the one before it, the first one that of the
+    frames, so changed frames or settings are never served old tables.
     ``core_<name>`` sets a field of :class:`CoreSettings`; the centers of the
     cores are written to ``core_centers`` beside the stages.
     """
@@ -115,10 +117,11 @@ def run_msm(frames: DataFrame, cfg: dict, folder: str, target: str = "summary",
         return msm_summary(t, N.residence_escape(t))
 
     makers: dict[str, Callable[[], DataFrame]] = {"data": data, "cluster": micro, "msm": counts, "pcca": macro, "core": core, "summary": summary}
-    done: list[str] = []
+    chain = content_hash(frames)
     for step, forced in force_plan(cfg, target, force):
-        done.append(step)
-        out[step] = stage_table(makers[step], spark, f"{folder}/{step}", {"step": step, "upstream": done[:-1], **{a: b for a, b in cfg.items() if a != "force"}}, forced)
+        manifest = {"step": step, "upstream": chain, **{a: b for a, b in cfg.items() if a != "force"}}
+        out[step] = stage_table(makers[step], spark, f"{folder}/{step}", manifest, forced)
+        chain = manifest_hash(manifest)
     return out
 
 

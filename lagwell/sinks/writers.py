@@ -57,6 +57,13 @@ def manifest_hash(manifest: dict) -> str:
     return hashlib.sha256(json.dumps(_plain(manifest), sort_keys=True).encode()).hexdigest()[:16]
 
 
+def content_hash(df: DataFrame) -> str:
+    """A name for what a table holds, whatever the order of its rows: their number and the sum of their hashes."""
+    columns = [F.to_json(c) if t.startswith("map") else F.col(c) for c, t in sorted(df.dtypes)]
+    r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("s")).first()
+    return manifest_hash({"columns": sorted(df.dtypes), "rows": r["n"], "sum": str(r["s"])})
+
+
 def save_stage(df: DataFrame, path: str, manifest: dict) -> None:
     """A stage table and its manifest; reuse compares the hash, so a changed configuration is not served old results."""
     df.write.mode("overwrite").parquet(path)

@@ -7,7 +7,9 @@ import math
 import numpy as np
 import pytest
 
+from lagwell.functions import kinetics as K
 from lagwell.operators import expansion as X
+from lagwell.operators import paths as Q
 
 
 def samples_along(spark, curves, seed=1, n=900, noise=0.06, period=None):
@@ -132,3 +134,16 @@ def test_expansion_without_exchange_settles(spark):
     assert len(done) == 2 and done[-1].shift <= 1e-9 and np.allclose(done[-1].moved[0][:, 0], [0, 1 / 3, 2 / 3, 1]) and not done[-1].shared
     with pytest.raises(ValueError, match="weigh"):
         X.Expansion(weigh="x")
+
+
+@pytest.mark.parametrize("cutoff", [0.3, 0.8, 5.0])
+def test_rounds_of_mutual_neighbours_are_average_linkage(spark, cutoff):
+    """The same clusters, and the same distances of merges in order, as one merge at a time."""
+    rng = np.random.default_rng(11)
+    offsets = np.concatenate([rng.normal(c, 0.15, 6) for c in (0, 1, 3)] + [[9.0]])
+    weights = {p: float(rng.integers(1, 5)) for p in range(len(offsets))}
+    images = spark.createDataFrame([(p, k, [k / 4, float(o)]) for p, o in enumerate(offsets) for k in range(5)], "path_id long, image_id int, x array<double>")
+    d = np.abs(offsets[:, None] - offsets) / math.sqrt(2)
+    want, merges = K.average_linkage(d, np.array([weights[p] for p in range(len(offsets))]), cutoff)
+    got, rounds = Q.cluster_paths(images, weights, cutoff)
+    assert got == want and sorted(m[2] for m in rounds) == pytest.approx(sorted(m[2] for m in merges))
