@@ -21,31 +21,89 @@ ACTIVATIONS = {
 }
 
 
+#: What is added to a variance before its root, and how fast running moments follow those of a step.
+NORM_EPS, MOMENTUM = 1e-5, 0.1
+
+
+def row_uniforms(ids: np.ndarray, n: int, *salt: int) -> np.ndarray:
+    """[row, n] numbers in (0, 1) that depend on the row's id, the place and the salt alone."""
+    key = np.asarray(ids).astype(np.int64).view(np.uint64)
+    for v in salt:
+        key = _mixed(key + np.uint64((v * 0x9E3779B97F4A7C15 + 1) % (1 << 64)))
+    u = _mixed(key[:, None] + (np.arange(n, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
+    return ((u >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+
+
+def _mixed(v: np.ndarray) -> np.ndarray:
+    v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return v ^ (v >> np.uint64(31))
+
+
+@dataclass
+class Train:
+    """What a training pass over one end of the pairs has agreed on over all rows: the moments of each hidden layer so far, the masks' salt, and the sums that the gradient of each normalised layer needs so far, by layer."""
+
+    moments: list[tuple[np.ndarray, np.ndarray]]
+    salt: tuple[int, ...] = ()
+    sums: dict[int, tuple[np.ndarray, np.ndarray, float]] = field(default_factory=dict)
+
+
 @dataclass
 class Net:
-    """A perceptron with a probability head: ``softmax``, ``softplus`` over its sum, or a ``sigmoid`` per output (pairs)."""
+    """A perceptron with a probability head: ``softmax``, ``softplus`` over its sum, or a ``sigmoid`` per output (pairs).
+
+    Hidden layers are linear, normalised over the batch if ``batch_norm``,
+    activated, and thinned by ``dropout`` in training. Outside training the
+    running moments normalise and nothing is thinned.
+    """
 
     sizes: tuple[int, ...]
     head: str = "softmax"
     activation: str = "elu"
     eps: float = 1e-8
     layers: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    batch_norm: bool = False
+    dropout: float = 0.0
+    norms: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # scale and shift
+    running: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # mean and variance
 
     def __post_init__(self) -> None:
         if self.head not in ("softmax", "softplus", "sigmoid"):
             raise ValueError(f"unknown head {self.head}")
+        if not 0 <= self.dropout < 1:
+            raise ValueError("dropout lies in [0, 1)")
         if not self.layers:
             rng = np.random.default_rng(0)
             self.layers = [(rng.uniform(-1, 1, (a, b)) / np.sqrt(a), rng.uniform(-1, 1, b) / np.sqrt(a)) for a, b in zip(self.sizes, self.sizes[1:], strict=False)]
+        if self.batch_norm and not self.norms:
+            self.norms = [(np.ones(n), np.zeros(n)) for n in self.sizes[1:-1]]
+            self.running = [(np.zeros(n), np.ones(n)) for n in self.sizes[1:-1]]
+
+    def parameters(self) -> list[np.ndarray]:
+        return [p for pair in (*self.layers, *self.norms) for p in pair]
 
-    def _forward(self, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    def masks(self, ids: np.ndarray, salt: tuple[int, ...]) -> list[np.ndarray]:
+        """Of each hidden layer what its outputs are multiplied by: 0, or 1 over the share that stays."""
+        keep = 1 - self.dropout
+        return [(row_uniforms(ids, n, *salt, k) < keep) / keep for k, n in enumerate(self.sizes[1:-1])]
+
+    def _forward(self, x: np.ndarray, train: Train | None = None, ids: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, list[np.ndarray]]:
+        """(inputs of each layer, what each activation sees, q, normalised values); up to the first hidden layer without moments, whose linear values then stand last in the second list."""
         act = ACTIVATIONS[self.activation][0]
-        inputs, pre = [x], []
+        thin = self.masks(ids, train.salt) if train and self.dropout else None
+        inputs, pre, hat = [x], [], []
         for k, (w, b) in enumerate(self.layers):
             z = inputs[-1] @ w + b
+            if k < len(self.layers) - 1 and self.batch_norm:
+                known = train.moments if train else self.running
+                if k >= len(known):
+                    return inputs, [*pre, z], np.zeros(0), hat
+                hat.append((z - known[k][0]) / np.sqrt(known[k][1] + NORM_EPS))
+                z = self.norms[k][0] * hat[-1] + self.norms[k][1]
             pre.append(z)
             if k < len(self.layers) - 1:
-                inputs.append(act(z))
+                inputs.append(act(z) * thin[k] if thin else act(z))
         z = pre[-1]
         if self.head == "softmax":
             e = np.exp(z - z.max(1, keepdims=True))
@@ -55,10 +113,14 @@ class Net:
             q = s / s.sum(1, keepdims=True)
         else:
             q = 1 / (1 + np.exp(-z))
-        return inputs, pre, q
+        return inputs, pre, q, hat
+
+    def __call__(self, x: np.ndarray, train: Train | None = None, ids: np.ndarray | None = None) -> np.ndarray:
+        return self._forward(np.asarray(x, float), train, ids)[2]
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return self._forward(np.asarray(x, float))[2]
+    def linear(self, x: np.ndarray, train: Train, ids: np.ndarray | None = None) -> np.ndarray:
+        """The linear values of the first hidden layer whose moments are not known yet."""
+        return self._forward(np.asarray(x, float), train, ids)[1][-1]
 
     def _head_back(self, z: np.ndarray, q: np.ndarray, dq: np.ndarray) -> np.ndarray:
         if self.head == "softmax":
@@ -69,18 +131,33 @@ class Net:
             return ds / (1 + np.exp(-z))
         return dq * q * (1 - q)
 
-    def backward(self, x: np.ndarray, dq: np.ndarray, inputs: bool = False) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray | None]:
-        """Gradients of the layers (and of the inputs) for a gradient at the outputs."""
+    def backward(self, x: np.ndarray, dq: np.ndarray, inputs: bool = False, train: Train | None = None, ids: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray | None]:
+        """Gradients of the layers (and of the inputs) for a gradient at the outputs.
+
+        In training with normalised layers: of the first layer from above
+        whose sums are not known, the sums ``(of the gradient, of it times
+        the normalised values)`` instead.
+        """
         slope = ACTIVATIONS[self.activation][1]
-        hidden, pre, q = self._forward(x)
+        hidden, pre, q, hat = self._forward(x, train, ids)
+        thin = self.masks(ids, train.salt) if train and self.dropout else None
         d = self._head_back(pre[-1], q, dq)
         grads: list = []
         for k in range(len(self.layers) - 1, -1, -1):
+            if k < len(self.layers) - 1 and self.batch_norm:
+                spread = np.sqrt((train.moments if train else self.running)[k][1] + NORM_EPS)
+                if train is None:
+                    d = d * self.norms[k][0] / spread
+                elif k not in train.sums:
+                    return [(d.sum(0), (d * hat[k]).sum(0))], None
+                else:
+                    one, two, n = train.sums[k]
+                    d = self.norms[k][0] / spread * (d - one / n - hat[k] * two / n)
             grads.append((hidden[k].T @ d, d.sum(0)))
             if k or inputs:
                 d = d @ self.layers[k][0].T
             if k:
-                d = d * slope(pre[k - 1])
+                d = d * slope(pre[k - 1]) * (thin[k - 1] if thin else 1.0)
         return grads[::-1], d if inputs else None
 
     def value_and_input_gradient(self, x: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,16 +166,24 @@ class Net:
         dq[:, target] = 1
         return q, self.backward(x, dq, inputs=True)[1]
 
+    def follow(self, moments: list[tuple[np.ndarray, np.ndarray]], n: float) -> None:
+        """Move the running moments towards those of a step over ``n`` rows (the variance made unbiased)."""
+        fair = n / (n - 1) if n > 1 else 1.0
+        self.running = [((1 - MOMENTUM) * m + MOMENTUM * a, (1 - MOMENTUM) * v + MOMENTUM * b * fair) for (m, v), (a, b) in zip(self.running, moments, strict=True)]
+
     def save(self, path: str, meta: dict | None = None) -> None:
-        arrays = {f"{n}{k}": a for k, wb in enumerate(self.layers) for n, a in zip("wb", wb, strict=True)}
-        np.savez(path, meta=json.dumps({"sizes": self.sizes, "head": self.head, "activation": self.activation, "model_input": meta or {}}), **arrays)
+        groups = {"wb": self.layers, "gs": self.norms, "mv": self.running}
+        arrays = {f"{n}{k}": a for names, pairs in groups.items() for k, pair in enumerate(pairs) for n, a in zip(names, pair, strict=True)}
+        np.savez(path, meta=json.dumps({"sizes": self.sizes, "head": self.head, "activation": self.activation, "batch_norm": self.batch_norm, "dropout": self.dropout, "model_input": meta or {}}), **arrays)
 
     @classmethod
     def load(cls, path: str) -> tuple[Net, dict]:
         with np.load(path) as z:
             meta = json.loads(str(z["meta"]))
+            pairs = lambda a, b, n: [(z[f"{a}{k}"], z[f"{b}{k}"]) for k in range(n)]
             n = len(meta["sizes"]) - 1
-            return cls(tuple(meta["sizes"]), meta["head"], meta["activation"], layers=[(z[f"w{k}"], z[f"b{k}"]) for k in range(n)]), meta["model_input"]
+            normed = n - 1 if meta.get("batch_norm") else 0
+            return cls(tuple(meta["sizes"]), meta["head"], meta["activation"], layers=pairs("w", "b", n), batch_norm=bool(normed), dropout=meta.get("dropout", 0.0), norms=pairs("g", "s", normed), running=pairs("m", "v", normed)), meta["model_input"]
 
 
 @dataclass(frozen=True)
@@ -219,16 +304,23 @@ def flux_gradients(q: np.ndarray, q_tau: np.ndarray, w: np.ndarray, loss: Loss,
     return g, g_tau
 
 
-def partial_gradient(net: Net, x: np.ndarray, x_tau: np.ndarray, label: np.ndarray, label_tau: np.ndarray, w: np.ndarray, loss: Loss, ends: float = 2.0, slope: np.ndarray | None = None) -> tuple[list, dict[str, float], float]:
-    """Gradient sums of a batch; ``slope`` comes from :func:`flux_spread` over all rows, without it the flux part is left out."""
-    q, q_tau = net(x), net(x_tau)
+def partial_gradient(net: Net, x: np.ndarray, x_tau: np.ndarray, label: np.ndarray, label_tau: np.ndarray, w: np.ndarray, loss: Loss, ends: float = 2.0, slope: np.ndarray | None = None, train: tuple[Train, Train] | None = None, ids: np.ndarray | None = None) -> tuple[list, dict[str, float], float]:
+    """Gradient sums of a batch; ``slope`` comes from :func:`flux_spread` over all rows, without it the flux part is left out.
+
+    With ``train``, what each end has agreed on so far; while the sums of a
+    normalised layer are missing, ``[sums at x, sums at x_tau]`` instead.
+    """
+    one, two = train or (None, None)
+    q, q_tau = net(x, one, ids), net(x_tau, two, ids)
     parts, g, g_tau, mass = losses(q, q_tau, label, label_tau, w, loss, ends)
     if loss.flux and slope is not None:
         f, f_tau = flux_gradients(q, q_tau, w, loss, slope)
         g += loss.flux * f
         g_tau += loss.flux * f_tau
-    a, _ = net.backward(x, g)
-    b, _ = net.backward(x_tau, g_tau)
+    a, _ = net.backward(x, g, train=one, ids=ids)
+    b, _ = net.backward(x_tau, g_tau, train=two, ids=ids)
+    if one and net.batch_norm and len(one.sums) < len(net.norms):
+        return [*a, *b], parts, mass
     return [(u + s, v + t) for (u, v), (s, t) in zip(a, b, strict=True)], parts, mass
 
 
@@ -247,7 +339,7 @@ class AdamW:
         if self.m is None:
             self.m, self.v = [np.zeros_like(g) for g in flat], [np.zeros_like(g) for g in flat]
         self.t += 1
-        values = [p for wb in net.layers for p in wb]
+        values = net.parameters()
         for k, (p, g) in enumerate(zip(values, flat, strict=True)):
             self.m[k] = self.b1 * self.m[k] + (1 - self.b1) * g
             self.v[k] = self.b2 * self.v[k] + (1 - self.b2) * g * g

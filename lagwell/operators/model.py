@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import copy
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagwell.functions.arrays import total
-from lagwell.functions.committor import AdamW, Loss, Net, boundary_weight, flux_spread, flux_sums, partial_gradient
+from lagwell.functions.committor import AdamW, Loss, Net, Train, boundary_weight, flux_spread, flux_sums, partial_gradient
 from lagwell.functions.kinetics import pairwise_design
+from lagwell.plans.lineage import materialize
 
 
 def infer(df: DataFrame, net: Net, x: str = "x", out: str = "q") -> DataFrame:
@@ -42,6 +44,93 @@ def boundary_loss(rows: DataFrame, q: str = "q", label: str = "state", weight: s
     return held.agg((F.sum(F.col(weight) * value) / F.sum(weight)).alias("boundary"))
 
 
+def _arrays(b: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    return *(np.array(b[c].tolist()) for c in ("x", "x_tau", "label", "label_tau")), b.weight.to_numpy()
+
+
+def _summed(rows: DataFrame, of: Callable[[pd.DataFrame], list[np.ndarray]]) -> list[np.ndarray] | None:
+    """The sums over all batches of a list of arrays; each task adds its own first, so one row a task reaches the driver. None of no rows."""
+    names = ["row_id", "x", "x_tau", "label", "label_tau", "weight"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: list[np.ndarray] | None = None
+        for b in batches:
+            if len(b):
+                found = of(b)
+                total = found if total is None else [u + v for u, v in zip(total, found, strict=True)]
+        if total is not None:
+            yield pd.DataFrame({"flat": [np.concatenate([np.ravel(t) for t in total])], "shapes": [[",".join(map(str, np.shape(t))) for t in total]]})
+
+    got = rows.select(*names).mapInPandas(run, "flat array<double>, shapes array<string>").collect()
+    if not got:
+        return None
+    flat, out, at = np.sum([r["flat"] for r in got], axis=0), [], 0
+    for shape in got[0]["shapes"]:
+        size = [int(v) for v in shape.split(",") if v]
+        n = int(np.prod(size)) if size else 1
+        out.append(flat[at : at + n].reshape(size))
+        at += n
+    return out
+
+
+def gradient(rows: DataFrame, net: Net, loss: Loss, ends: float, salt: tuple[int, ...] | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], dict[str, float], list[tuple[list, float]]]:
+    """(gradient of each pair of parameters, parts of the loss, moments and rows of each end) over all ``rows``, whatever their partitioning.
+
+    With ``salt`` the network is in training: a pass for the moments of each
+    normalised layer from below, one for the sums that its gradient needs
+    from above, and one for the gradient. Both ends have moments of their own.
+    """
+    training = salt is not None and (net.batch_norm or net.dropout > 0)
+    state = tuple(Train([], (*salt, end)) for end in (0, 1)) if training else None
+    n = 0.0
+
+    def ids(b: pd.DataFrame) -> np.ndarray | None:
+        return b.row_id.to_numpy() if training else None
+
+    for _ in net.norms if training else ():
+
+        def moments(b: pd.DataFrame) -> list[np.ndarray]:
+            x, x_tau, *_ = _arrays(b)
+            z = [net.linear(v, end, ids(b)) for v, end in zip((x, x_tau), state, strict=True)]
+            return [np.array([len(b)]), *(s for v in z for s in (v.sum(0), (v * v).sum(0)))]
+
+        got = _summed(rows, moments) or [np.ones(1), *(np.zeros_like(net.running[len(state[0].moments)][0]) for _ in range(4))]
+        n = float(got[0][0])
+        for end, one, two in ((state[0], got[1], got[2]), (state[1], got[3], got[4])):
+            end.moments.append((one / n, np.maximum(two / n - (one / n) ** 2, 0.0)))
+    spread, slope = 0.0, None
+    if loss.flux and loss.pairs:
+
+        def crossings(b: pd.DataFrame) -> list[np.ndarray]:
+            x, x_tau, _, _, w = _arrays(b)
+            one, two = state or (None, None)
+            return [flux_sums(net(x, one, ids(b)), net(x_tau, two, ids(b)), w, loss), np.array([w.sum()])]
+
+        got = _summed(rows, crossings) or [np.zeros((len(loss.pairs), len(loss.thresholds))), np.zeros(1)]
+        spread, slope = flux_spread(got[0], float(got[1][0]) or 1.0)
+
+    def partial(b: pd.DataFrame) -> list[np.ndarray]:
+        g, parts, mass = partial_gradient(net, *_arrays(b), loss, ends, slope, state, ids(b))
+        return [*(a for pair in g for a in pair), np.array([parts.get(k, 0.0) for k in ("dirichlet", "boundary", "simplex")]), np.array([mass])]
+
+    for layer in range(len(net.norms) - 1, -1, -1) if training else ():
+        got = _summed(rows, partial) or [np.zeros_like(net.norms[layer][0])] * 4
+        state[0].sums[layer], state[1].sums[layer] = (got[0], got[1], n), (got[2], got[3], n)
+    got = _summed(rows, partial) or [*(np.zeros_like(p) for wb in net.layers for p in wb), np.zeros(3), np.zeros(1)]
+    mass = float(got[-1][0]) or 1.0
+    grads = [(got[2 * k] / mass, got[2 * k + 1] / mass) for k in range(len(net.layers))]
+    if training:
+        grads += [(sum(end.sums[k][1] for end in state) / mass, sum(end.sums[k][0] for end in state) / mass) for k in range(len(net.norms))]
+    parts = dict(zip(("dirichlet", "boundary", "simplex"), (got[-2] / mass).tolist(), strict=True)) | {"flux": spread}
+    return grads, parts, [(end.moments, n) for end in state] if training and net.batch_norm else []
+
+
+def _advance(net: Net, optimiser: AdamW, grads: list, agreed: list[tuple[list, float]]) -> None:
+    for moments, n in agreed:
+        net.follow(moments, n)
+    optimiser.step(net, grads)
+
+
 def train(pairs: DataFrame, net: Net, loss: Loss, *, epochs: int = 50, rate: float = 1e-2, patience: int = 30, validation: float = 0.2, seed: int = 0, schedule: str = "fixed", final_boundary: float | None = None, decay_epochs: float = 100.0, batches: int = 1, last: str | None = None) -> tuple[Net, list[dict]]:
     """(best network, history) by AdamW: each partition sends one partial gradient, added on the driver.
 
@@ -51,77 +140,40 @@ def train(pairs: DataFrame, net: Net, loss: Loss, *, epochs: int = 50, rate: flo
     the mean over labelled ends; the flux part is summed over all rows of a
     batch before its gradient is taken, so neither depends on the
     partitioning. Early stop after ``patience`` epochs without a better
-    validation loss. ``last`` names a file that gets the network after every
+    validation loss. A network with normalised or thinned layers is trained
+    by passes that agree on each layer's moments, and then on what its
+    gradient needs, over all rows of a step before the gradient itself is
+    taken; what is thinned follows from the row ids. ``last`` names a file that gets the network after every
     epoch.
     """
     from dataclasses import replace
 
-    from lagwell.plans.lineage import materialize
-
     held = materialize(pairs.withColumn("_val", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(1000)) < int(1000 * validation)))
     optimiser, history = AdamW(rate), []
-    best, best_value, waited = [(w.copy(), b.copy()) for w, b in net.layers], np.inf, 0
-
-    def arrays(b: pd.DataFrame) -> tuple[np.ndarray, ...]:
-        return *(np.array(b[c].tolist()) for c in ("x", "x_tau", "label", "label_tau")), b.weight.to_numpy()
-
-    def spread(rows: DataFrame, now: Net, part: Loss) -> tuple[float, np.ndarray]:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    x, x_tau, _, _, w = arrays(b)
-                    yield pd.DataFrame({"sums": [flux_sums(now(x), now(x_tau), w, part).ravel()], "mass": [w.sum()]})
-
-        size = len(part.pairs) * len(part.thresholds)
-        got = rows.mapInPandas(run, "sums array<double>, mass double").agg(*(F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(size)), F.sum("mass").alias("mass")).first()
-        return flux_spread(np.array([got[f"s{k}"] or 0.0 for k in range(size)]).reshape(len(part.pairs), -1), got["mass"] or 1.0)
-
-    def sums(rows: DataFrame, now: Net, part: Loss, ends: float) -> tuple[list, dict]:
-        value, slope = spread(rows, now, part) if part.flux and part.pairs else (0.0, None)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            acc, parts, mass = None, {}, 0.0
-            for b in batches:
-                if not len(b):
-                    continue
-                g, p, m = partial_gradient(now, *arrays(b), part, ends, slope)
-                acc = g if acc is None else [(a + c, e + d) for (a, e), (c, d) in zip(acc, g, strict=True)]
-                parts = {k: parts.get(k, 0.0) + v for k, v in p.items()}
-                mass += m
-            if acc is not None:
-                yield pd.DataFrame({"g": [np.concatenate([a.ravel() for wb in acc for a in wb])], "parts": [parts], "mass": [mass]})
-
-        got = rows.mapInPandas(run, "g array<double>, parts map<string,double>, mass double").collect()
-        mass = sum(r["mass"] for r in got) or 1.0
-        flat = np.sum([r["g"] for r in got], axis=0) / mass if got else np.zeros(sum(a.size for wb in now.layers for a in wb))
-        grads, at = [], 0
-        for w, b in now.layers:
-            grads.append((flat[at : at + w.size].reshape(w.shape), flat[at + w.size : at + w.size + b.size]))
-            at += w.size + b.size
-        return grads, {k: sum(r["parts"].get(k, 0.0) for r in got) / mass for k in ("dirichlet", "boundary", "simplex")} | {"flux": value}
-
+    best, best_value, waited = copy.deepcopy(net), np.inf, 0
     learn, tested = held.where("not _val"), held.where("_val")
     ends = {kind: 2.0 if loss.pairwise else labelled_ends(rows) for kind, rows in (("learn", learn), ("tested", tested))}
     value = lambda p, part: sum(getattr(part, k) * v for k, v in p.items())
     for epoch in range(epochs):
         now = replace(loss, boundary=boundary_weight(epoch + 1, loss.boundary, loss.boundary if final_boundary is None else final_boundary, schedule, 1, decay_epochs))
-        grads, parts = sums(learn, net, now, ends["learn"])
-        check = sums(tested, net, now, ends["tested"])[1] if validation else parts
+        grads, parts, agreed = gradient(learn, net, now, ends["learn"], (seed, epoch, 0))
+        check = gradient(tested, net, now, ends["tested"])[1] if validation else parts
         history.append({"epoch": epoch, "train": value(parts, now), "validation": value(check, now), **parts})
         if history[-1]["validation"] < best_value:
-            best, best_value, waited = [(w.copy(), b.copy()) for w, b in net.layers], history[-1]["validation"], 0
+            best, best_value, waited = copy.deepcopy(net), history[-1]["validation"], 0
         else:
             waited += 1
             if waited > patience:
                 break
         if batches == 1:
-            optimiser.step(net, grads)
+            _advance(net, optimiser, grads, agreed)
         for k in range(batches if batches > 1 else 0):
             part = learn.where(F.pmod(F.xxhash64("row_id", F.lit(seed), F.lit(epoch + 1)), F.lit(batches)) == k)
-            optimiser.step(net, sums(part, net, now, ends["learn"] if loss.pairwise else labelled_ends(part))[0])
+            step, _, seen = gradient(part, net, now, ends["learn"] if loss.pairwise else labelled_ends(part), (seed, epoch, k + 1))
+            _advance(net, optimiser, step, seen)
         if last:
             net.save(last, {"epoch": epoch})
-    net.layers = best
+    net.__dict__.update(best.__dict__)
     return net, history
 
 

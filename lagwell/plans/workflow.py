@@ -50,16 +50,18 @@ NEEDS = {
 
 
 def net_table(spark: SparkSession, net: Net) -> DataFrame:
-    """A network as rows ``(layer, part, rows, cols, numbers, head, activation)``."""
-    rows = [(k, part, a.shape[0], a.shape[1] if a.ndim > 1 else 0, a.ravel().tolist(), net.head, net.activation) for k, wb in enumerate(net.layers) for part, a in zip("wb", wb, strict=True)]
-    return spark.createDataFrame(rows, "layer int, part string, rows int, cols int, numbers array<double>, head string, activation string")
+    """A network as rows ``(layer, part, rows, cols, numbers, head, activation, dropout)``; parts w and b, with normalised layers also scale, shift, mean and variance."""
+    groups = (("w", "b"), net.layers), (("scale", "shift"), net.norms), (("mean", "variance"), net.running)
+    rows = [(k, part, a.shape[0], a.shape[1] if a.ndim > 1 else 0, a.ravel().tolist(), net.head, net.activation, float(net.dropout)) for names, pairs in groups for k, pair in enumerate(pairs) for part, a in zip(names, pair, strict=True)]
+    return spark.createDataFrame(rows, "layer int, part string, rows int, cols int, numbers array<double>, head string, activation string, dropout double")
 
 
 def read_net(table: DataFrame) -> Net:
     rows = {(r["layer"], r["part"]): r for r in table.collect()}
-    layers = [(np.array(rows[k, "w"]["numbers"]).reshape(rows[k, "w"]["rows"], -1), np.array(rows[k, "b"]["numbers"])) for k in range(len(rows) // 2)]
-    first = rows[0, "w"]
-    return Net((layers[0][0].shape[0], *(b.size for _, b in layers)), first["head"], first["activation"], layers=layers)
+    pairs = lambda a, b: [tuple(np.array(rows[k, p]["numbers"]) for p in (a, b)) for k in range(sum(p == a for _, p in rows))]
+    layers = [(w.reshape(rows[k, "w"]["rows"], -1), b) for k, (w, b) in enumerate(pairs("w", "b"))]
+    first, norms = rows[0, "w"], pairs("scale", "shift")
+    return Net((layers[0][0].shape[0], *(b.size for _, b in layers)), first["head"], first["activation"], layers=layers, batch_norm=bool(norms), dropout=first["dropout"], norms=norms, running=pairs("mean", "variance"))
 
 
 def _settings(kind: type, cfg: dict, prefix: str = "") -> object:
@@ -148,7 +150,7 @@ class Workflow:
 
     def _train(self, cfg: dict) -> DataFrame:
         n, d = self.n_states(), len(self.labelled().select("x").first()[0])
-        net = Net((d, *cfg.get("hidden", (32, 32)), n), cfg.get("head", "softmax"), cfg.get("activation", "elu"))
+        net = Net((d, *cfg.get("hidden", (32, 32)), n), cfg.get("head", "softmax"), cfg.get("activation", "elu"), batch_norm=bool(cfg.get("batch_norm", False)), dropout=float(cfg.get("dropout", 0.0)))
         asked = {k: cfg[k] for k in ("epochs", "rate", "patience", "validation", "seed", "batches", "schedule", "final_boundary", "decay_epochs") if k in cfg}
         fitted, _ = M.train(self._pairs(cfg), net, _settings(Loss, {"flux": 0.0, **cfg}), **asked)
         return net_table(self.spark, fitted)
