@@ -28,17 +28,22 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], b
     all different.
     """
     by, key = list(by), [*by, "k"]
-    rows = df.select(*by, F.col(value).cast("double").alias("v")).where("v is not null")
+    rows = materialize(df.select(*by, F.col(value).cast("double").alias("v")).where("v is not null"))  # read three times
     near = 4.0 / accuracy
-    asked = [max(0.0, min(1.0, q + d)) for q in probabilities for d in (-near, near)]
-    sketch = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("v", asked, accuracy).alias("_cuts"))
-    place = [F.struct(F.lit(k).alias("k"), (F.lit(q) * (F.col("_n") - 1)).alias("t"), F.slice("_cuts", 2 * k + 1, 2).alias("cuts")) for k, q in enumerate(probabilities)]
-    wanted = materialize(sketch.select(*by, F.explode(F.array(*place)).alias("p")).select(*by, "p.*", F.lit(0).cast("long").alias("below")))
-    cells = _narrowed(joined_on(rows.withColumn("n", F.lit(1).cast("long")), wanted, by), by)
+    asked = sorted({max(0.0, min(1.0, q + d)) for q in probabilities for d in (-near, near)})
+    cuts = materialize(rows.groupBy(*by).agg(F.percentile_approx("v", asked, accuracy).alias("cuts")))
+    binned = joined_on(rows, cuts, by).select(*by, "v", _bin())
+    bins = binned.groupBy(*by, "bin").agg(F.count("*").alias("m"))
+    before, whole = W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*by)  # a row a bin
+    counted = bins.withColumns({"before": F.coalesce(F.sum("m").over(before), F.lit(0)), "size": F.sum("m").over(whole)})
+    targets = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.lit(q) * (F.col("size") - 1)).alias("t")) for k, q in enumerate(probabilities)))).alias("target")
+    held = _holding(counted.select(*by, "bin", "m", "before", targets).select(*by, "bin", "m", "before", "target.*"), key)
+    inside = joined_on(binned, held, by).where(F.col("bin").between(F.col("b0"), F.col("b1")))
+    cells = materialize(inside.groupBy(*key, "v").agg(F.count("*").alias("n"), F.any_value("t").alias("t"), F.any_value("below").alias("below")))
     while cells.groupBy(*key).agg(F.count("*").alias("m")).where(F.col("m") > leaf).limit(1).count():
         steps = [i / BINS for i in range(1, BINS)]
         cuts = cells.groupBy(*key).agg(F.percentile_approx("v", steps, 100 * BINS).alias("cuts"))
-        cells = _narrowed(joined_on(cells, cuts, key), by)
+        cells = _narrowed(joined_on(cells, cuts, key), key)
     run = F.col("below") + F.sum("n").over(W.partitionBy(*key).orderBy("v"))
     ends = cells.withColumn("_upto", run).groupBy(*key).agg(F.any_value("t").alias("t"), *(F.min(F.when(F.col("_upto") > f("t"), F.col("v"))).alias(name) for name, f in (("v0", F.floor), ("v1", F.ceil))))
     at = F.when(F.ceil("t") == F.floor("t"), F.col("v0")).otherwise((F.ceil("t") - F.col("t")) * F.col("v0") + (F.col("t") - F.floor("t")) * F.col("v1"))
@@ -53,17 +58,24 @@ def joined_on(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame
     return left.join(named, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on))).drop(*(f"_on_{c}" for c in on))
 
 
-def _narrowed(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``(*by, k, v, n, t, below)`` of the bins between ``cuts`` that hold the ranks around ``t``, equal values together."""
-    key = [*by, "k"]
-    binned = rows.withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("v"))))
+def _bin() -> Column:
+    """How many of the row's ``cuts`` lie below its value."""
+    return F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bin")
+
+
+def _holding(placed: DataFrame, key: list[str]) -> DataFrame:
+    """``(*key, b0, b1, below, t)``: the bins that hold the ranks around ``t``, and how many values lie before them."""
+    held = placed.where((F.col("before") <= F.ceil("t")) & (F.col("before") + F.col("m") > F.floor("t")))
+    return held.groupBy(*key).agg(F.min("bin").alias("b0"), F.max("bin").alias("b1"), F.min("before").alias("below"), F.any_value("t").alias("t"))
+
+
+def _narrowed(cells: DataFrame, key: list[str]) -> DataFrame:
+    """``(*key, v, n, t, below)`` of the bins between ``cuts`` that hold the ranks around ``t``."""
+    binned = cells.withColumn("bin", _bin())
     bins = binned.groupBy(*key, "bin").agg(F.sum("n").alias("m"), F.any_value("t").alias("t"), F.any_value("below").alias("below"))
     over = W.partitionBy(*key).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # at most BINS rows
-    placed = bins.withColumn("before", F.col("below") + F.coalesce(F.sum("m").over(over), F.lit(0)))
-    held = placed.where((F.col("before") <= F.ceil("t")) & (F.col("before") + F.col("m") > F.floor("t")))
-    kept = held.groupBy(*key).agg(F.min("bin").alias("b0"), F.max("bin").alias("b1"), F.min("before").alias("_below"), F.any_value("t").alias("_t"))
-    inside = joined_on(binned.drop("t", "below"), kept, key).where(F.col("bin").between(F.col("b0"), F.col("b1")))
-    return materialize(inside.groupBy(*key, "v").agg(F.sum("n").alias("n"), F.any_value("_t").alias("t"), F.any_value("_below").alias("below")))
+    held = _holding(bins.withColumn("before", F.col("below") + F.coalesce(F.sum("m").over(over), F.lit(0))), key)
+    return materialize(joined_on(binned.select(*key, "v", "n", "bin"), held, key).where(F.col("bin").between(F.col("b0"), F.col("b1"))).select(*key, "v", "n", "t", "below"))
 
 
 def ranked_within(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], weight: str | None = None) -> DataFrame:

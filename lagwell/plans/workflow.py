@@ -28,7 +28,7 @@ from lagwell.operators import relabel as R
 from lagwell.operators.frames import number_rows
 from lagwell.plans import pathways as P
 from lagwell.plans import stages as S
-from lagwell.sinks.writers import content_hash, manifest_hash, stage_table
+from lagwell.sinks.writers import content_hash, manifest_hash, save_training, stage_table
 from lagwell.sources.readers import config as read_config
 
 log = logging.getLogger(__name__)
@@ -152,8 +152,10 @@ class Workflow:
         n, d = self.n_states(), len(self.labelled().select("x").first()[0])
         net = Net((d, *cfg.get("hidden", (32, 32)), n), cfg.get("head", "softmax"), cfg.get("activation", "elu"), batch_norm=bool(cfg.get("batch_norm", False)), dropout=float(cfg.get("dropout", 0.0)))
         asked = {k: cfg[k] for k in ("epochs", "rate", "patience", "validation", "seed", "batches", "schedule", "final_boundary", "decay_epochs") if k in cfg}
-        fitted, _ = M.train(self._pairs(cfg), net, _settings(Loss, {"flux": 0.0, **cfg}), **asked)
-        return net_table(self.spark, fitted)
+        fitted, history = M.train(self._pairs(cfg), net, _settings(Loss, {"flux": 0.0, **cfg}), **asked)
+        found = net_table(self.spark, fitted)
+        save_training(self.spark, f"{self.folder}/1/training", found, history)
+        return found
 
     def _infer(self, cfg: dict) -> DataFrame:
         return M.infer(self.labelled(), read_net(self.tables["1.train"]))

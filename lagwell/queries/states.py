@@ -370,7 +370,11 @@ def c05(spark: SparkSession, d: str) -> DataFrame:
     return C.knn_density(frames_emb(spark, d).select("row_id", "x"), x, w, 25).select("row_id", "density")
 
 
-@query("c06_components", None)
+@query(
+    "c06_components",
+    f"""with recursive {_KNN}, cut as (select 0.8 * quantile_cont(d, 0.9) c from kn where r = 5 and d > 0), ed as (select row_id a, id b from kn, cut where r <= 5 and d <= c), both_ as (select a, b from ed union select b, a from ed),
+  reach(id, root) as (select a, a from both_ union select both_.b, reach.root from reach join both_ on both_.a = reach.id) select id, min(root) component from reach group by 1""",
+)
 def c06(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(C.neighbour_edges(C.knn_all(frames_emb(spark, d), 5), scale=0.8))
 
@@ -648,10 +652,17 @@ def c24(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(p, k, v, v in shared) for (p, k), v in labels.items()], "path_id int, image_id int, node int, shared boolean")
 
 
-@query("c25_relaxed_images", None)
+_MOVES = ", ".join(f"sum(count * (nb.n{k} - na.n{k})) / (2 * sum(count)) m{k}" for k in range(3))
+_MOVED = ", ".join(f"round(case when nd.im between 1 and 4 then n{k} + 0.5e0 * coalesce(m{k}, 0) else n{k} end, 8) x{k}" for k in range(3))
+
+
+@query(
+    "c25_relaxed_images",
+    f"with {_XC}, {_NODES}, mv as (select path_a p, image_a im, {_MOVES} from xc join nd na on na.p = path_a and na.im = image_a join nd nb on nb.p = path_b and nb.im = image_b group by 1, 2) select nd.p path_id, nd.im image_id, {_MOVED} from nd left join mv on mv.p = nd.p and mv.im = nd.im",
+)
 def c25(spark: SparkSession, d: str) -> DataFrame:
     counts, nodes = _exchange(spark, d)
-    return E.relax(nodes, counts)
+    return E.relax(nodes, counts).select("path_id", "image_id", *(F.round(F.col("x")[k], 8).alias(f"x{k}") for k in range(3)))
 
 
 @query("c26_path_expansion", None)

@@ -107,6 +107,43 @@ def msm_summary(transitions: DataFrame, residence: DataFrame) -> DataFrame:
     return diag.join(times, "lag")
 
 
+def save_paths(images: DataFrame, folder: str, scores: Sequence[str] = ()) -> None:
+    """Every path as text under ``path_id=<id>``: an image a line in order, its coordinates and then the named scores, separated by blanks.
+
+    ``images`` holds ``path_id``, ``image_id`` and ``x``; one task writes one
+    path. A rerun replaces the folder.
+    """
+    numbers = F.concat(F.col("x"), F.array(*(F.col(c).cast("double") for c in scores))) if scores else F.col("x")
+    line = F.array_join(F.transform(numbers, lambda v: F.format_string("%.10g", v)), " ")
+    dealt = images.select("path_id", "image_id", line.alias("value")).repartition("path_id").sortWithinPartitions("path_id", "image_id")
+    dealt.select("path_id", "value").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("path_id").text(folder)
+
+
+def save_grid(spark: SparkSession, folder: str, axes: Sequence[tuple[str, float, float, int]], fields: dict[str, np.ndarray], meta: dict | None = None) -> DataFrame:
+    """Fields over one grid as a table: bin and center of each axis and a column per field, non-finite values as NULL; axes and ``meta`` beside it."""
+    shape = tuple(a[3] for a in axes)
+    centers = [lo + (np.arange(n) + 0.5) * (hi - lo) / n for _, lo, hi, n in axes]
+    rows = []
+    for at in np.ndindex(*shape):
+        values = (float(f[at]) for f in fields.values())
+        rows.append((*at, *(float(c[b]) for b, c in zip(at, centers, strict=True)), *(v if math.isfinite(v) else None for v in values)))
+    kinds = [*(f"b{k} int" for k in range(len(axes))), *(f"{a[0]} double" for a in axes), *(f"{n} double" for n in fields)]
+    spark.createDataFrame(rows, ", ".join(kinds)).write.mode("overwrite").parquet(folder)
+    save_meta(spark, folder, {"axes": [{"name": n, "low": lo, "high": hi, "bins": k} for n, lo, hi, k in axes], **(meta or {})})
+    return spark.read.parquet(folder)
+
+
+def save_training(spark: SparkSession, folder: str, network: DataFrame, history: Sequence[dict], flux: DataFrame | None = None) -> None:
+    """What a training leaves: ``network`` (a table of its numbers), ``history`` (CSV, an epoch a line) and, with ``flux``, the profiles of the flux at its end."""
+    network.write.mode("overwrite").parquet(f"{folder}/network")
+    names = list(history[0]) if history else ["epoch", "train", "validation"]
+    kinds = ", ".join(f"{n} {'int' if n == 'epoch' else 'double'}" for n in names)
+    rows = spark.createDataFrame([tuple(int(h[n]) if n == "epoch" else float(h[n]) for n in names) for h in history], kinds)
+    rows.coalesce(1).sortWithinPartitions("epoch").write.mode("overwrite").option("header", True).csv(f"{folder}/history")
+    if flux is not None:
+        flux.write.mode("overwrite").parquet(f"{folder}/flux")
+
+
 def scientific(value: float | None, std: float | None = None, precision: int = 2) -> str:
     """LaTeX ``a \\times 10^{b}``, with an error under the same exponent; a dash where undefined."""
     if value is None or not math.isfinite(value):

@@ -178,3 +178,37 @@ def test_msm_options(spark, tmp_path):
     n = 1 + max(ends)
     t = {(r["i"], r["j"]): r["p"] for r in N.transition_matrix(chosen["msm"], n, reversible=True).collect()}
     assert all(np.isclose(sum(t[i, j] for j in range(n)), 1) for i in range(n))
+
+
+def test_path_grid_and_training_artefacts(spark, tmp_path):
+    import json
+
+    from lagwell.functions.committor import Loss, Net
+    from lagwell.operators.flux import flux_profiles
+    from lagwell.operators.model import infer, train
+    from lagwell.plans.workflow import net_table, read_net
+    from lagwell.sinks import writers
+
+    net = Net((2, 3))
+    images = spark.createDataFrame([(p, k, [k + 0.5, -1e-7 * p]) for p in (0, 3) for k in range(12)], "path_id long, image_id int, x array<double>").repartition(5)
+    scored = P.path_scores(images, net, 0, 1).withColumn("q0", F.get("q", F.lit(0)))
+    for _ in range(2):
+        writers.save_paths(scored, str(tmp_path / "paths"), ["q0", "channel"])
+    files = list((tmp_path / "paths" / "path_id=3").glob("part-*"))
+    lines = files[0].read_text().splitlines()
+    q = net(np.array([[k + 0.5, -3e-7] for k in range(12)], np.float32))
+    assert len(files) == 1 and np.allclose([[float(v) for v in x.split()] for x in lines], [[k + 0.5, -3e-7, q[k, 0], q[k, 0] * q[k, 1]] for k in range(12)])
+    axes = [("phi", -1.0, 1.0, 4), ("psi", 0.0, 3.0, 3)]
+    found = P.field_centers(spark.createDataFrame([(i, 0.5 * (i % 4) - 0.75, float(i % 3) + 0.5, 1.0, [0.4, 0.6]) for i in range(50)], "row_id long, phi double, psi double, weight double, q array<double>"), axes, 0, 1, sigma=0.0)
+    grid = writers.save_grid(spark, str(tmp_path / "grid"), axes, {k: found[k] for k in ("density", "free_energy", "channel")}, {"centers": found["centers"]})
+    rows = {(r["b0"], r["b1"]): r for r in grid.collect()}
+    assert len(rows) == 12 and rows[1, 2]["phi"] == -0.25 and rows[1, 2]["psi"] == 2.5 and rows[1, 2]["channel"] == pytest.approx(0.24) and rows[1, 2]["density"] == found["density"][1, 2]
+    meta = json.loads((tmp_path / "grid.meta.json").read_text())
+    assert [a["name"] for a in meta["axes"]] == ["phi", "psi"] and len(meta["centers"]) == len(found["centers"])
+    pairs = spark.createDataFrame([(i, [i / 10, 0.0], [i / 10 + 0.1, 0.0], 0, 1, 1.0) for i in range(20)], "row_id long, x array<double>, x_tau array<double>, label int, label_tau int, weight double")
+    fitted, history = train(pairs, Net((2, 3)), Loss(flux=0.0), epochs=2)
+    both = infer(infer(pairs, fitted), fitted, "x_tau", "q_tau").withColumn("weight_tau", F.lit(1.0))
+    writers.save_training(spark, str(tmp_path / "fit"), net_table(spark, fitted), history, flux_profiles(both, [(0, 1)], [0.2, 0.5]))
+    assert np.array_equal(read_net(spark.read.parquet(str(tmp_path / "fit/network")))(np.ones((1, 2))), fitted(np.ones((1, 2))))
+    kept = spark.read.csv(str(tmp_path / "fit/history"), header=True, inferSchema=True).collect()
+    assert [r["epoch"] for r in kept] == [0, 1] and kept[1]["train"] == pytest.approx(history[1]["train"]) and spark.read.parquet(str(tmp_path / "fit/flux")).count() == 2
