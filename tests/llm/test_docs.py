@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lagwell.llm import chat, edits, lines, near, pages, quality, shards
+from lagwell.operators import graph
+from lagwell.plans.lineage import materialize
 
 from .test_text import ODD, docs, fuzz
 
@@ -133,6 +135,25 @@ def test_edit_classes(spark):
     assert [r["class_id"] for r in edits.edit_classes(bare).collect()] == [None]
 
 
+def test_edit_classes_send_nothing_to_the_driver(spark, monkeypatch):
+    """However large a broadcast may be, none is planned for what grows with the documents."""
+    plans = []
+
+    def watched(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, *more)
+
+    for module in (edits, graph):
+        monkeypatch.setattr(module, "materialize", watched)
+    monkeypatch.setattr(graph, "FEW", 0)
+    rng = random.Random(35)
+    base = [prose(k, 60) for k in range(30)]
+    texts = base + [edited(b, 2, rng) for b in base[:20]]
+    assert classes_of(spark, texts) == slow_classes(edits.embed(texts), 0.8)
+    joins = [p for p in plans if "Join" in p]
+    assert len(joins) > 5 and not [p for p in joins if "Broadcast" in p]
+
+
 def test_bands_find_alike_texts():
     """Recall of the bands against brute force, over pairs of every likeness from the threshold."""
     rng = random.Random(32)
