@@ -25,6 +25,17 @@ def _shipped(points: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(points, float)
 
 
+#: Distances that a task holds at once (16 MB).
+MOST_HELD = 2_000_000
+
+
+def few_rows(batch: pa.RecordBatch, references: int, most: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows, fewer where their distances to the references would pass ``MOST_HELD``."""
+    step = max(1, min(most, MOST_HELD // max(1, references)))
+    for a in range(0, batch.num_rows, step):
+        yield batch.slice(a, step)
+
+
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, d)
 
@@ -44,8 +55,7 @@ def nearest_centers(df: DataFrame, centers: Sequence[Sequence[float]], x: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
+            for part in few_rows(batch, len(c)):
                 points = _matrix(part.column(x), c.shape[1])
                 d2 = distances(points, c, period)
                 cell = d2.argmin(1)
@@ -101,11 +111,11 @@ def keyed_nearest(df: DataFrame, centers: dict[int, np.ndarray], key: str = "sta
     """``cell`` of each row among the centers of its own ``key``, the first on ties; NULL where the key has none."""
     known = {k: np.ascontiguousarray(c, float) for k, c in centers.items()}
     _shipped(np.concatenate([c.ravel() for c in known.values()]) if known else np.zeros(0))
+    largest = max(map(len, known.values()), default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
+            for part in few_rows(batch, largest):
                 owner = part.column(key).to_numpy(zero_copy_only=False)
                 cell = np.full(len(owner), -1, np.int32)
                 for k in np.unique(owner).tolist():
@@ -195,8 +205,7 @@ def knn(df: DataFrame, references: np.ndarray, reference_ids: np.ndarray, k: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
+            for part in few_rows(batch, len(ref), 1024):
                 d2 = distances(_matrix(part.column(x), ref.shape[1]), ref)
                 if exclude_self:
                     d2[part.column("row_id").to_numpy()[:, None] == ids[None, :]] = np.inf
@@ -219,8 +228,7 @@ def knn_density(df: DataFrame, references: np.ndarray, weights: np.ndarray, k: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
+            for part in few_rows(batch, len(ref), 1024):
                 d2 = distances(_matrix(part.column(x), ref.shape[1]), ref)
                 order = np.argpartition(d2, k - 1, axis=1)[:, :k]
                 r = np.sqrt(np.take_along_axis(d2, order, 1).max(1))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwell.operators.cluster import _matrix, _shipped, distances, nearest_centers, weighted_sample
+from lagwell.operators.cluster import _matrix, _shipped, distances, few_rows, nearest_centers, weighted_sample
 from lagwell.operators.frames import number_rows
 from lagwell.operators.graph import connected_components
 from lagwell.operators.neighbours import nearest
@@ -74,11 +74,11 @@ def state_density(df: DataFrame, references: dict[int, tuple[np.ndarray, np.ndar
     """
     known = {s: (np.ascontiguousarray(p, float), np.asarray(w, float) / np.sum(w)) for s, (p, w) in references.items()}
     _shipped(np.concatenate([p.ravel() for p, _ in known.values()]) if known else np.zeros(0))
+    largest = max((len(p) for p, _ in known.values()), default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
+            for part in few_rows(batch, largest, 1024):
                 state = part.column(label).to_numpy(zero_copy_only=False)
                 density, kth = np.zeros(len(state)), np.full(len(state), np.inf)
                 for s in np.unique(state).tolist():

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagwell.operators import cluster as C
-from lagwell.operators.cores import CoreSettings, label_cores
+from lagwell.operators.cores import CoreSettings, label_cores, state_density
 from lagwell.operators.neighbours import nearest, square_distances, visiting
 from lagwell.operators.quantiles import exact_quantiles, ranked_within
 
@@ -200,3 +201,22 @@ def test_cores_refuse(spark):
     df = spark.createDataFrame([(1, [0.0], -1, 1.0), (2, [1.0], 0, 0.0)], "row_id long, x array<double>, macro int, weight double")
     with pytest.raises(ValueError, match="macrostate"):
         label_cores(df)
+
+
+def test_distances_held_do_not_grow_with_the_references():
+    """A part of a batch and its references stay under the bound, and every row is in one part."""
+    batch = pa.RecordBatch.from_pydict({"row_id": list(range(5000))})
+    for references in (0, 1, 900, 56_000, 5_000_000):
+        parts = list(C.few_rows(batch, references, 1024))
+        assert sum((p.column("row_id").to_pylist() for p in parts), []) == list(range(5000))
+        assert all(p.num_rows == 1 or p.num_rows * references <= C.MOST_HELD for p in parts) and max(p.num_rows for p in parts) <= 1024
+
+
+def test_densities_among_many_references(spark):
+    """40 000 references of a state, as many as leave 50 rows to a part: the same as by definition."""
+    rng = np.random.default_rng(7)
+    points, at = rng.normal(size=(40_000, 2)), rng.normal(size=(120, 2))
+    df = spark.createDataFrame([(i, 0, x.tolist()) for i, x in enumerate(at)], "row_id long, macro long, z array<double>").coalesce(1)
+    got = [tuple(r) for r in state_density(df, {0: (points, np.ones(len(points)))}, 5, "z").orderBy("row_id").select("density", "kth").collect()]
+    kth = np.sqrt(np.sort(square_distances(at, points), 1)[:, 4])
+    assert np.allclose([k for _, k in got], kth, rtol=1e-12) and np.allclose([d for d, _ in got], 5 / 40_000 / kth**2, rtol=1e-9)
