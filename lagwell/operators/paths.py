@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagwell.functions.arrays import square_distance
-from lagwell.plans.lineage import materialize
+from lagwell.plans.lineage import discard, materialize
 
 
 def _along() -> W:
@@ -124,49 +126,205 @@ def medoids(rmsd: DataFrame, weights: DataFrame) -> DataFrame:
     return cost.agg(F.min(F.struct("cost", "path_id")).alias("m")).select(F.col("m.path_id").alias("path_id"), F.col("m.cost").alias("cost"))
 
 
-def linkage_rounds(rmsd: DataFrame, weights: DataFrame, cutoff: float) -> tuple[DataFrame, list[tuple[int, int, float]]]:
-    """``(path_id, cluster)`` and the merges ``(kept, gone, distance)`` of average linkage, weighted, while distances are at most the cutoff.
-
-    Each round merges all pairs of clusters that are each other's nearest
-    (lower ids first on ties): no later merge can come between them, since an
-    average is never below the lesser of what it averages. The distances of
-    the merged are aggregated from those of their parts, so nothing but the
-    merges of a round reaches the driver. A cluster is named by its smallest
-    path.
+#: Paths of a block, of which any two meet in one task; clusters from which one task joins the rest; bytes of distances that a task writes, about.
+PATHS, REST, STRIP = 256, 1024, 16 << 20
+
+
+def _points_of(part: pa.Table) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """``(image, dimension)`` of each column, values and which of them a path has; an image that a path holds twice has two columns."""
+    owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("v")).to_numpy())
+    image, dim, v = (part.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("image", "dim", "v"))
+    order = np.lexsort((dim, image, owner))
+    owner, image, dim, v = owner[order], image[order], dim[order], v[order]
+    again = np.concatenate([[False], (owner[1:] == owner[:-1]) & (image[1:] == image[:-1]) & (dim[1:] == dim[:-1])])[: len(v)]
+    at = np.arange(len(v))
+    turn = at - np.maximum.accumulate(np.where(again, 0, at)) if len(v) else at
+    keys, column = np.unique(np.stack([image, dim, turn], 1), axis=0, return_inverse=True)
+    values, held = np.zeros((part.num_rows, len(keys))), np.zeros((part.num_rows, len(keys)), bool)
+    values[owner, column.ravel()], held[owner, column.ravel()] = v, True
+    return [(i, d) for i, d, _ in keys.tolist()], values, held
+
+
+def _rmsds(a: pa.Table, b: pa.Table, periods: Sequence[float] | None) -> np.ndarray:
+    """Distances of two blocks of paths over the images both have, NaN where there are none."""
+    (keys, x, has_x), (others, y, has_y) = _points_of(a), _points_of(b)
+    total, count = np.zeros((len(x), len(y))), np.zeros((len(x), len(y)))
+    at: dict[tuple, list[int]] = {}
+    for q, key in enumerate(others):
+        at.setdefault(key, []).append(q)
+    for p, key in enumerate(keys):
+        for q in at.get(key, ()):
+            d = x[:, p, None] - y[:, q]
+            if periods and key[1] < len(periods) and periods[key[1]] > 0:
+                d = (d + periods[key[1]] / 2) % periods[key[1]] - periods[key[1]] / 2
+            both = has_x[:, p, None] & has_y[:, q]
+            total += np.where(both, d * d, 0.0)
+            count += both
+    return np.sqrt(np.divide(total, count, out=np.full(total.shape, np.nan), where=count > 0))
+
+
+def _strips(images: DataFrame, order: list[int], periods: Sequence[float] | None) -> DataFrame:
+    """``(k, d)``: of each path its distances to all paths, in order of the ids; blocks of paths meet by twos."""
+    n, kind = len(order), "k long, part int, d binary"
+    known = images.sparkSession.createDataFrame(list(zip(order, range(n), strict=True)), "path_id long, k long")
+    long = images.select("path_id", F.col("image_id").cast("long").alias("image"), F.posexplode("x").alias("dim", "v")).where("v is not null").join(known, "path_id")
+    paths = long.groupBy("k").agg(F.collect_list(F.struct("image", "dim", F.col("v").cast("double").alias("v"))).alias("e"))
+    paths = materialize(paths.select("k", F.col("e.image").alias("image"), F.col("e.dim").alias("dim"), F.col("e.v").alias("v")))
+    own = F.floor(F.col("k") / PATHS).cast("int")
+    met = paths.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.lit(max(0, (n - 1) // PATHS))))}).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def compare(block: pa.Table) -> pa.Table:
+        i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
+        a, b = (block.filter(pc.equal(block.column("own"), side)) for side in (i, j))
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"k": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "d": pa.array([], pa.binary())})
+        d = _rmsds(a, b, periods)
+        if i == j:
+            d = np.triu(d, 1) + np.triu(d, 1).T
+        rows, parts, found = [], [], []
+        for mine, theirs, part, m in ((a, b, j, d), (b, a, i, d.T))[: 1 + (i != j)]:
+            wide = np.full((len(m), PATHS), np.nan)
+            wide[:, theirs.column("k").to_numpy() - part * PATHS] = m
+            rows += mine.column("k").to_pylist()
+            parts += [part] * len(m)
+            found += [r.tobytes() for r in wide]
+        return pa.table({"k": pa.array(rows, pa.int64()), "part": pa.array(parts, pa.int32()), "d": pa.array(found, pa.binary())})
+
+    chunks = met.groupBy("i", "j").applyInArrow(compare, kind).repartition(max(1, -(-n * n * 8 // STRIP)), "k")
+    whole = chunks.groupBy("k").agg(F.collect_list(F.struct("part", "d")).alias("parts"))
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, parts in zip(batch.column("k").to_pylist(), batch.column("parts"), strict=True):
+                d = np.full(-(-n // PATHS) * PATHS, np.nan)
+                for p in parts.as_py():
+                    d[p["part"] * PATHS : (p["part"] + 1) * PATHS] = np.frombuffer(p["d"])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([d[:n].tobytes()], pa.binary())], ["k", "d"])
+
+    return whole.mapInArrow(assemble, "k long, d binary")
+
+
+class Merging:
+    """Clusters, their weights, and how the distances of two that merge become those of one."""
+
+    def __init__(self, live: np.ndarray, w: np.ndarray, pairs: Sequence[tuple[int, int]] = ()) -> None:
+        gone = {b: a for a, b in pairs}
+        self.w, self.live, self.old = w, np.array([c for c in live.tolist() if c not in gone], np.int64), live
+        self.first, self.second = np.searchsorted(live, self.live), np.full(len(self.live), -1)
+        self.second[np.searchsorted(self.live, [a for a, _ in pairs])] = np.searchsorted(live, [b for _, b in pairs])
+        self.mass = w[self.first] + np.where(self.second < 0, 0.0, w[self.second])
+
+    def joined(self, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """``(d, s)`` of one cluster from those of its one or two parts ``(id, d, s)``, the sum of weights behind each distance being s.
+
+        The sums are such that both clusters of a pair find the same number to the last bit.
+        """
+        second, alone = np.maximum(self.second, 0), self.second < 0
+        sums = []
+        for _, d, s in rows:
+            sd = np.where(s > 0, s * d, 0.0)
+            sums.append([(v[self.first], np.where(alone, 0.0, v[second])) for v in (sd, s)])
+        if len(rows) == 1:
+            num, den = (x + y for x, y in sums[0])
+        else:
+            num, den = ((x + v) + (y + u) for (x, y), (u, v) in zip(*sums, strict=True))
+        out = np.divide(num, den, out=np.full(len(num), np.nan), where=den > 0)
+        return (np.where(alone, rows[0][1][self.first], out) if len(rows) == 1 else out), den
+
+    def nearest(self, k: int, d: np.ndarray) -> tuple[int, float]:
+        """The nearest other cluster, the lower on ties."""
+        d = np.where(np.isnan(d), np.inf, d)
+        d[np.searchsorted(self.live, k)] = np.inf
+        c = int(d.argmin())
+        return int(self.live[c]), float(d[c])
+
+
+def linkage_rounds(strips: DataFrame, weights: np.ndarray, cutoff: float) -> list[tuple[int, int, float]]:
+    """The merges ``(kept, gone, distance)`` of average linkage, weighted, while distances are at most the cutoff.
+
+    ``strips`` are the ``(k, d)`` of :func:`_strips`. Each round merges all
+    pairs of clusters that are each other's nearest (lower ids first on
+    ties): no later merge can come between them, since an average is never
+    below the lesser of what it averages. A cluster is a row with its
+    distances to all others; a round shortens every row where it lies and
+    shuffles only those that merge. What is left at ``REST`` clusters, a
+    number that does not grow with the input, is joined in one task. The
+    ids and weights of the clusters travel with the tasks. A cluster is named
+    by its smallest path.
     """
-    spark = rmsd.sparkSession
-    live = materialize(rmsd.select(F.col("path_a").alias("a"), F.col("path_b").alias("b"), F.col("rmsd").alias("d")))
-    mass = materialize(weights.select(F.col("path_id").alias("c"), F.col("weight").cast("double").alias("w")))
-    member = weights.select("path_id", F.col("path_id").alias("cluster"))
+    schema = "k long, d binary, s binary, to long, least double"
+    now = Merging(np.arange(len(weights)), np.asarray(weights, float))
+
+    def told(m: Merging, k: int, d: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        to, least = m.nearest(k, d)
+        return pa.RecordBatch.from_arrays([pa.array([k]), pa.array([d.tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary()), pa.array([to]), pa.array([least])], ["k", "d", "s", "to", "least"])
+
+    def begin(batches: Iterator[pa.RecordBatch], m: Merging = now) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, d in zip(batch.column("k").to_pylist(), batch.column("d"), strict=True):
+                d = np.frombuffer(d.as_buffer())
+                yield told(m, k, d, np.where(np.isnan(d), 0.0, m.w[k] * m.w))
+
+    def read(part: pa.Table | pa.RecordBatch) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        columns = (part.column("k").to_pylist(), *(map(lambda v: np.frombuffer(v.as_buffer()), part.column(c)) for c in ("d", "s")))
+        return list(zip(*columns, strict=True))
+
+    def merge(m: Merging) -> Callable[[pa.Table], pa.Table]:
+        def run(part: pa.Table) -> pa.Table:
+            rows = sorted(read(part), key=lambda r: r[0])
+            return pa.Table.from_batches([told(m, rows[0][0], *m.joined(rows))])
+
+        return run
+
+    def rest(part: pa.Table, m: Merging) -> pa.Table:
+        rows = {k: (k, d, s) for k, d, s in read(part)}
+        out: list[tuple[int, int, float]] = []
+        while True:
+            near = {k: m.nearest(k, d) for k, d, _ in rows.values()}
+            pairs = sorted((d, k, to) for k, (to, d) in near.items() if k < to and d <= cutoff and near.get(to, (-1,))[0] == k)
+            if not pairs:
+                return pa.table({"n": pa.array(range(len(out)), pa.int64()), "a": pa.array([a for a, _, _ in out], pa.int64()), "b": pa.array([b for _, b, _ in out], pa.int64()), "d": pa.array([d for _, _, d in out], pa.float64())})
+            out += [(a, b, d) for d, a, b in pairs]
+            m = Merging(m.live, m.mass, [(a, b) for _, a, b in pairs])
+            gone = {a: b for _, a, b in pairs}
+            rows = {k: (k, *m.joined([rows[k], rows[gone[k]]] if k in gone else [rows[k]])) for k in rows.keys() & set(m.live.tolist())}
+
+    held = materialize(strips.mapInArrow(begin, schema))
     merges: list[tuple[int, int, float]] = []
-    while True:
-        edge = F.struct("d", "a", "b").alias("e")
-        both = live.select(F.col("a").alias("c"), edge).union(live.select(F.col("b").alias("c"), edge))
-        nearest = both.groupBy("c").agg(F.min("e").alias("e"))
-        mutual = nearest.groupBy("e").agg(F.count("*").alias("n")).where((F.col("n") == 2) & (F.col("e.d") <= cutoff)).select("e.*").orderBy("d", "a", "b").collect()
+    while len(now.live) > REST:
+        left = held.select("k", "to", "least").where(F.col("least") <= cutoff)
+        right = held.select(F.col("k").alias("to"), F.col("to").alias("k"))
+        mutual = left.where("k < to").join(right, ["k", "to"]).orderBy("least", "k", "to").collect()
         if not mutual:
-            return member, merges
-        merges += [(r["a"], r["b"], r["d"]) for r in mutual]
-        moved = materialize(spark.createDataFrame([(r["b"], r["a"]) for r in mutual], "gone long, kept long"))
-        named = lambda c: F.coalesce(f"kept_{c}", c)
-        to = lambda c: moved.select(F.col("gone").alias(c), F.col("kept").alias(f"kept_{c}"))
-        held = lambda c: mass.select(F.col("c").alias(c), F.col("w").alias(f"w_{c}"))
-        wide = live.join(to("a"), "a", "left").join(to("b"), "b", "left").join(held("a"), "a").join(held("b"), "b")
-        share = F.col("w_a") * F.col("w_b")
-        low, high = F.least(named("a"), named("b")), F.greatest(named("a"), named("b"))
-        live = materialize(wide.select(low.alias("x"), high.alias("y"), "d", share.alias("s")).where("x != y").groupBy("x", "y").agg((F.sum(F.col("s") * F.col("d")) / F.sum("s")).alias("d")).select(F.col("x").alias("a"), F.col("y").alias("b"), "d"))
-        mass = materialize(mass.join(to("c"), "c", "left").groupBy(named("c").alias("c")).agg(F.sum("w").alias("w")))
-        member = materialize(member.join(moved.withColumnRenamed("gone", "cluster"), "cluster", "left").select("path_id", F.coalesce("kept", "cluster").alias("cluster")))
+            return merges
+        merges += [(r["k"], r["to"], r["least"]) for r in mutual]
+        now = Merging(now.live, now.mass, [(r["k"], r["to"]) for r in mutual])
+
+        def shorten(batches: Iterator[pa.RecordBatch], m: Merging = now) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in read(batch):
+                    yield told(m, row[0], *m.joined([row]))
+
+        moved = held.sparkSession.createDataFrame([(c, r["k"]) for r in mutual for c in (r["k"], r["to"])], "k long, kept long")
+        alone = held.join(F.broadcast(moved), "k", "left_anti").mapInArrow(shorten, schema)
+        both = held.join(F.broadcast(moved), "k").groupBy("kept").applyInArrow(merge(now), schema)
+        longer, held = held, materialize(alone.union(both))
+        discard(longer)
+    last = held.select("k", "d", "s", F.lit(0).alias("one")).groupBy("one").applyInArrow(lambda part: rest(part, now), "n long, a long, b long, d double")
+    merges += [(r["a"], r["b"], r["d"]) for r in last.orderBy("n").collect()]
+    discard(held)
+    return merges
 
 
 def cluster_paths(images: DataFrame, weights: dict[int, float], cutoff: float = 0.25, periods: Sequence[float] | None = None) -> tuple[list[list[int]], list]:
-    """(clusters of path ids by weight, merges) by average linkage of the paths' distances; only the membership is collected."""
-    table = images.sparkSession.createDataFrame([(p, float(w)) for p, w in weights.items()], "path_id long, weight double")
-    member, merges = linkage_rounds(path_rmsd(images, periods), table, cutoff)
-    clusters: dict[int, list[int]] = {}
-    for r in member.orderBy("path_id").collect():
-        clusters.setdefault(r["cluster"], []).append(r["path_id"])
-    return sorted(clusters.values(), key=lambda c: (-sum(weights[p] for p in c), c[0])), merges
+    """(clusters of path ids by weight, merges) by average linkage of the paths' distances; the driver holds the ids and the merges alone."""
+    order = sorted(weights)
+    found = linkage_rounds(_strips(images, order, periods), np.array([weights[p] for p in order], float), cutoff) if order else []
+    merges = [(order[a], order[b], d) for a, b, d in found]
+    clusters = {p: [p] for p in order}
+    for a, b, _ in merges:
+        clusters[a] += clusters.pop(b)
+    return sorted(map(sorted, clusters.values()), key=lambda c: (-sum(weights[p] for p in c), c[0])), merges
 
 
 def channel_points(df: DataFrame, i: int, j: int, threshold: float = 0.1, most: int | None = None, power: float = 1.0, seed: int = 0) -> DataFrame:

@@ -147,3 +147,18 @@ def test_rounds_of_mutual_neighbours_are_average_linkage(spark, cutoff):
     want, merges = K.average_linkage(d, np.array([weights[p] for p in range(len(offsets))]), cutoff)
     got, rounds = Q.cluster_paths(images, weights, cutoff)
     assert got == want and sorted(m[2] for m in rounds) == pytest.approx(sorted(m[2] for m in merges))
+
+
+@pytest.mark.parametrize("rest", [0, 5])
+def test_linkage_by_strips_and_in_one_task_agree(spark, monkeypatch, rest):
+    """Blocks of three paths, rounds over Spark down to the rest, an image that one path lacks: the clusters of one merge at a time."""
+    monkeypatch.setattr(Q, "PATHS", 3)
+    monkeypatch.setattr(Q, "REST", rest)
+    rng = np.random.default_rng(12)
+    offsets = np.concatenate([rng.normal(c, 0.15, 4) for c in (0, 1)] + [[9.0]])
+    weights = {10 * p: float(rng.integers(1, 5)) for p in range(len(offsets))}
+    rows = [(10 * p, k, [k / 4, float(o)]) for p, o in enumerate(offsets) for k in range(5) if (p, k) != (2, 4)]
+    images = spark.createDataFrame(rows, "path_id long, image_id int, x array<double>")
+    want, merges = K.average_linkage(np.abs(offsets[:, None] - offsets) / math.sqrt(2), np.array(list(weights.values())), 0.8)
+    got, rounds = Q.cluster_paths(images, weights, 0.8)
+    assert got == [[10 * p for p in c] for c in want] and sorted(m[2] for m in rounds) == pytest.approx(sorted(m[2] for m in merges))
